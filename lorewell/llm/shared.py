@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -84,3 +85,23 @@ def lookup(rows: DataFrame, keyed: DataFrame, key: str, size: str) -> DataFrame:
 
 def null_to_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def range_sorted(scratch: Scratch, df: DataFrame, order: list[str], value: str | None = None) -> DataFrame:
+    """Global order without a single-task sort: ``_pos`` (from 0) and, of ``value``, the running sum ``_sum``.
+
+    Rows are dealt by range and written with the number of their range, which fixes the ranges;
+    then only one row per range (counts, sums) is summed over the whole, and rows are numbered
+    within their range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch.save(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    amount = F.col(value) if value else F.lit(0)
+    ranges = dealt.groupBy("_range").agg(F.count("*").alias("_n"), F.sum(amount).alias("_v"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0)
+    starts = ranges.select("_range", F.coalesce(F.sum("_n").over(before), zero).alias("_n0"), F.coalesce(F.sum("_v").over(before), zero).alias("_v0"))
+    inside = W.partitionBy("_range").orderBy(*order)
+    rows = dealt.withColumn("_k", F.row_number().over(inside)).withColumn("_s", F.sum(amount).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    out = rows.join(F.broadcast(starts), "_range")
+    return out.select(*df.columns, (F.col("_n0") + F.col("_k") - 1).alias("_pos"), *([(F.col("_v0") + F.col("_s")).alias("_sum")] if value else []))

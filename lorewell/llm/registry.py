@@ -1,7 +1,7 @@
 """What the operators register: queries by name, and SQL where it expresses them."""
 
-from lorewell.llm import exact_dedup, mixing, near_dedup, sharding
+from lorewell.llm import exact_dedup, mixing, near_dedup, sharding, substring_dedup
 
-_MODULES = [sharding, exact_dedup, mixing, near_dedup]
+_MODULES = [substring_dedup, sharding, exact_dedup, mixing, near_dedup]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -1,7 +1,7 @@
 """What the operators register: queries by name, and SQL where it expresses them."""
 
-from lorewell.llm import exact_dedup, licences, mixing, near_dedup, pii, sharding, substring_dedup
+from lorewell.llm import decontamination, exact_dedup, licences, mixing, near_dedup, pii, sharding, substring_dedup
 
-_MODULES = [substring_dedup, licences, sharding, exact_dedup, pii, mixing, near_dedup]
+_MODULES = [substring_dedup, licences, sharding, decontamination, exact_dedup, pii, mixing, near_dedup]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

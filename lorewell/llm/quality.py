@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lorewell.llm.kernels import SPACED, Words, slices, spread, texts
 from lorewell.llm.shared import narrow_batches, table
 
-SAMPLE, DIM, REJECT = 3000, 4096, 0.4
+SAMPLE, DIM, REJECT = 2500, 2048, 0.4
 #: Trigrams without weight that every document has besides its own, so that few of its own decide little.
 CALM = 400
 GOOD, BAD, NONE = 2, 1, 0
@@ -116,7 +116,7 @@ def _hashed(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = np.maximum(np.diff(offs) - 2, 0)
     at = spread(offs[:-1], n)
     b = buf.astype(np.uint32)
-    h = ((b[at] * np.uint32(0x9E3779B1) ^ b[at + 1] * np.uint32(0x85EBCA6B) ^ b[at + 2] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)) >> np.uint32(20)
+    h = ((b[at] * np.uint32(0x9E3779B1) ^ b[at + 1] * np.uint32(0x85EBCA6B) ^ b[at + 2] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)) >> np.uint32(21)
     w = Words(buf, offs, SPACED)
     of = np.repeat(np.arange(len(n)), np.diff(w.first))
     again = np.zeros(len(of), bool)
@@ -147,7 +147,10 @@ def _train(x: np.ndarray, y: np.ndarray, steps: int = 600, ridge: float = 1e-4)
     x, y = np.vstack([x, np.zeros((blank, x.shape[1]), np.float32)]), np.append(y, np.full(blank, 0.95))
     scale = 1 / np.maximum(np.sqrt((x**2).mean(0)), 2e-4)
     scale[-1] *= 8  # repeats are one column among thousands
-    z = np.column_stack([x * scale, np.ones(len(x))]).astype(np.float32)
+    z = np.empty((len(x), x.shape[1] + 1), np.float32)
+    np.multiply(x, scale, out=z[:, :-1], casting="unsafe")
+    z[:, -1] = 1
+    del x
     rate = 4 / (np.linalg.norm(z, axis=1) ** 2).mean()
     y = y.astype(np.float32)
     w = v = np.zeros(z.shape[1], np.float32)
@@ -180,7 +183,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     y = post[np.searchsorted(code, np.array([r["pattern"] for r in rows]))]
     if (y < 0.5).sum() == 0 or (y >= 0.5).sum() == 0:
         return None
-    x = np.frombuffer(b"".join(bytes(r["features"]) for r in rows), np.float32).reshape(len(rows), DIM + 1)
+    x = np.empty((len(rows), DIM + 1), np.float32)
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(r["features"], np.float32)
+    del rows
     order = np.lexsort((x[:, 1], x[:, 0], y))  # rows come in any order
     return _train(x[order], y[order])
 

@@ -104,9 +104,13 @@ HOMOGLYPHS |= dict.fromkeys("​‌‍⁠﻿­", "")
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _ODD = re.compile("[" + "".join(map(re.escape, HOMOGLYPHS)) + "]")
+# Domain ends that make a bare "dot" a disguise.
+ENDS = "com org net edu gov mil int info biz name dev app io ai co uk us eu de fr es it nl pt br ch at be se no fi dk pl cz ru cn jp kr in ca au mx".split()
+
+_END = rf"(?:(?:{'|'.join(ENDS)})\b|[a-z0-9-]+[ ]{{1,2}}dot[ ])"
 _SPELLED = rf"\b(?:{'|'.join(DIGITS)})\b(?:[ ,.-]{{1,3}}(?:{'|'.join(DIGITS)})\b)+"
-_AT = r"[ ]{0,2}[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]{0,2}|[ ]{1,2}@[ ]{1,2}|[ ]{1,2}at[ ]{1,2}(?=[a-z0-9-]+(?:[ ]{1,2}dot[ ]|[ ]{0,2}[\[({<][ ]?(?:dot|\.)))"
-_DOT = r"[ ]{0,2}[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]{0,2}|(?<=[a-z0-9])[ ]{1,2}dot[ ]{1,2}(?=[a-z0-9])"
+_AT = r"[ ]{0,2}[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]{0,2}|[ ]{1,2}@[ ]{1,2}|[ ]{1,2}at[ ]{1,2}(?=[a-z0-9-]+(?:[ ]{1,2}dot[ ]{1,2}" + _END + r"|[ ]{0,2}[\[({<][ ]?(?:dot|\.)))"
+_DOT = r"[ ]{0,2}[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]{0,2}|(?<=[a-z0-9])[ ]{1,2}dot[ ]{1,2}(?=" + _END + ")"
 _PLUS = rf"\bplus[ ]{{1,2}}(?=[0-9]|(?:{'|'.join(DIGITS)})\b)"
 _DISGUISE = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<plus>{_PLUS})|(?P<spelled>{_SPELLED})", re.IGNORECASE)
 _HINT = re.compile(rf"\b(?:dot)\b|[\[({{<][ ]?(?:at|dot|@|\.)[ ]?[\])}}>]|[ ]@[ ]|{_SPELLED}", re.IGNORECASE)

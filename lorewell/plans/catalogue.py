@@ -423,3 +423,27 @@ def event_log_dedup(s, d):
     e = s.read.parquet(f"{d}/events.parquet")
     rows = e.selectExpr("concat('evt_', cast(user_id as string), event_type) as id", "'events-0001' as _segment", "event_id as _line", "event_type as op")
     return first_per_id(rows).select("id", "_line")
+
+
+@query
+def write_plan(s, d):
+    from lorewell.operators.writes import plan_writes
+
+    n = bound.notes(s, d).withColumn("body_hash", ids.body_hash(F.col("statement"), F.col("body")))
+    drafts = n.where("doc_id % 53 = 1 and type is not null").select(F.concat(F.lit("d"), "id").alias("draft_id"), F.when(F.col("type") == "task", "fact").otherwise(F.col("type")).alias("type"), "statement", "body", "tags")
+    return plan_writes(n, drafts)
+
+
+@query
+def learn_proposals(s, d):
+    from lorewell.operators.writes import learn
+
+    return learn(bound.corpus(s, d), [*PATHS, "src/none/at_all.rs"])
+
+
+@query
+def hub_notes(s, d):
+    from lorewell.operators.writes import hub_notes as hubs
+
+    c = bound.notes(s, d).select("id", F.lit("class").alias("axis"), F.col("classification").alias("key"))
+    return hubs(c).select("id", "statement", F.size("edges").cast("long").alias("n_members"))

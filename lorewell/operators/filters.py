@@ -102,8 +102,8 @@ def glob_pairs(patterns: DataFrame, paths: DataFrame) -> DataFrame:
     folder = F.regexp_extract("pattern", r"^([^*?\[]*/)?", 0)
     globs = patterns.where(has_glob(F.col("pattern"))).withColumn("_dir", folder)
     parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    below = paths.select("path", F.explode(F.transform(above, lambda d: F.when(d == "", F.when(F.startswith(F.col("path"), F.lit("/")), "/").otherwise("")).otherwise(F.concat(d, F.lit("/"))))).alias("_dir")).distinct()
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/"))))
+    below = paths.select("path", F.explode(above).alias("_dir")).distinct()
     wild = globs.join(below, "_dir").where(matches(F.col("pattern"), F.col("path"))).select("pattern", "path")
     same = patterns.join(paths, patterns["pattern"] == paths["path"]).select("pattern", "path")
     return wild.union(same).distinct()

@@ -65,7 +65,7 @@ def since(events: DataFrame, checkpoint: str) -> DataFrame:
 
 def read_shards(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(notes, warnings) of NDJSON lines {"frontmatter": {...}, "body": ...}: last line per id of a file, then the winner across files."""
-    front = re.sub(r"\s+", " ", NOTES.replace("body STRING, ", "").replace(", _corrupt STRING, _origin STRING", ""))
+    front = re.sub(r"\s+", " ", NOTES).strip().replace("body STRING, ", "").replace(", _corrupt STRING, _origin STRING", "")
     front = front.replace("created_ms BIGINT", "created_at STRING").replace("edges ARRAY<STRUCT<kind: STRING, to: STRING>>,", "")
     schema = f"frontmatter STRUCT<{_fields(front)}>, body STRING, _corrupt STRING"
     lines = _lines(spark, path)

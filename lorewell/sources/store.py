@@ -32,7 +32,8 @@ def read_notes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = parsed.withColumn("n", F.from_json("p.json", f"{plain}, {lists}, {nested}"))
     bad = rows.where("not d.ok or p.error is not null or n.id is null or n.statement is null").select("_origin", F.coalesce("p.error", F.when(~F.col("d.ok"), "unclosed fence"), F.lit("a required key is missing")).alias("warning"))
     good = rows.where("d.ok and p.error is null and n.id is not null and n.statement is not null").select("n.*", F.col("d.body").alias("body"), "_origin")
-    edges = F.flatten(F.array(*[F.transform(F.coalesce(k, F.array().cast("array<string>")), lambda t, k=k: F.struct(F.lit(k).alias("kind"), t.alias("to"))) for k in EDGE_KINDS]))
+    to = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("to"))
+    edges = F.flatten(F.array(*[F.transform(F.coalesce(k, F.array().cast("array<string>")), to(k)) for k in EDGE_KINDS]))
     last = W.partitionBy("id").orderBy(F.desc("_origin"))
     out = good.withColumn("edges", edges).withColumn("created_ms", parse_utc(F.col("created_at"))).withColumn("_k", F.row_number().over(last)).where("_k = 1")
     outcomes = F.transform("outcomes", lambda o: F.struct(o["status"].alias("status"), parse_utc(o["recorded_at"]).alias("recorded_ms"), o["notes"].alias("notes"), o["duration"].alias("duration"), o["agent"].alias("agent")))

@@ -12,6 +12,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEPTH = 32
 _LEXEME = re.compile(r'\s*(?:(?P<quoted>"(?:[^"\\]|\\.)*")|(?P<mark>[\[\]{},])|(?P<bare>[^\[\]{},"][^\[\]{},]*))')
@@ -203,7 +204,7 @@ def emit(value: dict, indent: int = 0) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("json string, error string")
+@F.pandas_udf(T.StructType([T.StructField("json", T.StringType()), T.StructField("error", T.StringType())]))
 def to_json(texts: pd.Series) -> pd.DataFrame:
     """JSON of each document, or why it is none."""
 
@@ -216,6 +217,6 @@ def to_json(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in texts], columns=["json", "error"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def from_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: emit(json.loads(t)) if t else "")

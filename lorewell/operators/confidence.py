@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.corpus import Corpus
+from lorewell.functions.runtime import written
 from lorewell.functions.scores import age_days, age_factor, confidence, posterior_mean, wilson
 from lorewell.operators.filters import Filter, anchor_pairs, anchors_of, knowledge
 
@@ -34,11 +35,13 @@ def task_confirmation(notes: DataFrame, weight: float = 0.1) -> DataFrame:
     return count.select("id", F.least(F.col("_n") * weight, F.lit(1.0)).alias("task"))
 
 
-def base_confidence(corpus: Corpus, drift: DataFrame | None = None, task: bool = True) -> DataFrame:
-    """(id, confidence) without a query."""
+def base_confidence(corpus: Corpus, drift: DataFrame | None = None, task: bool = True, confirmed: DataFrame | None = None) -> DataFrame:
+    """(id, confidence) without a query; ``confirmed`` is task_confirmation where it is at hand."""
     notes = corpus.notes
     rows = notes.select("id", "created_ms", "successes", "failures")
-    rows = rows.join(task_confirmation(notes, corpus.settings.confirmation), "id", "left") if task else rows.withColumn("task", F.lit(0.0))
+    if task and confirmed is None:
+        confirmed = task_confirmation(notes, corpus.settings.confirmation)
+    rows = rows.join(confirmed, "id", "left") if task else rows.withColumn("task", F.lit(0.0))
     rows = rows.join(drift, "id", "left") if drift is not None else rows.withColumn("drift", F.lit(0.0))
     age = age_factor(age_days(F.col("created_ms"), corpus.now_ms))
     zero = F.lit(0.0)
@@ -46,10 +49,10 @@ def base_confidence(corpus: Corpus, drift: DataFrame | None = None, task: bool =
     return rows.select("id", value.alias("confidence"))
 
 
-def losers(corpus: Corpus, drift: DataFrame | None = None, task: bool = True) -> DataFrame:
+def losers(corpus: Corpus, drift: DataFrame | None = None, task: bool = True, confirmed: DataFrame | None = None) -> DataFrame:
     """Notes that lose a contradiction: the side with less confidence, none at a tie, dangling links ignored."""
     pairs = corpus.edges.where("kind = 'contradicts'").select("src", "dst")
-    c = base_confidence(corpus, drift, task).withColumn("confidence", F.round("confidence", 9))
+    c = written(base_confidence(corpus, drift, task, confirmed).withColumn("confidence", F.round("confidence", 9)))
     a, b = c.toDF("src", "_a"), c.toDF("dst", "_b")
     both = pairs.join(a, "src").join(b, "dst").where("_a <> _b")
     return both.select(F.when(F.col("_a") < F.col("_b"), F.col("src")).otherwise(F.col("dst")).alias("id")).distinct()
@@ -58,7 +61,8 @@ def losers(corpus: Corpus, drift: DataFrame | None = None, task: bool = True) ->
 def rank(corpus: Corpus, f: Filter = Filter(), limit: int = 5, everything: bool = False) -> DataFrame:
     """Best notes by confidence alone."""
     notes = corpus.notes.where(f.column() if everything else f.column() & knowledge())
-    rows = notes.join(base_confidence(corpus), "id").join(losers(corpus).withColumn("_lost", F.lit(True)), "id", "left").join(task_confirmation(corpus.notes, corpus.settings.confirmation), "id", "left")
+    confirmed = written(task_confirmation(corpus.notes, corpus.settings.confirmation))
+    rows = notes.join(base_confidence(corpus, confirmed=confirmed), "id").join(losers(corpus, confirmed=confirmed).withColumn("_lost", F.lit(True)), "id", "left").join(confirmed, "id", "left")
     sure = F.round(F.when(F.col("_lost"), F.greatest(F.col("confidence") - 0.1, F.lit(0.0))).otherwise(F.col("confidence")), 6)
     task = F.coalesce("task", F.lit(0.0))
     stars = F.round(F.least(posterior_mean(F.col("successes"), F.col("failures")) + task, F.lit(1.0)), 6)

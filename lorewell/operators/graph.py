@@ -115,21 +115,33 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
         personal = known.join(chosen.withColumn("_p", F.lit(1.0 / chosen.count())), "id", "left").select("id", F.coalesce("_p", F.lit(0.0)).alias("_p"))
     else:
         personal = known.withColumn("_p", F.lit(1.0 / n))
-    rank = written(personal.withColumn("rank", F.lit(1.0 / n)))
+    personal = written(personal)
+    start = 1.0 / n
+    came: DataFrame | None = None
     for step in range(steps):
-        sent = links.join(rank.select(F.col("id").alias("src"), (F.col("rank")).alias("_r")), "src")
-        came = written(sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("_r") / F.col("_d")).alias("_c")))
-        whole = came.agg(F.coalesce(F.sum("_c"), F.lit(0.0)).alias("_all"))
-        new = rank.join(came, "id", "left").join(F.broadcast(whole), F.lit(True))
-        value = F.col("_p") * (1 - damping) + (F.coalesce("_c", F.lit(0.0)) + (F.lit(1.0) - F.col("_all")) * F.col("_p")) * damping
-        new = written(new.select("id", "_p", value.alias("rank"), F.abs(value - F.col("rank")).alias("_moved")))
-        done = step % 8 == 7 and new.agg(F.sum("_moved")).first()[0] < stop
-        rank = new.select("id", "_p", "rank")
-        if done:
-            break
+        rank = _ranked(personal, came, damping, start)
+        sent = links.join(rank.select(F.col("id").alias("src"), F.col("rank").alias("_r")), "src")
+        now = written(sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("_r") / F.col("_d")).alias("_c")))
+        if step % 8 == 7:
+            moved = _ranked(personal, now, damping, start).join(rank.withColumnRenamed("rank", "_old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
+            if moved < stop:
+                came = now
+                break
+        came = now
+    rank = _ranked(personal, came, damping, start)
     return rank.select("id", "rank")
 
 
+def _ranked(personal: DataFrame, came: DataFrame | None, damping: float, start: float) -> DataFrame:
+    """(id, rank) from what arrived at each node; the mass that did not arrive is dangling."""
+    if came is None:
+        return personal.select("id", F.lit(start).alias("rank"))
+    whole = came.agg(F.coalesce(F.sum("_c"), F.lit(0.0)).alias("_all"))
+    rows = personal.join(came, "id", "left").join(F.broadcast(whole), F.lit(True))
+    value = F.col("_p") * (1 - damping) + (F.coalesce("_c", F.lit(0.0)) + (F.lit(1.0) - F.col("_all")) * F.col("_p")) * damping
+    return rows.select("id", value.alias("rank"))
+
+
 def views(corpus: Corpus) -> DataFrame:
     """(id, state, reason): work items, ready or blocked; reason is cycle, or the smallest id still to be satisfied."""
     notes = corpus.notes

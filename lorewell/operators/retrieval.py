@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from lorewell.corpus import Corpus
 from lorewell.functions.globs import either_matches, regex_column
+from lorewell.functions.runtime import written
 from lorewell.functions.scores import age_days, age_factor, confidence, idf, posterior_mean, type_weight, wilson
-from lorewell.functions.text import one_line, query_terms, stem, tokens
+from lorewell.functions.text import one_line, query_terms, tokens, with_stem
 from lorewell.functions.vectors import dot, norm
 from lorewell.operators.filters import Filter, knowledge
 
@@ -23,7 +24,7 @@ def field_tokens(notes: DataFrame) -> DataFrame:
     """(id, field, term) of every stemmed token of every field."""
     each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.array_join("tags", " ") if f == "tags" else f).alias("t")) for f in FIELD_WEIGHT])
     rows = notes.select("id", F.explode(each).alias("f")).select("id", "f.field", F.explode("f.t").alias("tok"))
-    return rows.select("id", "field", stem(F.col("tok")).alias("term"))
+    return with_stem(rows, "tok", "term").select("id", "field", "term")
 
 
 def postings(notes: DataFrame) -> DataFrame:
@@ -46,35 +47,57 @@ def document_frequency(notes: DataFrame) -> DataFrame:
     return postings(notes).groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
-def _query_rows(notes: DataFrame, query: str, max_ratio: float) -> DataFrame:
-    """(term, mult, field, df, n, avg_len): the query's terms with their statistics; small and bounded by the query."""
-    spark = notes.sparkSession
-    terms = query_terms(query)
-    q = spark.createDataFrame([(t,) for t in terms], "term string").groupBy("term").agg(F.count("*").alias("mult"))
-    wanted = field_tokens(notes).where(F.col("term").isin(*terms)) if terms else field_tokens(notes).where(F.lit(False))
-    df = wanted.distinct().groupBy("field", "term").agg(F.count("*").alias("df"))
-    s = stats(notes)
-    ratio = df.join(F.broadcast(s), F.lit(True)).groupBy("term").agg(F.max(F.col("df") / F.col("n")).alias("ratio"), F.max("n").alias("_n"))
-    if max_ratio > 0:
-        q = q.join(ratio.where((F.col("ratio") >= max_ratio) & (F.col("_n") >= HIGH_FREQUENCY_LEAST)), "term", "left_anti")
-    avg = F.create_map(*[x for f in FIELD_WEIGHT for x in (F.lit(f), F.col(f"avg_{f}"))])
-    return q.join(df, "term").join(F.broadcast(s), F.lit(True)).select("term", "mult", "field", "df", "n", avg[F.col("field")].alias("avg_len"))
+def term_table(notes: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, field, len, tf) of every field with words: its length, and how often each of a query's terms is in it.
 
+    One scan of the text; written, as a query's statistics and scores both come from it.
+    """
+    count = F.array(*[F.count_if(F.col("term") == t) for t in terms]).cast("array<bigint>")
+    return written(field_tokens(notes).groupBy("id", "field").agg(F.count("*").alias("len"), count.alias("tf")))
 
-def bm25(notes: DataFrame, query: str, max_ratio: float = 0.9) -> DataFrame:
-    """(id, raw, body_raw, score) of the notes that a query's terms hit; statistics are those of all ``notes``.
 
-    One scan of the notes keeps only the query's terms, so no posting of other terms is shuffled.
-    """
-    q = F.broadcast(_query_rows(notes, query, max_ratio))
-    terms = query_terms(query)
-    rows = field_tokens(notes).where(F.col("term").isin(*terms)) if terms else field_tokens(notes).where(F.lit(False))
-    tf = rows.groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
-    hits = tf.join(q, ["field", "term"]).join(lengths(notes), ["id", "field"])
-    length = F.when(F.col("avg_len") > 0, (F.lit(1.0) - B) + F.col("len") * B / F.col("avg_len")).otherwise(1.0)
-    weight = F.when(F.col("field") == "statement", 3.0).when(F.col("field") == "tags", 2.0).otherwise(1.0)
-    part = weight * idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + length * K1) * F.col("mult")
-    sums = hits.withColumn("part", part).groupBy("id").agg(F.sum("part").alias("raw"), F.sum(F.when(F.col("field") == "body", F.col("part")).otherwise(0.0)).alias("body_raw"))
+def _statistics(notes: DataFrame, table: DataFrame, terms: list[str], max_ratio: float) -> tuple[list[int], int, dict[str, tuple[float, list[int]]]]:
+    """Places of the kept terms, the number of notes, and of each field the mean length and document frequencies: a few numbers."""
+    n = notes.count()
+    per = [F.count_if(F.col("tf")[k] > 0) for k in range(len(terms))]
+    rows = table.groupBy("field").agg(F.sum("len").alias("total"), F.array(*per).cast("array<bigint>").alias("df")).collect()
+    fields = {r.field: (r.total / n, list(r.df)) for r in rows}
+    most = [max((df[k] for _, df in fields.values()), default=0) for k in range(len(terms))]
+    kept = [k for k in range(len(terms)) if not (max_ratio > 0 and n >= HIGH_FREQUENCY_LEAST and most[k] / n >= max_ratio)]
+    return kept, n, fields
+
+
+def kept_terms(notes: DataFrame, query: str, max_ratio: float) -> list[str]:
+    """A query's terms that occur and are not cut as too frequent."""
+    terms = sorted(set(query_terms(query)))
+    if not terms:
+        return []
+    kept, _, fields = _statistics(notes, term_table(notes, terms), terms, max_ratio)
+    return [terms[k] for k in kept if any(df[k] for _, df in fields.values())]
+
+
+def bm25(notes: DataFrame, query: str, max_ratio: float = 0.9) -> DataFrame:
+    """(id, raw, body_raw, score) of the notes that a query's terms hit; statistics are those of all ``notes``."""
+    wanted = query_terms(query)
+    terms = sorted(set(wanted))
+    if not terms:
+        return notes.sparkSession.createDataFrame([], "id string, raw double, body_raw double, score double")
+    table = term_table(notes, terms)
+    kept, n, fields = _statistics(notes, table, terms, max_ratio)
+    part = F.lit(0.0)
+    for field, (mean, df) in fields.items():
+        norm = (F.lit(1.0) - B) + F.col("len") * B / F.lit(mean) if mean > 0 else F.lit(1.0)
+        own = F.lit(0.0)
+        for k in kept:
+            if df[k]:
+                tf = F.col("tf")[k]
+                own = own + F.lit(FIELD_WEIGHT[field]) * idf(F.lit(n), F.lit(df[k])) * tf * (K1 + 1) / (tf + norm * K1) * wanted.count(terms[k])
+        part = part + F.when(F.col("field") == field, own).otherwise(0.0)
+    hit = F.lit(False)
+    for k in kept:
+        hit = hit | (F.col("tf")[k] > 0)
+    rows = table.where(hit).withColumn("part", part)
+    sums = rows.groupBy("id").agg(F.sum("part").alias("raw"), F.sum(F.when(F.col("field") == "body", F.col("part")).otherwise(0.0)).alias("body_raw"))
     kind = notes.select("id", type_weight(F.coalesce("type", F.lit("epic"))).alias("_w"), "successes")
     return sums.join(kind, "id").select("id", "raw", "body_raw", (F.col("raw") * F.col("_w") * (F.col("successes") * 0.1 + 1.0)).alias("score"))
 
@@ -130,11 +153,11 @@ def recall(corpus: Corpus, query: str, paths: list[str], vector: list[float] | N
     limit = s.limit if limit is None else limit
     notes = corpus.notes
     allowed = notes.where(f.column() & knowledge())
-    confirmed = task_confirmation(notes, s.confirmation)
+    confirmed = written(task_confirmation(notes, s.confirmation))
     boost = bm25(notes, query, s.max_term_ratio).join(confirmed, "id", "left").withColumn("score", F.col("score") * (F.greatest(F.coalesce("task", F.lit(0.0)), F.lit(0.0)) + 1.0))
     keep = allowed.select("id")
     lexical = ranked(boost.where("score > 0").join(keep, "id", "left_semi"), "score", "lexical")
-    hits = anchor_hits(allowed, paths)
+    hits = written(anchor_hits(allowed, paths))
     channels = lexical.union(ranked(hits, "hits", "anchor"))
     if vector is not None and corpus.vectors is not None:
         near = similar_to(corpus.vectors, vector, 0.0, s.semantic_top_k).join(keep, "id", "left_semi")
@@ -142,7 +165,7 @@ def recall(corpus: Corpus, query: str, paths: list[str], vector: list[float] | N
     fused = top(fuse(channels, {"lexical": s.lexical, "anchor": s.anchor, "semantic": s.semantic}, s.rrf_k), "score", limit, 9)
     # at most ``limit`` rows from here on
     best = fused.agg(F.max("score").alias("_best"))
-    out = fused.join(F.broadcast(best), F.lit(True)).join(notes, "id").join(confirmed, "id", "left").join(losers(corpus).withColumn("_lost", F.lit(True)), "id", "left").join(hits.select("id", "file"), "id", "left")
+    out = fused.join(F.broadcast(best), F.lit(True)).join(notes, "id").join(confirmed, "id", "left").join(losers(corpus, confirmed=confirmed).withColumn("_lost", F.lit(True)), "id", "left").join(hits.select("id", "file"), "id", "left")
     days = age_days(F.col("created_ms"), corpus.now_ms)
     task = F.coalesce("task", F.lit(0.0))
     similarity = F.when(F.col("_best") > 0, F.col("score") / F.col("_best")).otherwise(0.0)

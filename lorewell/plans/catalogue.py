@@ -49,8 +49,7 @@ def bm25_topk(s, d):
 @query
 def bm25_highfreq_cut(s, d):
     n = bound.notes(s, d)
-    q = retrieval._query_rows(n, QUERY, 0.05)
-    return q.select("term").distinct()
+    return s.createDataFrame([(t,) for t in retrieval.kept_terms(n, QUERY, 0.05)], "term string")
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorewell.corpus import Corpus
 from lorewell.functions.ids import TYPES
+from lorewell.functions.runtime import spread
 
 NOW_MS = 1_735_689_600_000
 
@@ -16,7 +17,7 @@ def _note(i: str) -> str:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     types = ",".join(f"'{t}'" for t in TYPES)
     i = "doc_id"

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.corpus import Corpus, Settings
-from lorewell.functions.runtime import written
+from lorewell.functions.runtime import ship, written
 from lorewell.operators.graph import classes
 
 #: Query vectors that one pass over the index compares; it bounds what the driver and each task hold.
@@ -31,6 +31,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, least: float) ->
     Queries go in blocks of BLOCK against all vectors: each task keeps its own best k of a query, and only those meet.
     """
     spark = vectors.sparkSession
+    ship(spark)
     schema = "origin string, id string, score double"
     out, block = None, []
 
@@ -95,6 +96,7 @@ def complete_link(members: DataFrame, vectors: DataFrame, least: float, volume:
 
     The greedy order is the operator's meaning, so one cluster is one task; its members' vectors must fit there.
     """
+    ship(members.sparkSession)
     big = members.groupBy("cluster").agg(F.count("*").alias("_n")).where(F.col("_n") >= volume)
     rows = members.join(big, "cluster", "left_semi").join(vectors.select("id", "vector"), "id")
 
@@ -193,6 +195,7 @@ def communities(corpus: Corpus) -> DataFrame:
 
     Moves never leave a connected component and need of the rest only the whole weight, so each component is a task of its own.
     """
+    ship(corpus.notes.sparkSession)
     graph = written(weighted_graph(corpus))
     mass = (graph.agg(F.sum("w")).first()[0] or 0.0) * 2
     part = classes(graph.select(F.col("a").alias("src"), F.col("b").alias("dst"))).toDF("a", "component")

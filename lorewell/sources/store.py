@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lorewell.corpus import NOTES
 from lorewell.functions.ids import EDGE_KINDS, parse_utc
+from lorewell.functions.runtime import ship
 from lorewell.sources import toon
 
 FENCE = r"(?s)\A---\n(.*?)(?:^|\n)---(?:\n|\z)(.*)\z"
@@ -23,6 +24,7 @@ def split_document(text):
 
 def read_notes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(notes, warnings) of the Markdown files below a folder; the last path wins for an id."""
+    ship(spark)
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True).withColumn("_origin", F.input_file_name())
     split = files.withColumn("d", split_document(F.col("value")))
     parsed = split.withColumn("p", toon.to_json(F.col("d.header")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lorewell.functions.runtime import ship
 from lorewell.functions.vectors import embedder
 from lorewell.operators.semantic import embedding_state
 
@@ -39,6 +40,7 @@ def drained(waiting: DataFrame, embed: Callable = embedder) -> DataFrame:
 
 def start(spark: SparkSession, source: str, schema: str, index: str, checkpoint: str, embed: Callable = embedder, files_per_trigger: int = 32) -> StreamingQuery:
     """Embed the notes of a folder's new Parquet files and append them to the vector table; a batch that fails is tried again."""
+    ship(spark)
     notes = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
 
     def batch(rows: DataFrame, number: int) -> None:

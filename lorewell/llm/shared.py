@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorewell.functions.runtime import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def narrow_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> None:
-    """Bound what one Arrow batch holds, so that a Python worker's memory does not follow text length."""
+    """Bound what one Arrow batch holds, so that a Python worker's memory does not follow text length; and send the workers this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

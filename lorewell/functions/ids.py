@@ -46,7 +46,9 @@ def parse_utc(text: Column) -> Column:
 
 
 def format_utc(ms: Column) -> Column:
-    return F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    """Whatever the session's time zone: the seconds are added to a timestamp without one."""
+    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.floor(ms / 1000).cast("decimal(18,6)"))
+    return F.concat(F.replace(at.cast("string"), F.lit(" "), F.lit("T")), F.lit("."), F.lpad((F.pmod(ms, F.lit(1000))).cast("string"), 3, "0"), F.lit("Z"))
 
 
 def agent_of(agent_id: Column, agent: Column) -> Column:

@@ -20,9 +20,10 @@ HIGH_FREQUENCY_LEAST = 64
 RECENT_MS = 7 * 86_400_000
 
 
-def field_tokens(notes: DataFrame) -> DataFrame:
-    """(id, field, term) of every stemmed token of every field."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.array_join("tags", " ") if f == "tags" else f).alias("t")) for f in FIELD_WEIGHT])
+def field_tokens(notes: DataFrame, fields: tuple[str, ...] = tuple(FIELD_WEIGHT), once: bool = False) -> DataFrame:
+    """(id, field, term) of every stemmed token; with ``once`` a field's equal tokens are one before they are stemmed."""
+    words = lambda f: tokens(F.array_join("tags", " ") if f == "tags" else f)
+    each = F.array(*[F.struct(F.lit(f).alias("field"), (F.array_distinct(words(f)) if once else words(f)).alias("t")) for f in fields])
     rows = notes.select("id", F.explode(each).alias("f")).select("id", "f.field", F.explode("f.t").alias("tok"))
     return with_stem(rows, "tok", "term").select("id", "field", "term")
 
@@ -44,7 +45,7 @@ def stats(notes: DataFrame) -> DataFrame:
 
 
 def document_frequency(notes: DataFrame) -> DataFrame:
-    return postings(notes).groupBy("field", "term").agg(F.count("*").alias("df"))
+    return field_tokens(notes, once=True).distinct().groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
 def term_table(notes: DataFrame, terms: list[str]) -> DataFrame:

@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items become SEED-word seeds. One pass over the documents finds the places of all seeds and
-writes, for each document and item with a hit, the words around the hits (as numbers of the
-item's own words). Seeds are then counted over the whole corpus and a seed is rare if it is in at most
-COMMON times as many documents as its item's rarest seed found; rarity is relative to the item, so a
-passage that very many documents hold keeps its seeds. Candidates with a rare seed are aligned; score is
-the local alignment's score over that of the whole item, and pairs of MIN_SCORE or more are reported.
+Test items become SEED-word seeds. One pass over the documents finds the places of all seeds, takes for
+each document and item with a hit the words around the hits (as numbers of the item's own words), and aligns
+every such window, however common its seeds are; equal windows are aligned once per task. Only windows
+that share too few words with the item to reach the least score are left out, which changes no result: an alignment
+matches no more words than both have. So a document's result depends on no other document. Score is the local
+alignment's score over that of the whole item, and pairs of MIN_SCORE or more are reported. A copy
+without any SEED unedited words in a row has no seed and is not found.
 
 Items are scanned in blocks of BLOCK_WORDS words, which bounds what the driver holds and each task gets.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from lorewell.llm.kernels import ALNUM, Words, grams, slices, texts
 from lorewell.llm.shared import Scratch, narrow_batches, table
 
-SEED, COMMON, MIN_SCORE, BLOCK_WORDS = 4, 50, 0.5, 2_000_000
+SEED, MIN_SCORE, BLOCK_WORDS = 4, 0.5, 2_000_000
+#: A task keeps so many alignments of earlier windows.
+RECENT = 4096
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -66,8 +70,8 @@ class Block:
                 out += [(int(d), int(item[k]), int(p), int(at[k]), g[k]) for k in range(a, b)]
         return out
 
-    def windows(self, w: Words) -> Iterator[tuple[int, int, int, np.ndarray, list[int]]]:
-        """(document, item, first word, words as places in the item's vocabulary or -1, seeds) for each group of hits."""
+    def windows(self, w: Words) -> Iterator[tuple[int, int, int, np.ndarray, int]]:
+        """(document, item, first word, words as places in the item's vocabulary or -1, number of seeds) for each group of hits."""
         by: dict[tuple[int, int], list[tuple[int, int, np.uint64]]] = defaultdict(list)
         for d, k, p, at, g in self.hits(w):
             by[d, k].append((p - at, p, g))
@@ -83,7 +87,7 @@ class Block:
                 pad = size // 4 + 4
                 a = max(int(w.first[d]), group[0][0] - pad)
                 b = min(int(w.first[d + 1]), group[-1][0] + size + pad)
-                yield d, k, a - int(w.first[d]), coded(h, w.hash[a:b]), sorted({int(g.view(np.int64)) for _, _, g in group})
+                yield d, k, a - int(w.first[d]), coded(h, w.hash[a:b]), len({int(g) for _, _, g in group})
 
 
 def coded(item: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -110,35 +114,35 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * len(item)), end
 
 
-def _candidates(block: Block):
+def bound(item: np.ndarray, window: np.ndarray) -> float:
+    """At least the score of any alignment: words that both have, repeats counted, over the item's."""
+    n = int(item.max()) + 1
+    return int(np.minimum(np.bincount(item, minlength=n), np.bincount(window[(window >= 0) & (window < n)], minlength=n)).sum()) / len(item)
+
+
+def _aligned(block: Block, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(RECENT)
+        def score(k: int, window: bytes) -> tuple[float, int]:
+            item, words = coded(block.items[k][1], block.items[k][1]), np.frombuffer(window, np.int32)
+            return align(item, words) if bound(item, words) >= min_score else (-1.0, 0)
+
         for b in batches:
             buf, offs = texts(b.column(1))
             for i, j in slices(offs):
                 w = Words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ALNUM)
-                rows = list(block.windows(w))
+                rows = [(d, k, n, s, first + end) for d, k, first, window, n in block.windows(w) for s, end in [score(k, window.tobytes())] if s >= max(min_score, 0)]
                 if rows:
                     docs = b.column(0).take(pa.array([i + r[0] for r in rows]))
                     item = pa.array([block.items[r[1]][0] for r in rows], pa.int64())
-                    own = [coded(block.items[r[1]][1], block.items[r[1]][1]) for r in rows]
-                    ints = pa.list_(pa.int32())
                     yield pa.RecordBatch.from_arrays(
-                        [docs, item, pa.array([r[2] for r in rows], pa.int64()), pa.array(own, ints), pa.array([r[3] for r in rows], ints), pa.array([r[4] for r in rows], pa.list_(pa.int64()))],
-                        ["doc_id", "item_id", "first", "item", "window", "seeds"],
+                        [docs, item, pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.int64())],
+                        ["doc_id", "item_id", "n_seeds", "score", "end_word"],
                     )
 
     return run
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [align(np.asarray(x, np.int32), np.asarray(y, np.int32)) for x, y in zip(b.column("item").to_pylist(), b.column("window").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("item_id"), b.column("n_seeds"), pa.array([s for s, _ in found], pa.float64()), pa.array([f + e for f, (_, e) in zip(b.column("first").to_pylist(), found, strict=True)], pa.int64())],
-            ["doc_id", "item_id", "n_seeds", "score", "end_word"],
-        )
-
-
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     items, size = [], 0
     for i, t in benchmark.toLocalIterator():
@@ -156,17 +160,10 @@ def contaminated(scratch: Scratch, docs: DataFrame, benchmark: DataFrame, min_sc
     spark = docs.sparkSession
     narrow_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fields = "doc_id long, item_id long, first long, item array<int>, window array<int>, seeds array<long>"
-    found = spark.createDataFrame([], fields)
+    fields = "doc_id long, item_id long, n_seeds long, score double, end_word long"
+    scored = spark.createDataFrame([], fields)
     for items in _blocks(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))):
-        found = found.union(scratch.save(own.mapInArrow(_candidates(Block(items)), fields)))
-    # document frequencies: at most a row per item and seed
-    df = found.select("doc_id", "item_id", F.explode("seeds").alias("seed")).groupBy("item_id", "seed").agg(F.count("*").alias("df"))
-    least = df.groupBy("item_id").agg(F.min("df").alias("least"))
-    rare = scratch.save(df.join(least, "item_id").where(F.col("df") <= F.col("least") * COMMON).select("item_id", "seed"))
-    hit = found.withColumn("_w", F.monotonically_increasing_id()).withColumn("seed", F.explode("seeds")).join(rare, ["item_id", "seed"])
-    hit = hit.groupBy("_w", "doc_id", "item_id", "first", "item", "window").agg(F.count("*").alias("n_seeds")).drop("_w")
-    scored = hit.mapInArrow(_aligned, "doc_id long, item_id long, n_seeds long, score double, end_word long").where(F.col("score") >= min_score)
+        scored = scored.union(scratch.save(own.mapInArrow(_aligned(Block(items), min_score), fields)))
     best = F.max(F.struct("score", "n_seeds", (-F.col("end_word")).alias("e"))).alias("best")
     best = scored.groupBy("doc_id", "item_id").agg(best)
     return best.select("doc_id", "item_id", "best.score", "best.n_seeds", (-F.col("best.e")).alias("end_word"))

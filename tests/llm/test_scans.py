@@ -130,6 +130,23 @@ def test_op4_finds_copies_edited_or_not(spark, documents, scratch):
     assert all(found[i, k] == 1 for i, k in want if i % 5 == 0)
 
 
+def test_op4_finds_families_of_one_edited_copy_beside_a_verbatim_one(spark, documents, scratch):
+    """One document with the whole item makes the seeds over the edited place look rare, and those of all the copies common."""
+    item = [f"w{i}" for i in range(30)]
+    edited = [*item[:14], "other", *item[15:]]
+    texts = [" ".join([f"own{i}", *(edited if i else item), f"tail{i}"]) for i in range(121)]
+    found = {r.doc_id: (r.score, r.n_seeds) for r in decontamination.contaminated(scratch, documents(texts), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(found) == set(range(121)) and found[0] == (1, 27)
+    assert all(found[i] == ((29 * 2 - 1) / 60, 23) for i in range(1, 121))
+
+
+def test_bound_is_no_less_than_the_score():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = rng.integers(0, 6, rng.integers(1, 20)).astype(np.int32), rng.integers(-1, 6, rng.integers(0, 30)).astype(np.int32)
+        assert decontamination.bound(a, b) >= decontamination.align(a, b)[0]
+
+
 def test_op4_on_the_tables(spark, sf):
     words = lambda t: " ".join(re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower()))
     docs = {r.doc_id: f" {words(r.text)} " for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

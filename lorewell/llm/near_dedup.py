@@ -7,7 +7,8 @@ star of candidate edges, so candidates are as many as members; its centre is the
 most buckets with others, which in a family of edited copies is the one closest to all. Every
 candidate is confirmed on the full shingle sets. Where confirmed links leave a bucket's members in
 several components, small buckets are compared whole and large ones get a further star of their next
-member, again and again, until QUIET rounds over all open buckets confirm no new link. Pairs at
+member, as long as stars confirm new links. Buckets that are still open then are compared whole, in pairs of
+blocks of their members, so every two members of a bucket are compared or in one component already. Pairs at
 similarity 0.8 exactly miss all buckets with a chance of (1 - 0.8^6)^56, about 4e-8.
 
 Equal word sequences are one class with one signature, so thousands of copies cost one row. Links
@@ -168,8 +169,8 @@ def _joined(scratch: Scratch, roots: DataFrame, links: DataFrame) -> DataFrame:
 
 #: Buckets of up to so many members are compared whole where stars leave them open.
 SMALL = 8
-#: Rounds without a new link after which the stars end.
-QUIET = 3
+#: What stars leave of large buckets is compared in blocks of about so many members and at most about so many shingles.
+BLOCK, BLOCK_SHINGLES = 256, 500_000
 #: A centre's edges are dealt to at most so many groups, and its set goes once to each.
 GROUPS = 256
 
@@ -184,6 +185,60 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("c", "node", (shared * 100 >= union * percent).alias("ok"))
 
 
+def _forest(percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Links (a, b) of a few sets: the fewest that join all that links between different roots join."""
+        node, root = rows.column("node").to_numpy(), rows.column("root").to_numpy()
+        sets = pa.concat_arrays(rows.column("set").chunks)
+        offs, n = sets.offsets.to_numpy(), len(node)
+        size = np.diff(offs)
+        _, code, count = np.unique(sets.values.to_numpy()[offs[0] : offs[-1]], return_inverse=True, return_counts=True)
+        common = count > 1  # shingles of one set only add to its size
+        row, col = np.repeat(np.arange(n), size)[common[code]], (np.cumsum(common) - 1)[code[common[code]]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        shared, width = np.zeros((n, n), np.float32), max(1, 4_000_000 // n)
+        for at in range(0, int(common.sum()), width):
+            i, j = np.searchsorted(col, [at, at + width])
+            has = np.zeros((n, width), np.float32)
+            has[row[i:j], col[i:j] - at] = 1
+            shared += has @ has.T
+        shared = shared.astype(np.int64)
+        ok = (shared * 100 >= (size[:, None] + size[None, :] - shared) * percent) & (root[:, None] != root[None, :])
+        left, a, b = ok.any(1), [], []
+        for start in np.flatnonzero(left):
+            todo = [start] if left[start] else []
+            left[start] = False
+            while todo:
+                x = todo.pop()
+                new = np.flatnonzero(ok[x] & left)
+                left[new] = False
+                todo += new.tolist()
+                a += [x] * len(new)
+                b += new.tolist()
+        return pa.table({"a": pa.array(node[np.array(a, np.int64)], pa.int64()), "b": pa.array(node[np.array(b, np.int64)], pa.int64())})
+
+    return run
+
+
+def _whole(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what links between any two members of a bucket (key, node, root) join.
+
+    Members are dealt to blocks, and each pair of blocks is one group. Members in the component ``_r``
+    have blocks of their own, which are not compared with each other. Buckets of the same members count once.
+    """
+    mark = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
+    keys = members.groupBy("key").agg(F.count("*").alias("_n"), mark.alias("_m")).groupBy("_n", "_m").agg(F.min("key").alias("key")).select("key")
+    own = members.join(keys, "key").join(sets.select("node", F.size("set").alias("_size")), "node").withColumn("_in", F.col("root") == F.col("_r"))
+    blocks = lambda those: F.ceil(F.greatest(F.count_if(those) / BLOCK, F.sum(F.when(those, F.col("_size"))) / BLOCK_SHINGLES))
+    parts = own.groupBy("key").agg(blocks(F.col("_in")).alias("_p"), blocks(~F.col("_in")).alias("_q"))
+    place = lambda n: F.pmod(F.xxhash64("node"), n)
+    dealt = own.join(parts, "key").withColumn("_i", F.when(F.col("_in"), F.col("_q") + place(F.col("_p"))).otherwise(place(F.col("_q"))))
+    dealt = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.when(F.col("_in"), F.col("_q")).otherwise(F.col("_p") + F.col("_q")) - 1)))
+    dealt = dealt.select("key", F.least("_i", "_j").alias("_i"), F.greatest("_i", "_j").alias("_j"), "node", "root")
+    return dealt.join(sets, "node").groupBy("key", "_i", "_j").applyInArrow(_forest(percent), "a long, b long").distinct()
+
+
 def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: k-word shingles, links at ``percent`` similarity or more."""
     spark = docs.sparkSession
@@ -210,7 +265,7 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 4, percent: int
     sets = scratch.save(text.mapInArrow(_sets(k), "node long, set array<long>").dropDuplicates(["node"]))
     tested = scratch.save(_confirmed(pairs, sets, percent))
     as_edges = lambda rows: rows.where("ok").select(F.col("c").alias("a"), F.col("node").alias("b"))
-    roots, quiet = components(scratch, as_edges(tested)), 0
+    roots = components(scratch, as_edges(tested))
     while True:
         # a bucket stays open while members that were no centre yet lie in different components
         spent = members.groupBy("key").agg(F.max_by("node", "fame").alias("node"))
@@ -220,17 +275,16 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 4, percent: int
         far = members.where("node <> c and root <> _r").select("c", "node")
         few = members.where(F.col("n") <= SMALL)
         each = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key and x.fame > y.fame and x.root <> y.root")).select(F.col("x.node").alias("c"), F.col("y.node").alias("node"))
-        members = members.where(F.col("n") > SMALL).select("node", "key", "n", "fame")
+        large = members.where(F.col("n") > SMALL)
         more = scratch.save(_confirmed(far.union(each).distinct().join(tested, ["c", "node"], "left_anti"), sets, percent))
-        if more.isEmpty():
-            break
-        tested = tested.union(more)
         if more.where("ok").isEmpty():
-            quiet += 1
-            if quiet == QUIET:
-                break
-        else:
-            roots, quiet = scratch.save(_joined(scratch, roots, as_edges(more))), 0
+            break
+        tested, members = tested.union(more), large.select("node", "key", "n", "fame")
+        roots = scratch.save(_joined(scratch, roots, as_edges(more)))
+    if not large.isEmpty():
+        links = scratch.save(_whole(large, sets, percent))
+        if not links.isEmpty():
+            roots = scratch.save(_joined(scratch, roots, links))
 
     labelled = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("min_id").alias("component_id"))

@@ -61,6 +61,30 @@ def test_families_of_edited_copies(spark, documents, scratch):
     check(near_dedup.near_duplicates(scratch, documents(list(texts.items()))).collect(), texts)
 
 
+def test_links_of_rare_members_of_large_buckets(spark, documents, scratch):
+    """Seven groups of copies over the same boilerplate are more famous than the two documents that alone are linked across groups."""
+    texts = {}
+    for seed in (0, 3, 10):
+        some = lambda kind, n: [f"{kind}_{j}" for j in range(n)]
+        base = some(f"w{seed}", 160)
+        rows = [base + some(f"g{seed}_{i}", 22) + some(f"y{seed}_{i}_{d}", 1) for i in range(7) for d in range(16)] + [base + some(f"x{seed}_{d}", 19) for d in (0, 1)]
+        texts |= {1000 * seed + i: " ".join(w) for i, w in enumerate(rows)}
+    check(near_dedup.near_duplicates(scratch, documents(list(texts.items())), k=1).collect(), texts, 1)
+
+
+def test_forest_joins_what_all_links_join(spark):
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    for _ in range(20):
+        n = rnd.randrange(2, 40)
+        sets = {i: {rnd.randrange(14) for _ in range(10)} for i in range(n)}
+        rows = pa.table({"node": pa.array(range(n), pa.int64()), "root": pa.array(range(n), pa.int64()), "set": pa.array([sorted(s) for s in sets.values()], pa.list_(pa.int64()))})
+        out = near_dedup._forest(80)(rows).to_pylist()
+        root = components_of(sets)
+        assert all(root[r["a"]] == root[r["b"]] for r in out) and len(out) == n - len(set(root.values()))
+
+
 def test_signature_estimates_similarity():
     import numpy as np
 

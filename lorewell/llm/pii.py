@@ -113,7 +113,8 @@ _AT = r"[ ]{0,2}[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]{0,2}|[ ]{1,2}@[ ]{1,2}|[ ]{1,2
 _DOT = r"[ ]{0,2}[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]{0,2}|(?<=[a-z0-9])[ ]{1,2}dot[ ]{1,2}(?=" + _END + ")"
 _PLUS = rf"\bplus[ ]{{1,2}}(?=[0-9]|(?:{'|'.join(DIGITS)})\b)"
 _DISGUISE = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<plus>{_PLUS})|(?P<spelled>{_SPELLED})", re.IGNORECASE)
-_HINT = re.compile(rf"\b(?:dot)\b|[\[({{<][ ]?(?:at|dot|@|\.)[ ]?[\])}}>]|[ ]@[ ]|{_SPELLED}", re.IGNORECASE)
+#: A cheap test that no disguised text fails.
+_HINT = re.compile(rf"\b(?:dot)\b|[\[({{<][ ]?(?:dot|\.|(?:at|@)[ ]?[\])}}>])|[ ]@[ ]|{_PLUS}|{_SPELLED}", re.IGNORECASE)
 
 
 class Rewritten:

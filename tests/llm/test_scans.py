@@ -58,6 +58,23 @@ def test_disguises_map_back():
     assert pii.find("look at the dot on it. one two")[1] == {k: [] for k in pii.KINDS}
 
 
+def test_plus_alone_is_a_disguise():
+    for s in ("call plus 44 20 7946 0958", "call Plus  44 20 7946 0958 now"):
+        assert [s[a:b].lower().split()[0] for a, b in pii.find(s)[1]["phone"]] == ["plus"], s
+
+
+def test_hint_is_no_narrower_than_the_disguises():
+    rnd = random.Random(12)
+    pieces = ["plus", "Plus", "dot", "at", "@", ".", "(", ")", "[", "]", "<", "{", " ", " ", "  ", "4", "one", "two", "oh", "joe", "com", "ie", ",", "-", "x", "é"]
+    seen = 0
+    for _ in range(100_000):
+        s = "".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 14)))
+        if pii._DISGUISE.search(s):
+            seen += 1
+            assert pii._HINT.search(s), s
+    assert seen > 1000
+
+
 def test_op2_against_brute_force(spark, documents, sf):
     rnd = random.Random(4)
     pool = "under the mit license apache version 2 0 cc by nc licensed released x é gnu general".split()

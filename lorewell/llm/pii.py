@@ -104,8 +104,9 @@ HOMOGLYPHS |= dict.fromkeys("​‌‍⁠﻿­", "")
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _ODD = re.compile("[" + "".join(map(re.escape, HOMOGLYPHS)) + "]")
-# Domain ends that make a bare "dot" a disguise.
-ENDS = "com org net edu gov mil int info biz name dev app io ai co uk us eu de fr es it nl pt br ch at be se no fi dk pl cz ru cn jp kr in ca au mx".split()
+# Domain ends that make a bare "dot" a disguise: generic ones in common use and all country codes.
+ENDS = "com org net edu gov mil int info biz name pro mobi jobs travel museum aero coop post tel cat asia arpa dev app page xyz online site website web store shop tech cloud space live life world today news blog email mail media agency digital studio design art club group team company solutions services systems network software academy education school university institute foundation health care clinic doctor law legal bank finance money capital fund global international city town house home land london paris berlin tokyo nyc video games game fun wiki link click top vip win icu work works zone host hosting press one".split()
+ENDS += "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
 
 _END = rf"(?:(?:{'|'.join(ENDS)})\b|[a-z0-9-]+[ ]{{1,2}}dot[ ])"
 _SPELLED = rf"\b(?:{'|'.join(DIGITS)})\b(?:[ ,.-]{{1,3}}(?:{'|'.join(DIGITS)})\b)+"

@@ -63,6 +63,12 @@ def test_plus_alone_is_a_disguise():
         assert [s[a:b].lower().split()[0] for a, b in pii.find(s)[1]["phone"]] == ["plus"], s
 
 
+def test_bare_dots_before_other_ends():
+    for end in "ie nz za tv me online xyz com".split():
+        s = f"write alice at example dot {end} now"
+        assert [s[a:b] for a, b in pii.find(s)[1]["email"]] == [f"alice at example dot {end}"], s
+
+
 def test_hint_is_no_narrower_than_the_disguises():
     rnd = random.Random(12)
     pieces = ["plus", "Plus", "dot", "at", "@", ".", "(", ")", "[", "]", "<", "{", " ", " ", "  ", "4", "one", "two", "oh", "joe", "com", "ie", ",", "-", "x", "é"]

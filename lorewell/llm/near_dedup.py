@@ -8,7 +8,8 @@ most buckets with others, which in a family of edited copies is the one closest
 candidate is confirmed on the full shingle sets. Where confirmed links leave a bucket's members in
 several components, small buckets are compared whole and large ones get a further star of their next
 member, as long as stars confirm new links. Buckets that are still open then are compared whole, in pairs of
-blocks of their members, so every two members of a bucket are compared or in one component already. Pairs at
+blocks of their members, so every two members of a bucket are compared or in one component already.
+After ROUNDS of stars all that is open is compared so, which bounds the number of jobs. Pairs at
 similarity 0.8 exactly miss all buckets with a chance of (1 - 0.8^6)^56, about 4e-8.
 
 Equal word sequences are one class with one signature, so thousands of copies cost one row. Links
@@ -16,7 +17,8 @@ become components by alternating large-star and small-star steps over written ta
 
 Defined results: a null text is an empty text; a document without words has an empty set and is
 its own component; with fewer words than a shingle the whole sequence is the one shingle; repeated
-rows are copies of each other; an empty table gives no rows; other columns are not read.
+rows are copies of each other, and rows are told apart by their place, so null and repeated ids do no harm; a component's
+id is its least id, null if it has none; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.llm.kernels import SPACED, Words, grams, mix, slices, spread, texts
-from lorewell.llm.shared import Scratch, lookup, narrow_batches, table
+from lorewell.llm.shared import ROW, Scratch, keyed, lookup, narrow_batches, table
 
 BANDS, ROWS = 56, 6
 BINS = BANDS * ROWS
@@ -112,7 +114,7 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
 def _signed(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, offs = texts(b.column(1))
+            buf, offs = texts(b.column(2))
             for i, j in slices(offs):
                 w = Words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], SPACED)
                 h, first = shingle_sets(w, k)
@@ -122,8 +124,8 @@ def _signed(k: int):
                 raw = w.hash.tobytes()
                 digest = [hashlib.blake2b(raw[8 * p : 8 * q], digest_size=16).digest() for p, q in zip(w.first[:-1], w.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(digest, pa.binary()), pa.array(n.astype(np.int64)), _lists(keys.view(np.int64).ravel(), each)],
-                    ["doc_id", "digest", "n_shingles", "bands"],
+                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(digest, pa.binary()), pa.array(n.astype(np.int64)), _lists(keys.view(np.int64).ravel(), each)],
+                    [ROW, "doc_id", "digest", "n_shingles", "bands"],
                 )
 
     return run
@@ -167,8 +169,8 @@ def _joined(scratch: Scratch, roots: DataFrame, links: DataFrame) -> DataFrame:
     return roots.join(now, "root", "left").select("node", F.coalesce("_to", "root").alias("root")).union(moved.select("node", "root"))
 
 
-#: Buckets of up to so many members are compared whole where stars leave them open.
-SMALL = 8
+#: Buckets of up to so many members are compared whole where stars leave them open, larger ones after so many rounds of stars.
+SMALL, ROUNDS = 8, 6
 #: What stars leave of large buckets is compared in blocks of about so many members and at most about so many shingles.
 BLOCK, BLOCK_SHINGLES = 256, 500_000
 #: A centre's edges are dealt to at most so many groups, and its set goes once to each.
@@ -240,38 +242,41 @@ def _whole(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: k-word shingles, links at ``percent`` similarity or more."""
-    spark = docs.sparkSession
-    narrow_batches(spark)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.save(own.mapInArrow(_signed(k), "doc_id long, digest binary, n_shingles long, bands array<long>"))
-    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("size"))
-    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()))
-
-    same = (F.col("doc_id").eqNullSafe(F.col("min_id"))) & (F.col("digest") == F.col("_digest"))
-    named = signed.select("doc_id", "digest", "bands").join(classes.select(F.col("digest").alias("_digest"), "min_id", "node"), same)
-    rows = named.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    """(ROW, doc_id, n_shingles, component_id, root, _k) of every row: k-word shingles, links at ``percent`` similarity or more.
+
+    ``_k`` numbers the rows; rows with one ``root`` are one component, and rows without words have none.
+    """
+    narrow_batches(docs.sparkSession)
+    scratch = scratch.inner()
+    own = keyed(scratch, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).select(ROW, "doc_id", "text")
+    signed = own.mapInArrow(_signed(k), f"{ROW} struct<f: long, i: long>, doc_id long, digest binary, n_shingles long, bands array<long>")
+    signed = scratch.save(signed.withColumn("_k", F.monotonically_increasing_id()))
+    classes = scratch.save(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("size"), F.min("_k").alias("node")))
+
+    first = signed.select(ROW, F.col("_k").alias("node"), "bands").join(classes.select("node"), "node")
+    rows = first.select("node", F.explode("bands").alias("key"))
+    # aggregates are written before they are joined, so that the join's large keys can be split
+    shared = scratch.save(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     members = scratch.save(rows.join(shared, "key"))
     fame = members.groupBy("node").agg(F.sum("n").alias("_f"))
     fame = fame.select("node", (F.col("_f") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / (1 << 20)).alias("fame"))
     members, old = scratch.save(members.join(fame, "node")), members
-    scratch.drop(old)
+    scratch.drop(old, shared)
 
-    centres = members.groupBy("key").agg(F.max_by("node", "fame").alias("c"))
+    centres = scratch.save(members.groupBy("key").agg(F.max_by("node", "fame").alias("c")))
     pairs = scratch.save(members.join(centres, "key").where("node <> c").select("c", "node").distinct())
-    wanted = members.select("node").distinct().join(classes.select("node", "min_id"), "node")
-    text = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("min_id"))).select("node", "text")
-    sets = scratch.save(text.mapInArrow(_sets(k), "node long, set array<long>").dropDuplicates(["node"]))
+    wanted = members.select("node").distinct().join(signed.select(F.col("_k").alias("node"), ROW), "node")
+    text = own.select(ROW, "text").join(wanted, ROW).select("node", "text")
+    sets = scratch.save(text.mapInArrow(_sets(k), "node long, set array<long>"))
     tested = scratch.save(_confirmed(pairs, sets, percent))
     as_edges = lambda rows: rows.where("ok").select(F.col("c").alias("a"), F.col("node").alias("b"))
     roots = components(scratch, as_edges(tested))
-    while True:
+    for left_rounds in range(ROUNDS - 1, -1, -1):
         # a bucket stays open while members that were no centre yet lie in different components
         spent = members.groupBy("key").agg(F.max_by("node", "fame").alias("node"))
         left = members.join(spent, ["key", "node"], "left_anti").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        live = left.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.max_by("node", "fame").alias("c"), F.max_by("root", "fame").alias("_r")).where("_a <> _b").drop("_a", "_b")
-        members = scratch.save(left.join(live, "key"))
+        live = left.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.max_by("node", "fame").alias("c"), F.max_by("root", "fame").alias("_r"))
+        members = scratch.save(left.join(scratch.save(live.where("_a <> _b").drop("_a", "_b")), "key"))
         far = members.where("node <> c and root <> _r").select("c", "node")
         few = members.where(F.col("n") <= SMALL)
         each = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key and x.fame > y.fame and x.root <> y.root")).select(F.col("x.node").alias("c"), F.col("y.node").alias("node"))
@@ -279,8 +284,12 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 4, percent: int
         more = scratch.save(_confirmed(far.union(each).distinct().join(tested, ["c", "node"], "left_anti"), sets, percent))
         if more.where("ok").isEmpty():
             break
-        tested, members = tested.union(more), large.select("node", "key", "n", "fame")
+        tested, members = scratch.save(tested.union(more)), large.select("node", "key", "n", "fame")
         roots = scratch.save(_joined(scratch, roots, as_edges(more)))
+        if not left_rounds:
+            large = members.join(roots.withColumnRenamed("root", "_now"), "node", "left").withColumn("root", F.coalesce("_now", "node"))
+            best = large.groupBy("key").agg(F.max_by("root", "fame").alias("_r"))
+            large = large.join(scratch.save(best), "key")
     if not large.isEmpty():
         links = scratch.save(_whole(large, sets, percent))
         if not links.isEmpty():
@@ -288,19 +297,27 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 4, percent: int
 
     labelled = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    labelled = labelled.join(least, "root").select("digest", "size", "component_id")
-    out = lookup(signed.select("doc_id", "digest", "n_shingles"), labelled, "digest", "size")
-    out = scratch.save(out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+    labelled = scratch.save(labelled.join(least, "root").select("digest", "size", "root", "component_id"))
+    out = lookup(signed.select(ROW, "doc_id", "digest", "n_shingles", "_k"), labelled, "digest", "size")
+    own_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    out = scratch.save(out.select(ROW, "doc_id", "n_shingles", own_id, "root", "_k"))
+    scratch.only(out)
     return out
 
 
+def dropped(groups: DataFrame) -> DataFrame:
+    """ROW of all rows of ``near_duplicates`` but the one that stays of each component: one with the least id, and of several the first."""
+    stay = groups.where(F.col("root").isNotNull() & kept()).groupBy("root").agg(F.min("_k").alias("_k"))
+    return groups.where(F.col("root").isNotNull()).join(stay.select("_k"), "_k", "left_anti").select(ROW)
+
+
 def kept() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("component_id"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(Scratch(spark, "op8"), table(spark, sf_dir, "documents"))
-    return out.withColumn("kept", kept())
+    return out.select("doc_id", "n_shingles", "component_id", kept().alias("kept"))
 
 
 QUERIES = {"op8_minhash_near_dedup": op8_minhash_near_dedup}

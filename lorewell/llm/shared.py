@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,11 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def narrow_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> None:
-    """Bound what one Arrow batch holds, so that a Python worker's memory does not follow text length; and send the workers this package."""
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, so that a Python worker's memory does not follow text length; and send the workers this package.
+
+    The bounds are read when a plan runs, so they stay in the session; bounds that are tighter already are left alone.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,19 +49,34 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        self.tables: list[tuple[DataFrame, str]] = []
+        self.within = 0
+
+    def inner(self) -> Scratch:
+        """A scratch folder inside this one, whose tables come and go by themselves."""
+        self.within += 1
+        out = Scratch.__new__(Scratch)
+        out.spark, out.path, out.n, out.tables, out.within = self.spark, f"{self.path}/in{self.within}", 0, [], 0
+        return out
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n:03d}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete single tables that no later read needs."""
-        for t in tables:
-            for folder in {os.path.dirname(f) for f in t.inputFiles()}:
-                if folder.split("://")[-1].lstrip("/").startswith(self.path.split(":")[-1].lstrip("/")) or self.path.split("/")[-1] in folder:
-                    self._delete(folder)
+        for t, path in self.tables:
+            if any(t is x for x in tables):
+                self._delete(path)
+        self.tables = [(t, path) for t, path in self.tables if not any(t is x for x in tables)]
+
+    def only(self, *tables: DataFrame) -> None:
+        """Delete all tables saved so far but these."""
+        self.drop(*[t for t, _ in self.tables if not any(t is x for x in tables)])
 
     def clear(self) -> None:
         self._delete(self.path)
@@ -64,6 +87,28 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Name of the column that tells rows apart whatever their ids are.
+ROW = "_lorewell_row"
+
+
+def keyed(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """``docs`` and ROW, a key of each row: its file and its place in the file, which every scan gives alike.
+
+    What is no plain scan of Parquet files is written first. Ids may be null or repeated; decisions about rows go by this key.
+    """
+    try:
+        return _placed(docs)
+    except AnalysisException:
+        return _placed(scratch.save(docs))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    at = docs.metadataColumn("_metadata")
+    out = docs.withColumn(ROW, F.struct(F.xxhash64(at["file_path"]).alias("f"), at["row_index"].cast("long").alias("i")))
+    out.schema  # noqa: B018  (analysis)
+    return out
+
+
 #: A key is hot when it holds more than one in HOT_SHARE of all rows; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 512
 

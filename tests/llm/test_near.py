@@ -72,6 +72,31 @@ def test_links_of_rare_members_of_large_buckets(spark, documents, scratch):
     check(near_dedup.near_duplicates(scratch, documents(list(texts.items())), k=1).collect(), texts, 1)
 
 
+def test_a_dense_family_just_below_the_limit(spark, documents, scratch):
+    """Copies of one base with edits of their own are below the limit among each other; a few copies of copies are linked."""
+    rnd = random.Random(3)
+
+    def edited(words, n):
+        words = list(words)
+        for k in rnd.sample(range(0, 300, 5), n):
+            words[k] = f"e{rnd.randrange(10**7)}"
+        return words
+
+    family = [edited([f"w{i}" for i in range(300)], 6) for _ in range(260)]
+    family += [edited(family[rnd.randrange(260)], 7) for _ in range(10)]
+    texts = {i: " ".join(w) for i, w in enumerate(family)}
+    check(near_dedup.near_duplicates(scratch, documents(list(texts.items()))).collect(), texts)
+
+
+def test_repeated_and_null_ids_keep_their_own_texts(spark, documents, scratch):
+    text = lambda seed: " ".join(f"v{seed}_{i}" for i in range(40))
+    rows = [(7, text(1)), (7, text(2)), (3, text(1)), (9, text(3)), (9, text(3)), (None, text(2)), (None, text(4)), (None, text(4)), (5, None)]
+    out = near_dedup.near_duplicates(scratch, documents(rows))
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in out.collect())
+    assert got == sorted([("7", "3"), ("7", "7"), ("3", "3"), ("9", "9"), ("9", "9"), ("None", "7"), ("None", "None"), ("None", "None"), ("5", "5")])
+    assert near_dedup.dropped(out).count() == 4
+
+
 def test_forest_joins_what_all_links_join(spark):
     import pyarrow as pa
 
@@ -139,6 +164,55 @@ def test_op1_finds_repeated_passages(spark, documents):
         assert texts[r.doc_id][r.start : r.end] in passage and r.first_doc_ids == [1]
 
 
+def spans_brute(texts):
+    """Spans by definition, one text at a time in the order of ids: chunks that occurred before go, runs of them of MIN_WORDS words or more are reported."""
+    import numpy as np
+
+    cut = {}
+    first = {}
+    for i in sorted(texts):
+        raw = texts[i].encode()
+        ends = substring_dedup.cut_ends(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).tolist() if raw else []
+        cut[i] = [(a, b, raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        for _, _, c in cut[i]:
+            first.setdefault(c, i)
+    out = set()
+    for i, chunks in cut.items():
+        raw, seen, run = texts[i].encode(), set(), []
+        for a, b, c in [*chunks, (None, None, None)]:
+            gone = c is not None and (first[c] != i or c in seen)
+            seen.add(c)
+            if gone:
+                run.append((a, b))
+                continue
+            if run:
+                a, b = run[0][0], run[-1][1]
+                words = sum(a <= m.start() < b for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw))
+                if words >= substring_dedup.MIN_WORDS:
+                    out.add((i, len(raw[:a].decode(errors="ignore")), len(raw[:b].decode(errors="ignore")), words))
+            run = []
+    return out
+
+
+def test_op1_against_brute_force(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op1_substring_dedup"](spark, sf).collect()
+    got = {(r.doc_id, r.start, r.end, r.n_words) for r in rows}
+    want = spans_brute(texts)
+    # a cut inside a character can move an end by a code point
+    near = lambda x, those: any(x[0] == y[0] and abs(x[1] - y[1]) <= 1 and abs(x[2] - y[2]) <= 1 and x[3] == y[3] for y in those)
+    assert len(got) == len(rows) == len(want) > 0 and all(near(x, want) for x in got)
+
+
+def test_op1_tells_rows_of_one_id_apart(spark, documents, scratch):
+    rnd = random.Random(1)
+    passage = " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(6)) for _ in range(60))
+    other = " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(6)) for _ in range(60))
+    rows = [(None, passage), (None, passage), (None, other), (4, other), (4, passage + " " + other)]
+    out = substring_dedup.repeated_spans(scratch, documents(rows)).collect()
+    assert sum(r.n_words for r in out) >= 3 * 45 and all(r.end <= len(passage) + len(other) + 1 for r in out)
+
+
 def test_op1_chunks_cover_texts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     lengths = {r.doc_id: len(r.text or "") for r in docs.collect()}

@@ -1,10 +1,11 @@
 """Personal data with offset-preserving deobfuscation.
 
 Base detectors (email, ip, card, phone) run on each whole text. Texts that carry a disguise (look-alike
-letters, zero-width characters, "(at)" and "dot" words, spelled digits) also go through a transducer:
+letters, zero-width characters, "(at)" and "dot" words, a name in spaced letters before an at sign, spelled digits,
+doubled ones too) also go through a transducer:
 it rewrites the disguises and keeps, for every piece of the rewritten text, the source characters it
 came from. The same detectors run on the rewritten text and their spans are mapped back; those that
-don't overlap a base span of their kind are added.
+don't overlap a base span of their kind are added. 10 to 15 spelled digits on end that are no card are a phone number without a plus sign.
 
 All detectors are anchored (at an @, at the start of a digit run, at a plus sign), so time is linear
 in the text whatever it holds.
@@ -52,7 +53,8 @@ def emails(s: str) -> Iterator[Span]:
 
 def ips(s: str) -> Iterator[Span]:
     for m in _IP.finditer(s):
-        if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split(".")):
+        parts = [x.lstrip("0") for x in m[0].split(".")]
+        if all(len(x) < 4 and int(x or "0") <= 255 for x in parts):
             yield m.span()
 
 
@@ -108,14 +110,21 @@ _ODD = re.compile("[" + "".join(map(re.escape, HOMOGLYPHS)) + "]")
 ENDS = "com org net edu gov mil int info biz name pro mobi jobs travel museum aero coop post tel cat asia arpa dev app page xyz online site website web store shop tech cloud space live life world today news blog email mail media agency digital studio design art club group team company solutions services systems network software academy education school university institute foundation health care clinic doctor law legal bank finance money capital fund global international city town house home land london paris berlin tokyo nyc video games game fun wiki link click top vip win icu work works zone host hosting press one".split()
 ENDS += "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
 
+# Words that repeat the digit after them.
+TIMES = {"double": 2, "triple": 3}
+
 _END = rf"(?:(?:{'|'.join(ENDS)})\b|[a-z0-9-]+[ ]{{1,2}}dot[ ])"
-_SPELLED = rf"\b(?:{'|'.join(DIGITS)})\b(?:[ ,.-]{{1,3}}(?:{'|'.join(DIGITS)})\b)+"
+_GENERIC = "|".join(x for x in ENDS if len(x) > 2)
+_DIGIT_WORD = rf"(?:(?:{'|'.join(TIMES)})[ -]{{1,2}})?(?:{'|'.join(DIGITS)})\b"
+_SPELLED = rf"\b{_DIGIT_WORD}(?:[ ,.-]{{1,3}}{_DIGIT_WORD})+"
 _AT = r"[ ]{0,2}[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]{0,2}|[ ]{1,2}@[ ]{1,2}|[ ]{1,2}at[ ]{1,2}(?=[a-z0-9-]+(?:[ ]{1,2}dot[ ]{1,2}" + _END + r"|[ ]{0,2}[\[({<][ ]?(?:dot|\.)))"
-_DOT = r"[ ]{0,2}[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]{0,2}|(?<=[a-z0-9])[ ]{1,2}dot[ ]{1,2}(?=" + _END + ")"
-_PLUS = rf"\bplus[ ]{{1,2}}(?=[0-9]|(?:{'|'.join(DIGITS)})\b)"
-_DISGUISE = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<plus>{_PLUS})|(?P<spelled>{_SPELLED})", re.IGNORECASE)
+_DOT = r"[ ]{0,2}[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]{0,2}|(?<=[a-z0-9])[ ]{1,2}dot[ ]{1,2}(?=" + _END + r")|(?<=[a-z0-9])[ ]{1,2}\.[ ]{1,2}(?=(?:" + _GENERIC + r")\b)"
+_PLUS = rf"\bplus[ ]{{1,2}}(?=[0-9]|{_DIGIT_WORD})"
+#: Letters with one space between them, from the first on, before an at sign.
+_LETTERS = r"(?<![a-z0-9])(?<!(?<![a-z0-9])[a-z0-9][ ])(?:[a-z0-9][ ]){2,}[a-z0-9](?=[ ]{0,2}(?:@|[\[({<][ ]?(?:at|@)[ ]?[\])}>]))"
+_DISGUISE = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<plus>{_PLUS})|(?P<spelled>{_SPELLED})|(?P<letters>{_LETTERS})", re.IGNORECASE)
 #: A cheap test that no disguised text fails.
-_HINT = re.compile(rf"\b(?:dot)\b|[\[({{<][ ]?(?:dot|\.|(?:at|@)[ ]?[\])}}>])|[ ]@[ ]|{_PLUS}|{_SPELLED}", re.IGNORECASE)
+_HINT = re.compile(rf"\b(?:dot)\b|[\[({{<][ ]?(?:dot|\.|(?:at|@)[ ]?[\])}}>])|[ ]@|[ ]\.[ ]{{1,2}}(?:{_GENERIC})\b|(?<![a-z0-9])[a-z0-9]@|{_PLUS}|{_SPELLED}", re.IGNORECASE)
 
 
 class Rewritten:
@@ -154,18 +163,41 @@ def glyphs(s: str) -> Rewritten:
     return out
 
 
-def words(s: str) -> Rewritten:
-    out, at = Rewritten(), 0
+def words(s: str) -> tuple[Rewritten, list[Span]]:
+    """The text without disguises, and the spans in ``s`` of 10 to 15 spelled digits on end."""
+    out, at, numbers = Rewritten(), 0, []
     for m in _DISGUISE.finditer(s):
         out.add(s[at : m.start()], at, m.start(), True)
         kind = m.lastgroup
         if kind == "spelled":
+            count, since, times = 0, 0, 1
             for d in re.finditer("[a-z]+", m[0], re.IGNORECASE):
-                out.add(DIGITS[d[0].lower()], m.start() + d.start(), m.start() + d.end(), False)
+                word = d[0].lower()
+                if word in TIMES:
+                    since, times = d.start(), TIMES[word]
+                    continue
+                out.add(DIGITS[word] * times, m.start() + (since if times > 1 else d.start()), m.start() + d.end(), False)
+                count, times = count + times, 1
+            if 10 <= count <= 15:
+                numbers.append(m.span())
+        elif kind == "letters":
+            for k in range(m.start(), m.end(), 2):
+                out.add(s[k], k, k + 1, True)
         else:
             out.add({"at": "@", "dot": ".", "plus": "+"}[kind], m.start(), m.end(), False)
         at = m.end()
     out.add(s[at:], at, len(s), True)
+    return out, numbers
+
+
+def apart(spans: list[Span], others: list[Span]) -> list[Span]:
+    """Those of ``spans`` that overlap none of the sorted, disjoint ``others``."""
+    starts = [a for a, _ in others]
+    out = []
+    for a, b in spans:
+        k = bisect_right(starts, a)
+        if not (k and others[k - 1][1] > a) and not (k < len(others) and others[k][0] < b):
+            out.append((a, b))
     return out
 
 
@@ -176,13 +208,15 @@ def disguised(s: str) -> dict[str, list[Span]]:
     hint = _HINT.search(plain) is not None
     if not odd and not hint:
         return {}
-    spelt = words(plain) if hint else None
+    spelt, numbers = words(plain) if hint else (None, [])
     found = detect(spelt.text() if spelt else plain)
     for kind, spans in found.items():
         if spelt:
             spans = [spelt.back(*x) for x in spans]
-        found[kind] = [odd.back(*x) for x in spans] if odd else spans
-    return found
+        if kind == "phone" and numbers:
+            spans = sorted(spans + apart(apart(numbers, sorted(spans)), found["card"]))
+        found[kind] = spans
+    return {kind: [odd.back(*x) for x in spans] if odd else spans for kind, spans in found.items()}
 
 
 def find(s: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
@@ -191,14 +225,7 @@ def find(s: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     more = disguised(s)
     every = {}
     for kind in KINDS:
-        own = base[kind]
-        starts = [a for a, _ in own]
-        extra = []
-        for a, b in more.get(kind, ()):
-            k = bisect_right(starts, a)
-            if not (k and own[k - 1][1] > a) and not (k < len(own) and own[k][0] < b):
-                extra.append((a, b))
-        every[kind] = sorted(own + extra)
+        every[kind] = sorted(base[kind] + apart(more.get(kind, []), base[kind]))
     return base, every
 
 

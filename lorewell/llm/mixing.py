@@ -2,14 +2,16 @@
 
 Native: built-in functions only. Targets share a budget of words by weight; a target stops at
 ``cap`` times its source's size and the excess is reshared by weight (water filling). Each source
-shuffles its documents by a hash of the id and serves them in that order, ``cap`` times over. A
+shuffles its documents by a hash of id and text and serves them in that order, ``cap`` times over. A
 document's virtual finish time is the source's words served up to its end over the source's
-target; time 1 is when every source has served its target. All services are range-sorted by finish
-time and cut where the words reach the budget; the document that a source is serving at time 1
-is taken in part, so each source takes its target to within a word.
+target. All services of all sources are range-sorted by finish time, and the one running sum of
+their words is cut where it reaches the budget; no source has a quota of its own. At that point a source
+may be in the middle of a document, so the document that a source serves at time 1, when all targets would be
+met, is served in up to PACKETS packets. Each source thus takes its target to within a packet or two
+(1/PACKETS of one document), and all take the budget exactly.
 
-A source's running sums are made in PARTS parts of its shuffled order, so a hot source is spread
-over that many groups; only sums per source and part meet.
+Running sums come from range sorts that split any group, so a hot source, many null ids or many copies
+of one row meet in no task.
 
 Defined results: a null text has size 0; null sources are one source, after all others; a document
 of size 0 takes nothing; repeated rows are served separately; an empty table gives no rows, a
@@ -19,12 +21,11 @@ table without words targets 0; only the id, source and text columns are read, wh
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorewell.llm.shared import Scratch, null_to_empty, range_sorted, table
+from lorewell.llm.shared import ROW, Scratch, keyed, null_to_empty, range_sorted, table
 
-PARTS = 1024
+PACKETS, SEED = 1024, 7
 SPACED_WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -32,8 +33,14 @@ def words(text: str) -> Column:
     return F.regexp_count(null_to_empty(text), F.lit(SPACED_WORDS)).cast("long")
 
 
+def shuffled(seed: int) -> Column:
+    """Sorts a source's documents at random, alike in each run and wherever they are stored."""
+    own = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.encode(null_to_empty("text"), "UTF-8")))
+    return F.substring(F.md5(F.encode(own, "UTF-8")), 1, 16)
+
+
 def targets(scratch: Scratch, sizes: DataFrame, share: float, weights: tuple[int, ...], cap: int) -> tuple[DataFrame, float]:
-    """(source, _null, source_size, target) of ``sizes`` (source, _null, source_size), and the whole budget."""
+    """``sizes`` (source, _null, source_size and more) with target, and the whole budget."""
     rank = range_sorted(scratch, sizes, ["_null", "source"])
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_pos") % len(weights) + 1).cast("int"))
     rank = scratch.save(rank.withColumn("_w", weight).drop("_pos"))
@@ -51,35 +58,34 @@ def targets(scratch: Scratch, sizes: DataFrame, share: float, weights: tuple[int
     return rank.withColumn("target", F.when(above, most).otherwise(fair)).drop("_w"), budget
 
 
-def mix(scratch: Scratch, docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: int = 2, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(scratch: Scratch, docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: int = 2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(rows, services).
 
-    rows: doc_id, source, size, source_size, target, _row of every document. services: _row, epoch,
-    words, position, finish of what the mix takes, in the order of position.
+    rows: ROW, doc_id, source, size, source_size, target, _row of every document. services: _row, epoch,
+    packet, words, position, finish of what the mix takes, in the order of position.
     """
-    narrow = docs.select(
-        F.col("doc_id"), F.col("source").alias("_source"), null_to_empty("source").alias("source"), F.col("source").isNull().cast("int").alias("_null"),
-        words("text").alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_hash"),
+    narrow = keyed(scratch, docs.select("doc_id", "source", "text")).select(
+        ROW, "doc_id", F.col("source").alias("_source"), null_to_empty("source").alias("source"), F.col("source").isNull().cast("int").alias("_null"),
+        words("text").alias("size"), shuffled(seed).alias("_hash"),
     )
-    narrow = narrow.withColumn("_part", F.expr(f"CAST(shiftrightunsigned(_hash, {64 - (PARTS.bit_length() - 1)}) AS INT)"))
     narrow = scratch.save(narrow.withColumn("_row", F.monotonically_increasing_id()))
+    line = scratch.save(range_sorted(scratch, narrow, ["_null", "source", "_hash", "doc_id", "size", "_row"], "size"))
     key = ["_null", "source"]
-    parts = narrow.groupBy(*key, "_part").agg(F.sum("size").alias("_words"))
-    sizes, budget = targets(scratch, parts.groupBy(*key).agg(F.sum("_words").alias("source_size")), share, weights, cap)
-    inner = W.partitionBy(*key).orderBy("_part")
-    parts = parts.join(sizes, key).select(*key, "_part", "source_size", "target", (F.sum("_words").over(inner) - F.col("_words")).alias("_before"))
-    order = W.partitionBy(*key, "_part").orderBy("_hash", "doc_id", "size", "_row")
-    rows = narrow.withColumn("_end", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = scratch.save(rows.join(parts, [*key, "_part"]).withColumn("_end", F.col("_end") + F.col("_before")))
-
-    served = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
-    end = F.col("_end") + F.col("epoch") * F.col("source_size")
-    served = served.withColumn("finish", end / F.col("target")).withColumn("words", F.least(end, F.floor("target")) - end + F.col("size"))
-    served = served.where(F.col("words") > 0).select("_row", "doc_id", "_hash", "epoch", "finish", "words")
-    line = range_sorted(scratch, served, ["finish", "_hash", "doc_id", "epoch", "_row"], "words")
-    line = line.where(F.col("_sum") - F.col("words") < F.lit(budget))
-    rows = rows.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", "_row")
-    return rows, line.select("_row", "epoch", "words", F.col("_pos").alias("position"), "finish")
+    sizes = line.groupBy(*key).agg(F.sum("size").alias("source_size"), F.min(F.col("_sum") - F.col("size")).alias("_start"))
+    sizes, budget = targets(scratch, sizes, share, weights, cap)
+    rows = scratch.save(line.join(sizes, key).withColumn("_end", F.col("_sum") - F.col("_start")))
+
+    served = rows.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
+    served = served.withColumn("_before", F.col("_end") - F.col("size") + F.col("epoch") * F.col("source_size"))
+    open_ = (F.col("_before") < F.col("target")) & (F.col("_before") + F.col("size") > F.col("target"))
+    served = served.withColumn("_of", F.when(open_, F.least("size", F.lit(PACKETS))).otherwise(1)).withColumn("packet", F.explode(F.expr("sequence(1L, CAST(_of AS BIGINT))")))
+    upto = lambda p: F.expr(f"size * ({p}) DIV _of")
+    served = served.withColumn("words", upto("packet") - upto("packet - 1")).withColumn("finish", (F.col("_before") + upto("packet")) / F.col("target"))
+    served = served.select("_row", "doc_id", "_hash", "epoch", "packet", "finish", "words")
+    taken = range_sorted(scratch, served, ["finish", "_hash", "doc_id", "epoch", "packet", "_row"], "words")
+    left = F.floor(F.lit(budget)) - F.col("_sum") + F.col("words")
+    taken = taken.where(left > 0).select("_row", "epoch", "packet", F.least("words", left).alias("words"), F.col("_pos").alias("position"), "finish")
+    return rows.select(ROW, "doc_id", F.col("_source").alias("source"), "size", "source_size", "target", "_row"), taken
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +96,46 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_mixing": op7_mixing}
-ORACLES: dict[str, str] = {}
+
+ORACLES = {
+    "op7_mixing": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS source, CAST(source IS NULL AS INT) AS missing, row_number() OVER () AS place,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 16) AS h
+  FROM documents
+), sources AS (
+  SELECT missing, source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY missing, source) - 1 AS pos FROM docs GROUP BY 1, 2
+), weighed AS (
+  SELECT *, CAST(CASE pos % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS w, 2.0::DOUBLE * source_size AS most,
+    1.5::DOUBLE * sum(source_size) OVER () AS budget
+  FROM sources
+), filled AS (
+  SELECT *, coalesce(sum(most) OVER p, 0) AS full_before, coalesce(sum(w) OVER p, 0) AS w_before, sum(w) OVER () AS w_all
+  FROM weighed WINDOW p AS (ORDER BY most / w, missing, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), capped AS (
+  SELECT *, (budget - full_before) * w / (w_all - w_before) > most AS above FROM filled
+), aimed AS (
+  SELECT missing, source, source_size, budget, CASE WHEN above THEN most
+    ELSE (budget - coalesce(sum(most) FILTER (above) OVER (), 0)) * w / (w_all - coalesce(sum(w) FILTER (above) OVER (), 0)) END AS target
+  FROM capped
+), lined AS (
+  SELECT d.*, a.source_size, a.target, a.budget, CAST(sum(size) OVER (PARTITION BY missing, source ORDER BY h, doc_id, size, place) - size AS BIGINT) AS before
+  FROM docs d JOIN aimed a USING (missing, source)
+), served AS (
+  SELECT *, before + epoch * source_size AS since FROM lined, (SELECT unnest([0, 1]) AS epoch) WHERE size > 0
+), cut AS (
+  SELECT *, CASE WHEN since < target AND since + size > target THEN least(size, 1024) ELSE 1 END AS parts FROM served
+), packets AS (
+  SELECT *, unnest(range(1, parts + 1)) AS p FROM cut
+), timed AS (
+  SELECT *, size * p // parts - size * (p - 1) // parts AS words, (since + size * p // parts) / target AS finish FROM packets
+), queue AS (
+  SELECT *, row_number() OVER w - 1 AS position, floor(budget) - (sum(words) OVER w - words) AS room
+  FROM timed WINDOW w AS (ORDER BY finish, h, doc_id, epoch, p, place)
+), taken AS (
+  SELECT place, CAST(sum(least(words, room)) AS BIGINT) AS taken, min(position) AS position FROM queue WHERE room > 0 GROUP BY 1
+)
+SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(t.taken, 0) AS taken, t.position FROM lined l LEFT JOIN taken t USING (place)
+"""
+}

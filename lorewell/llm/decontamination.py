@@ -120,18 +120,31 @@ def bound(item: np.ndarray, window: np.ndarray) -> float:
     return int(np.minimum(np.bincount(item, minlength=n), np.bincount(window[(window >= 0) & (window < n)], minlength=n)).sum()) / len(item)
 
 
+class Aligner:
+    """Scores of the windows of a block's items; those of the last RECENT different windows are kept."""
+
+    def __init__(self, block: Block, min_score: float):
+        self.block, self.min_score = block, min_score
+        self.score = lru_cache(RECENT)(self._score)
+
+    def _score(self, k: int, window: bytes) -> tuple[float, int]:
+        item, words = coded(self.block.items[k][1], self.block.items[k][1]), np.frombuffer(window, np.int32)
+        return align(item, words) if bound(item, words) >= self.min_score else (-1.0, 0)
+
+    def found(self, column: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int, float, int]]]]:
+        """For each range of texts: its first text, and (text in the range, item, seeds, score, end word) of what reaches the least score."""
+        buf, offs = texts(column)
+        for i, j in slices(offs):
+            w = Words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ALNUM)
+            scored = ((d, k, n, *self.score(k, window.tobytes()), first) for d, k, first, window, n in self.block.windows(w))
+            yield i, [(d, k, n, s, first + end) for d, k, n, s, end, first in scored if s >= max(self.min_score, 0)]
+
+
 def _aligned(block: Block, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(RECENT)
-        def score(k: int, window: bytes) -> tuple[float, int]:
-            item, words = coded(block.items[k][1], block.items[k][1]), np.frombuffer(window, np.int32)
-            return align(item, words) if bound(item, words) >= min_score else (-1.0, 0)
-
+        aligner = Aligner(block, min_score)
         for b in batches:
-            buf, offs = texts(b.column(1))
-            for i, j in slices(offs):
-                w = Words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ALNUM)
-                rows = [(d, k, n, s, first + end) for d, k, first, window, n in block.windows(w) for s, end in [score(k, window.tobytes())] if s >= max(min_score, 0)]
+            for i, rows in aligner.found(b.column(1)):
                 if rows:
                     docs = b.column(0).take(pa.array([i + r[0] for r in rows]))
                     item = pa.array([block.items[r[1]][0] for r in rows], pa.int64())
@@ -143,6 +156,21 @@ def _aligned(block: Block, min_score: float):
     return run
 
 
+def _without(block: Block, min_score: float, text: int):
+    """Batches of one struct column, without the rows whose field ``text`` holds a copy of an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = Aligner(block, min_score)
+        for b in batches:
+            clean = np.ones(b.num_rows, bool)
+            for i, rows in aligner.found(b.column(0).flatten()[text]):
+                clean[[i + r[0] for r in rows]] = False
+            if clean.any():
+                yield b.filter(pa.array(clean))
+
+    return run
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     items, size = [], 0
     for i, t in benchmark.toLocalIterator():
@@ -155,6 +183,10 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield items
 
 
+def _items(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    return _blocks(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")))
+
+
 def contaminated(scratch: Scratch, docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, n_seeds, end_word) of the documents that hold a copy, edited or not, of an item."""
     spark = docs.sparkSession
@@ -162,13 +194,23 @@ def contaminated(scratch: Scratch, docs: DataFrame, benchmark: DataFrame, min_sc
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fields = "doc_id long, item_id long, n_seeds long, score double, end_word long"
     scored = spark.createDataFrame([], fields)
-    for items in _blocks(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))):
+    for items in _items(benchmark):
         scored = scored.union(scratch.save(own.mapInArrow(_aligned(Block(items), min_score), fields)))
     best = F.max(F.struct("score", "n_seeds", (-F.col("end_word")).alias("e"))).alias("best")
     best = scored.groupBy("doc_id", "item_id").agg(best)
     return best.select("doc_id", "item_id", "best.score", "best.n_seeds", (-F.col("best.e")).alias("end_word"))
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a copy of an item. Each row is judged by its own text in a narrow pass, whatever its id."""
+    narrow_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    schema, at = f"row {rows.schema['row'].dataType.simpleString()}", docs.columns.index(text_col)
+    for items in _items(benchmark):
+        rows = rows.mapInArrow(_without(Block(items), min_score, at), schema)
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(Scratch(spark, "op4"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -4,10 +4,11 @@ Heuristic labellers vote good, bad or nothing on every document. The votes' patt
 the whole corpus (at most 3 to the number of labellers patterns), and expectation-maximisation over these
 counts estimates each labeller's accuracy and the share of good documents, without any gold label.
 The patterns' posterior labels then train a linear scorer on hashed byte trigrams and word repeats, on a sample of at most
-about SAMPLE documents (chosen by a hash of the id); the scorer judges every document.
+SAMPLE documents: half of them from the patterns that are rather bad and half from the others, as far as there are so many,
+weighted back to their shares of all documents. However rare bad documents are, the sample holds them. The scorer judges every document.
 
-Defined results: a null text is an empty text; an empty text has score 0 and is rejected; a null id is
-a document like others; repeated rows are judged alike; an empty table gives no rows; if no labeller ever
+Defined results: a null text is an empty text; an empty text has score 0 and is rejected; ids are not
+read; repeated rows are judged alike; an empty table gives no rows; if no labeller ever
 votes against a document, all non-empty ones are kept; other columns are passed through by ``accepted``.
 """
 
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm.kernels import SPACED, Words, slices, spread, texts
-from lorewell.llm.shared import narrow_batches, table
+from lorewell.llm.shared import ROW, Scratch, keyed, narrow_batches, table
 
-SAMPLE, DIM, REJECT = 2500, 2048, 0.4
+SAMPLE, DIM, REJECT = 3000, 4096, 0.4
 #: Trigrams without weight that every document has besides its own, so that few of its own decide little.
 CALM = 400
 GOOD, BAD, NONE = 2, 1, 0
@@ -116,7 +117,7 @@ def _hashed(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = np.maximum(np.diff(offs) - 2, 0)
     at = spread(offs[:-1], n)
     b = buf.astype(np.uint32)
-    h = ((b[at] * np.uint32(0x9E3779B1) ^ b[at + 1] * np.uint32(0x85EBCA6B) ^ b[at + 2] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)) >> np.uint32(21)
+    h = ((b[at] * np.uint32(0x9E3779B1) ^ b[at + 1] * np.uint32(0x85EBCA6B) ^ b[at + 2] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)) >> np.uint32(33 - DIM.bit_length())
     w = Words(buf, offs, SPACED)
     of = np.repeat(np.arange(len(n)), np.diff(w.first))
     again = np.zeros(len(of), bool)
@@ -124,48 +125,62 @@ def _hashed(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h.astype(np.int64), np.concatenate(([0], np.cumsum(n))), np.bincount(of, again * (w.end - w.start), minlength=len(n))
 
 
-def _voted(features: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, offs = texts(b.column(0))
-            for i, j in slices(offs):
-                part, own = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                code = pa.array(_code(votes(part, own)).astype(np.int32))
-                if not features:
-                    yield pa.RecordBatch.from_arrays([code], ["pattern"])
-                    continue
-                h, first, again = _hashed(part, own)
-                f = [(np.append(np.bincount(h[p:q], minlength=DIM), a) / (q - p + CALM)).astype(np.float32).tobytes() for p, q, a in zip(first[:-1], first[1:], again, strict=True)]
-                yield pa.RecordBatch.from_arrays([code, pa.array(f, pa.binary())], ["pattern", "features"])
+def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        buf, offs = texts(b.column(1))
+        for i, j in slices(offs):
+            code = _code(votes(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(code)], [ROW, "pattern"])
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text its trigrams that occur and how often, its repeated bytes and its number of trigrams."""
+    for b in batches:
+        buf, offs = texts(b.column(1))
+        for i, j in slices(offs):
+            h, first, again = _hashed(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            cells, counts = [], []
+            for p, q in zip(first[:-1], first[1:], strict=True):
+                c, n = np.unique(h[p:q], return_counts=True)
+                cells.append(c.astype(np.uint16).tobytes())
+                counts.append(n.astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(i, j - i), pa.array(cells, pa.binary()), pa.array(counts, pa.binary()), pa.array(again.astype(np.float64)), pa.array(np.diff(first))], ["pattern", "cells", "counts", "again", "n"]
+            )
 
-    return run
 
+def _train(rows: list[tuple[np.ndarray, np.ndarray, float, int]], y: np.ndarray, weight: np.ndarray, steps: int = 600, ridge: float = 1e-4) -> np.ndarray:
+    """Logistic regression on soft labels by accelerated gradient descent. The constant comes last.
 
-def _train(x: np.ndarray, y: np.ndarray, steps: int = 600, ridge: float = 1e-4) -> np.ndarray:
-    """Logistic regression on soft labels by accelerated gradient descent. The constant comes last."""
-    blank = max(1, len(x) // 20)  # rows without evidence pull the constant to the side of good
-    x, y = np.vstack([x, np.zeros((blank, x.shape[1]), np.float32)]), np.append(y, np.full(blank, 0.95))
-    scale = 1 / np.maximum(np.sqrt((x**2).mean(0)), 2e-4)
+    ``rows``: cells, counts, repeated bytes and number of trigrams of each document. Rows without evidence pull the constant to the side of good.
+    """
+    blank = max(1, len(rows) // 20)
+    z = np.zeros((len(rows) + blank, DIM + 2), np.float32)
+    for k, (cells, counts, again, n) in enumerate(rows):
+        z[k, cells] = counts / (n + CALM)
+        z[k, DIM] = again / (n + CALM)
+    y, weight = np.append(y, np.full(blank, 0.95)), np.append(weight, np.ones(blank))
+    weight /= weight.mean()
+    scale = 1 / np.maximum(np.sqrt(weight @ np.square(z[:, :-1]) / len(z)), 2e-4)
     scale[-1] *= 8  # repeats are one column among thousands
-    z = np.empty((len(x), x.shape[1] + 1), np.float32)
-    np.multiply(x, scale, out=z[:, :-1], casting="unsafe")
+    z[:, :-1] *= scale.astype(np.float32)
     z[:, -1] = 1
-    del x
-    rate = 4 / (np.linalg.norm(z, axis=1) ** 2).mean()
-    y = y.astype(np.float32)
+    rate = 4 / (weight @ np.square(np.linalg.norm(z, axis=1)) / len(z))
+    y, weight = y.astype(np.float32), weight.astype(np.float32)
     w = v = np.zeros(z.shape[1], np.float32)
     for k in range(steps):
         ahead = w + np.float32(k / (k + 3)) * (w - v)
         p = 1 / (1 + np.exp(-np.clip(z @ ahead, -30, 30)))
-        v, w = w, ahead - np.float32(rate) * ((p - y) @ z / np.float32(len(z)) + np.float32(ridge) * ahead)
+        v, w = w, ahead - np.float32(rate) * ((weight * (p - y)) @ z / np.float32(len(z)) + np.float32(ridge) * ahead)
     return np.concatenate([w[:-1] * scale, w[-1:]]).astype(np.float64)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
+def fit(scratch: Scratch, docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
     """The scorer's DIM + 1 weights and constant; None where the labellers find no bad document."""
     narrow_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    counted = own.select("text").mapInArrow(_voted(False), "pattern int").groupBy("pattern").count().collect()  # 3^9 rows at most
+    own = keyed(scratch, docs.select(F.col(text_col).cast("string").alias("text"))).select(ROW, "text")
+    voted = scratch.save(own.mapInArrow(_voted, f"{ROW} struct<f: long, i: long>, pattern int"))
+    counted = voted.groupBy("pattern").count().collect()  # 3^9 rows at most
     if not counted:
         return None
     n = 9
@@ -173,59 +188,65 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     order = np.argsort(code)
     code, counts = code[order], counts[order]
     post, _, _ = em(code[:, None] // 3 ** np.arange(n) % 3, counts)
-    if (post < 0.5).sum() == 0 or (post >= 0.5).sum() == 0:
-        return None
-    mille = max(1, int(min(1.0, sample / counts.sum()) * 1_000_000))
-    some = own.where(F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1_000_000)) < mille).select("text")
-    rows = some.mapInArrow(_voted(True), "pattern int, features binary").collect()
-    if not rows:
+    bad = post < 0.5
+    if not bad.any() or bad.all():
         return None
-    y = post[np.searchsorted(code, np.array([r["pattern"] for r in rows]))]
-    if (y < 0.5).sum() == 0 or (y >= 0.5).sum() == 0:
-        return None
-    x = np.empty((len(rows), DIM + 1), np.float32)
-    for k, r in enumerate(rows):
-        x[k] = np.frombuffer(r["features"], np.float32)
-    del rows
-    order = np.lexsort((x[:, 1], x[:, 0], y))  # rows come in any order
-    return _train(x[order], y[order])
-
+    few = int(min(counts[bad].sum(), max(sample // 2, sample - counts[~bad].sum())))
+    known = F.col("pattern").isin([int(c) for c in code[bad]])
+    order = [F.xxhash64(F.lit("quality"), f"{ROW}.i"), ROW]
+    picked = voted.where(known).orderBy(*order).limit(few).union(voted.where(~known).orderBy(*order).limit(sample - few))
+    rows = own.join(F.broadcast(picked), ROW).select("pattern", "text")  # ``sample`` keys at most
+    rows = rows.mapInArrow(_featured, "pattern int, cells binary, counts binary, again double, n long").collect()
+    rows.sort(key=lambda r: (r.pattern, r.n, r.again, bytes(r.cells), bytes(r.counts)))  # they come in any order
+    at = np.searchsorted(code, np.array([r.pattern for r in rows]))
+    held = np.bincount(bad[at].astype(int), minlength=2)
+    weight = np.where(bad[at], counts[bad].sum() / max(held[1], 1), counts[~bad].sum() / max(held[0], 1))
+    return _train([(np.frombuffer(r.cells, np.uint16), np.frombuffer(r.counts, np.uint32), r.again, r.n) for r in rows], post[at], weight)
+
+
+def _judged(buf: np.ndarray, offs: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
+    if weights is None:
+        return np.where(np.diff(offs) > 0, 1.0, 0.0)
+    out = [np.zeros(0)]
+    for i, j in slices(offs):
+        own = offs[i : j + 1] - offs[i]
+        h, first, again = _hashed(buf[offs[i] : offs[j]], own)
+        c = np.concatenate(([0.0], np.cumsum(weights[h])))
+        s = 1 / (1 + np.exp(-np.clip((c[first[1:]] - c[first[:-1]] + again * weights[DIM]) / (np.diff(first) + CALM) + weights[-1], -50, 50)))
+        out.append(np.where(np.diff(own) > 0, s, 0.0))
+    return np.concatenate(out)
+
+
+def _scored(weights: np.ndarray | None, text: int, least: float | None):
+    """The score beside the one struct column; without the rows below ``least``."""
 
-def _scored(weights: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, offs = texts(b.column(1))
-            scores = []
-            for i, j in slices(offs):
-                part, own = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                if weights is None:
-                    s = np.ones(j - i)
-                else:
-                    h, first, again = _hashed(part, own)
-                    c = np.concatenate(([0.0], np.cumsum(weights[h])))
-                    s = 1 / (1 + np.exp(-np.clip((c[first[1:]] - c[first[:-1]] + again * weights[DIM]) / (np.diff(first) + CALM) + weights[-1], -50, 50)))
-                scores.append(np.where(np.diff(own) > 0, s, 0.0))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["row", "score"])
+            score = _judged(*texts(b.column(0).flatten()[text]), weights)
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], ["row", "score"])
+            yield out if least is None else out.filter(pa.array(score >= least))
 
     return run
 
 
-def scored(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``keep`` columns of every row, and score (0 to 1, higher: better)."""
-    weights = fit(docs, id_col, text_col)
-    rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(_scored(weights), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+def scored(scratch: Scratch, docs: DataFrame, keep: list[str], text_col: str = "text", least: float | None = None) -> DataFrame:
+    """``keep`` columns of every row (of those that reach ``least``), and score (0 to 1, higher: better)."""
+    weights = fit(scratch := scratch.inner(), docs, text_col)
+    text = F.col(text_col).cast("string").alias("_text")
+    rows = docs.select(F.struct(*keep, *([] if text_col in keep and dict(docs.dtypes)[text_col] == "string" else [text])).alias("row"))
+    names = rows.schema["row"].dataType.names
+    out = rows.mapInArrow(_scored(weights, names.index("_text") if "_text" in names[len(keep) :] else names.index(text_col), least), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    scratch.only()
     return out.select(*[F.col("row")[c].alias(c) for c in keep], "score")
 
 
-def accepted(docs: DataFrame) -> DataFrame:
+def accepted(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """The documents that the scorer does not reject, with all their columns."""
-    out = scored(docs, docs.columns)
-    return out.where(F.col("score") >= REJECT).select(*docs.columns)
+    return scored(scratch, docs, docs.columns, least=REJECT).select(*docs.columns)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scored(table(spark, sf_dir, "documents"), ["doc_id"])
+    out = scored(Scratch(spark, "op9"), table(spark, sf_dir, "documents"), ["doc_id"])
     return out.withColumn("kept", F.col("score") >= REJECT)
 
 

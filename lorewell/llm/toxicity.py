@@ -1,15 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled documents. The ordinary one is trained on ordinary
-text. Toxic text is mostly ordinary text too, so the toxic one has the same base and, besides, the parts of
-toxic documents whose byte strings are in far more of them than of ordinary ones. Every document is cut
-into overlapping windows of WINDOW bytes at word starts, each window is compressed with both
-dictionaries, and the difference of the two lengths tells which class explains it better. A logistic
-curve over a document's differences (largest, mean of the largest three, mean, numbers and shares of
-windows above thresholds), fitted on training documents kept apart, calibrates the score.
+Two zstandard dictionaries are trained on labelled documents, each on its own class. The ordinary one is trained on
+ordinary documents. Toxic documents are mostly ordinary text too, and two dictionaries that are trained on
+whole documents differ by chance more than by class; so the toxic one is trained on the passages of toxic documents whose
+byte strings are in far more of them than of ordinary ones. Toxic text is then modelled as ordinary text with
+such passages: every document is cut into overlapping windows of WINDOW bytes at word starts, each window is compressed
+with the ordinary dictionary's content and with that of both, and the difference of the two lengths tells how much
+better the toxic class explains it. A logistic curve over a document's differences (largest, mean of the largest three,
+mean, numbers and shares of windows above thresholds), fitted on training documents kept apart, calibrates the score.
 
 Only labelled documents whose crc32 of the id as text is not 2 modulo 4 are learnt from, at most SAMPLE
-per class (those with the smallest hash of the id, texts of up to SAMPLE_BYTES); id, source, language and
+per class (of those with texts of up to SAMPLE_BYTES, the ones with the smallest hash of the id); id, source, language and
 labels are no inputs of a score.
 
 Defined results: a null text is an empty text; an empty text has no window and gets the score of a document
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 
 from lorewell.llm.shared import narrow_batches, table
 
-SAMPLE, SAMPLE_BYTES = 3000, 65536
+SAMPLE, SAMPLE_BYTES = 3000, 32768
 WINDOW, STRIDE = 64, 40
-DICTIONARY, GRAM = 16 << 10, 5
+#: Bytes of the ordinary and the toxic dictionary, and of the segments that the trainer picks; few passages tell, and a larger toxic one fits chance matches.
+ORDINARY, TOXIC, GRAM = (16 << 10, 48), (1 << 10, 32), 5
 HELD_OUT, THRESHOLD = 2, 0.3
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -62,19 +63,25 @@ def _parameters() -> zstandard.ZstdCompressionParameters:
     return zstandard.ZstdCompressionParameters.from_level(3, window_log=15, min_match=3, strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0)
 
 
-def _dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary, or the samples themselves where they are too few to train on."""
+# How a trained dictionary begins, and the three start offsets that end its header.
+MAGIC, STARTS = bytes.fromhex("37a430ec"), bytes.fromhex("010000000400000008000000")
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The content of a dictionary trained on ``samples``, without its header; the samples themselves where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples, k=48, d=6).as_bytes()
+        whole = zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(samples)[-DICTIONARY:]
+        return b" ".join(samples)[-size:]
+    at = whole.find(STARTS)
+    return whole[at + len(STARTS) :] if whole.startswith(MAGIC) and at >= 0 else whole
 
 
 class Model:
-    """Both dictionaries, the window threshold, and the curve's weights."""
+    """Both dictionaries' contents, the window threshold, and the curve's weights."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.dictionaries = (ordinary, toxic)
+        self.ordinary, self.toxic = ordinary, toxic
         self.above, self.center, self.scale, self.weights = 0.0, np.zeros(7), np.ones(7), np.zeros(8)
         self._compress: tuple | None = None
 
@@ -83,7 +90,7 @@ class Model:
 
     def differences(self, words: bytes) -> np.ndarray:
         if self._compress is None:
-            raw = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in self.dictionaries]
+            raw = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.ordinary, self.toxic + self.ordinary)]
             self._compress = tuple(zstandard.ZstdCompressor(dict_data=d, compression_params=_parameters()).compress for d in raw)
         ordinary, toxic = self._compress
         return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(words)], float)
@@ -127,8 +134,20 @@ def _counted(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([np.unique(_grams(d)) for d in docs] + [np.zeros(0, np.int64)]), return_counts=True)
 
 
+def without_copies(docs: list[bytes], most: float = 0.3, gram: int = 16) -> list[bytes]:
+    """``docs`` without those that share over ``most`` of their ``gram``-byte strings with earlier ones: a copied passage is no habit of a class."""
+    seen, out = set(), []
+    for d in docs:
+        own = {d[k : k + gram] for k in range(0, max(1, len(d) - gram + 1))}
+        own = {g for g in own if zlib.crc32(g) % 4 == 0}
+        if len(own & seen) <= most * len(own):
+            out.append(d)
+        seen |= own
+    return out
+
+
 def telling(docs: list[bytes], other: list[bytes], lift: float = 6.0, least: int = 4, surprise: float = 30.0) -> list[bytes]:
-    """The parts of ``docs`` whose strings are in ``lift`` times as many of them as of ``other``, by more than chance.
+    """Of each of ``docs`` the parts whose strings are in ``lift`` times as many of them as of ``other``, by more than chance; without documents that have none.
 
     Chance is told by the log-likelihood ratio, which is over 30 for less than one string in ten million.
 
@@ -163,9 +182,12 @@ def telling(docs: list[bytes], other: list[bytes], lift: float = 6.0, least: int
         at = np.minimum(np.searchsorted(good, own), max(len(good) - 1, 0))
         seen = np.where(good[at] == own, many[at], 0) if len(good) else np.zeros(len(own), np.int64)
         edge = np.diff(np.concatenate(([0], seen > 0, [0])))
+        parts = []
         for p, q in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
             core = np.flatnonzero(seen[p:q] * 2 >= seen[p:q].max())  # without what merely stands beside it now and then
-            out.append(text[p + core[0] : p + core[-1] + GRAM])
+            parts.append(text[p + core[0] : p + core[-1] + GRAM])
+        if parts:
+            out.append(b"".join(parts))
     return out
 
 
@@ -176,10 +198,7 @@ def fit(rows: list[tuple[int, str | None]]) -> Model | None:
     ordinary, toxic = ([s for t, s, h in half if t == c and h == 0] for c in (0, 1))
     if not ordinary or not toxic or len({t for t, _, h in half if h}) < 2:
         return None
-    base = _dictionary(ordinary)
-    parts = Counter(telling(toxic, ordinary))
-    often = [p for p, n in parts.most_common() if n * 20 >= max(parts.values())]
-    model = Model(b"".join(reversed(often))[-DICTIONARY:] + base, base)
+    model = Model(trained(telling(without_copies(toxic), ordinary), *TOXIC), trained(ordinary, *ORDINARY))
     rest = [(t, s) for t, s, h in half if h]
     y = np.array([t for t, _ in rest], float)
     diffs = [model.differences(s) for _, s in rest]
@@ -198,11 +217,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[int, str | None]]:
     """At most ``sample`` labelled rows of each class, none of them held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    known = known.join(short.select("doc_id").distinct(), "doc_id")
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
     some = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = own.join(F.broadcast(some[0].union(some[1])), "doc_id").select("doc_id", "toxic", "text").collect()  # 2 * sample rows at most
-    return [(r.toxic, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    own = short.select("doc_id", F.col("text").cast("string").alias("text"))
+    one = own.join(F.broadcast(some[0].union(some[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return [(r.toxic, r.text) for r in sorted(one.collect(), key=lambda r: r.doc_id)]  # 2 * sample rows at most
 
 
 def _scored(model: Model | None):

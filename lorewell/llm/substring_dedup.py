@@ -5,12 +5,13 @@ the strict maximum of the REACH bytes before and not below the REACH bytes after
 nearby content alone, and an insertion moves no cut beyond its neighbourhood. Chunks (49 bytes on
 average) are deduplicated by a 128-bit digest: of equal chunks the one in the document with the smallest
 id stays, first occurrence. Adjacent duplicate chunks are joined to spans, and a span of MIN_WORDS words
-or more is reported; a repeated passage of over 50 words always holds such a span, a common short
-line doesn't.
+or more is reported. What lies between a passage's ends and the first and last cut inside it isn't matched, about 80 bytes
+on each side at most times, so nearly all repeated passages of over 50 words hold such a span (how many, by the length
+of words, is in the README), a common short line doesn't.
 
-Defined results: a null text is an empty text and has no chunks; documents with the same id (and all
-with a null id) count as one document; periodic text has few cuts and so long chunks; an empty table
-gives no rows; other columns are not read.
+Defined results: a null text is an empty text and has no chunks; rows are told apart by place, so rows with the same id or
+a null id are deduplicated like others (of a chunk in several rows with the least id, or with null ids alone, one row's stays); periodic
+text has few cuts and so long chunks; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,9 +56,7 @@ def cut_ends(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        buf_all, offs_all = texts(b.column(1))
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        null = np.asarray(b.column(0).is_null())
+        buf_all, offs_all = texts(b.column(2))
         for i, j in slices(offs_all):
             buf, offs = buf_all[offs_all[i] : offs_all[j]], offs_all[i : j + 1] - offs_all[i]
             ends = cut_ends(buf, offs)
@@ -75,36 +74,38 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word[offs[:-1][np.diff(offs) > 0]] |= ~space[offs[:-1][np.diff(offs) > 0]]
             w = np.concatenate(([0], np.cumsum(word)))
             c = char_offsets(buf)
-            of = doc + i
+            of = pa.array(doc + i)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[of].astype("int64") if not null.any() else np.where(null[of], 0, ids[of]).astype("int64"), mask=null[of]),
-                    pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(c[starts] - c[offs[doc]]), pa.array(c[ends] - c[offs[doc]]), pa.array((w[ends] - w[starts]).astype(np.int32)), pa.array(again),
+                    b.column(0).take(of), b.column(1).take(of), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(c[starts] - c[offs[doc]]), pa.array(c[ends] - c[offs[doc]]), pa.array((w[ends] - w[starts]).astype(np.int32)), pa.array(again),
                 ],
-                ["doc_id", "d1", "d2", "start", "end", "words", "again"],
+                ["_k", "doc_id", "d1", "d2", "start", "end", "words", "again"],
             )
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, d1, d2 (digest), start, end (code points), words (that begin in it), again (occurred before in this document)."""
+    """_k (the row), doc_id, d1, d2 (digest), start, end (code points), words (that begin in it), again (occurred before in this row)."""
     narrow_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_chunked, "doc_id long, d1 long, d2 long, start long, end long, words int, again boolean")
+    own = docs.select(F.monotonically_increasing_id().alias("_k"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(_chunked, "_k long, doc_id long, d1 long, d2 long, start long, end long, words int, again boolean")
 
 
 def repeated_spans(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, n_words, n_chunks, first_doc_ids): spans that deduplication takes out, and where they stay."""
+    """(doc_id, start, end, n_words, n_chunks, first_doc_ids): spans that deduplication takes out, and where they stay (ids that are not null)."""
     found = scratch.save(chunks(docs, id_col, text_col))
-    repeated = found.groupBy("d1", "d2").agg(F.count("*").alias("_n"), F.min("doc_id").alias("first_doc_id")).where("_n > 1").drop("_n")
-    # equi-join of two shuffled sides: a chunk that very many documents share is split by AQE
-    drop = found.join(repeated, ["d1", "d2"]).where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
-    place = W.partitionBy("doc_id").orderBy("start", "end", "first_doc_id")
+    last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    repeated = found.groupBy("d1", "d2").agg(F.count("*").alias("_n"), F.min("doc_id").alias("first_doc_id"), F.min_by("_k", last).alias("_first"))
+    # written first, so that both sides of the join are plain exchanges, whose large keys (a chunk that very many documents share) can be split
+    repeated = scratch.save(repeated.where("_n > 1").drop("_n"))
+    drop = found.join(repeated, ["d1", "d2"]).where(F.col("again") | (F.col("_k") != F.col("_first")))
+    place = W.partitionBy("_k").orderBy("start", "end")
     drop = drop.withColumn("_new", F.coalesce((F.lag("end").over(place) < F.col("start")).cast("int"), F.lit(1)))
     drop = drop.withColumn("_span", F.sum("_new").over(place.rowsBetween(W.unboundedPreceding, 0)))
-    spans = drop.groupBy("doc_id", "_span").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids")
-    )
-    return spans.where(F.col("n_words") >= min_words).drop("_span")
+    spans = drop.groupBy("_k", "_span").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"),
+        F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"),
+    )
+    return spans.where(F.col("n_words") >= min_words).drop("_k", "_span")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ The automaton holds all template texts and the base phrases. Each document is st
 which gives matching statistics (at each word the longest suffix that occurs in some template); a
 vectorised filter on template word triples skips the parts where no match reaches three words.
 Maximal matches of MIN_MATCH words or more are chained per template (increasing in the document and in
-the template), and a template whose chain covers enough of it labels the document. Base phrases
-are found at states of the same walk.
+the template, each word counted once, no gap over GAP words), and a template whose chain covers enough of it and holds the words
+that tell it from its relatives, unedited, labels the document. Base phrases are found at states of the same walk.
 
 Defined results: a null text is an empty text: no words, no places, empty labels, score 0; repeated rows
 are scanned again; an empty table gives no rows; other columns are not read. score is the largest
@@ -14,6 +14,7 @@ share of a template or phrase that is covered (1 where a base phrase stands whol
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -33,24 +34,49 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Public licence notices, in the licences' own words.
+# Public licence notices in the licences' own words: label, words that tell it from its relatives, text.
 TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
-    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("mit", "mit license", "released under the mit license"),
+    ("mit", "mit license", "licensed under the mit license"),
+    ("mit", "mit license", "this project is licensed under the terms of the mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2", "apache license version 2", "licensed under the apache license version 2 0"),
+    ("apache-2", "apache license version 2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("isc", "and this permission notice appear in all copies", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "isc license", "licensed under the isc license"),
+    ("0bsd", "with or without fee is hereby granted the software is provided as is", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3", "endorse or promote products derived from this software", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("zlib", "alter it and redistribute it freely", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("boost", "boost software license version 1 0", "distributed under the boost software license version 1 0 see accompanying file license 1 0 txt or copy at http www boost org license 1 0 txt"),
+    ("unlicense", "free and unencumbered software released into the public domain", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("cc0", "waived all copyright and related or neighboring rights", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc0", "cc0 1 0 universal", "this work is dedicated to the public domain under cc0 1 0 universal"),
+    ("gpl", "the gnu general public license", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "under the terms of the gnu general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl", "under the terms of the gnu general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("lgpl", "under the terms of the gnu lesser general public license", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl", "the gnu lesser general public license", "this work is licensed under the gnu lesser general public license version 3"),
+    ("agpl", "under the terms of the gnu affero general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl", "the gnu affero general public license", "this work is licensed under the gnu affero general public license version 3"),
+    ("mpl-2", "mozilla public license v 2 0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("mpl-1.1", "mozilla public license version 1 1", "the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www mozilla org mpl"),
+    ("epl-1", "the eclipse public license v1 0", "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html"),
+    ("epl-2", "the eclipse public license 2 0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("epl-2", "the eclipse public license v 2 0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("cc-by", "cc by 4 0", "licensed under cc by 4 0"),
+    ("cc-by-sa", "cc by sa 4 0", "licensed under cc by sa 4 0"),
+    ("cc-by-nd", "cc by nd 4 0", "licensed under cc by nd 4 0"),
+    ("cc-by-nc", "cc by nc 4 0", "licensed under cc by nc 4 0"),
+    ("cc-by-nc-sa", "cc by nc sa 4 0", "licensed under cc by nc sa 4 0"),
+    ("cc-by-nc-nd", "cc by nc nd 4 0", "licensed under cc by nc nd 4 0"),
+    ("cc-by", "creative commons attribution 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nd", "creative commons attribution noderivatives 4 0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4 0", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives 4 0", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
 ]
 
 #: Words of a match that chains, words between two matches of a chain, and the share or the words that label.
@@ -112,7 +138,9 @@ class Automaton:
 
 class Scanner:
     def __init__(self) -> None:
-        seqs = [(label, text.split()) for label, text in TEMPLATES]
+        seqs = [(label, text.split()) for label, _, text in TEMPLATES]
+        #: First and last place (exclusive) in each template of the words that tell it
+        self.keys = [((at := len(f" {text} ".partition(f" {key} ")[0].split())), at + len(key.split())) for _, key, text in TEMPLATES]
         self.labels = [label for label, _ in seqs]
         self.sizes = [len(s) for _, s in seqs]
         phrases = [(label, p.split()) for p, label in PHRASES.items()]
@@ -166,36 +194,38 @@ class Scanner:
         share: dict[str, float] = {label: 1.0 for _, label in base}
         extra = set()
         for t, found in matches.items():
-            words = self._chain(t, found)
-            label, part = self.labels[t], words / self.sizes[t]
-            share[label] = max(share.get(label, 0.0), part)
-            if part >= SHARE or words >= ENOUGH:
+            words, told = chained(found, self.keys[t])
+            label = self.labels[t]
+            share[label] = max(share.get(label, 0.0), words / self.sizes[t])
+            if told >= SHARE * self.sizes[t] or told >= ENOUGH:
                 extra.add(label)
-        return base, share, extra
+        return base, share, extra - ({"bsd"} if "bsd-3" in extra else set())
 
     def _keep(self, matches: dict, end: int, state: int, length: int) -> None:
         for t, e in self.auto.ends[state]:
             if t < len(self.labels):
                 matches[t].append((end - length, end, e - length, e))
 
-    def _chain(self, t: int, found: list[tuple[int, int, int, int]]) -> int:
-        """The most template words that matches cover which increase in text and template, without a gap over GAP."""
-        best, size = 0, self.sizes[t]
-        tree: list[int] = []
-        reach = -GAP - 1
-        for start, end, p, q in sorted(found):
-            if start - reach > GAP:
-                tree = [0] * (size + 1)
-            reach = max(reach, end)
-            w, i = q - p, p
-            while i > 0:
-                w = max(w, tree[i] + q - p)
-                i -= i & -i
-            best, i = max(best, w), q
-            while i <= size:
-                tree[i] = max(tree[i], w)
-                i += i & -i
-        return min(best, size)
+
+def chained(found: list[tuple[int, int, int, int]], key: tuple[int, int]) -> tuple[int, int]:
+    """The most template words that a chain of matches (start, end, first, last in the template) covers, and the most with ``key`` in one match.
+
+    A chain goes on in the text and in the template, with at most GAP words of the text between two matches; of matches that
+    overlap, the later one counts what the earlier lacks.
+    """
+    found = sorted(found, key=lambda m: (m[1], m[3]))
+    ends = [m[1] for m in found]
+    best: list[tuple[int, int]] = []
+    for start, end, p, q in found:
+        n, told = q - p, q - p if p <= key[0] and q >= key[1] else 0
+        k = bisect_left(ends, start - GAP)
+        for (_, e, _, r), (w, v) in zip(found[k : len(best)], best[k:], strict=True):
+            new = q - p - max(0, e - start, r - p)
+            if new > 0 and r < q and e < end:
+                n = max(n, w + new)
+                told = max(told, v + new if v else 0, w + new if p <= key[0] and q >= key[1] else 0)
+        best.append((n, told))
+    return max((n for n, _ in best), default=0), max((v for _, v in best), default=0)
 
 
 @cache

@@ -8,6 +8,8 @@ Defined results: a null text is an empty text, and all empty texts are one group
 same digest the smallest id stays (null ids only if there is no other), and of repeated ids every
 row is reported and the row that stays is told by id alone; an empty table gives no rows; other
 columns of the input are not read. Digests that an earlier batch brought keep that batch's row.
+
+Each append adds a file to each bucket; ``compact`` makes one sorted file of them again.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ class DigestIndex:
     """(digest, keep_id) in ``buckets`` buckets, at ``path``; the same path opened again is the same index."""
 
     def __init__(self, spark: SparkSession, path: str, name: str, buckets: int = 64):
-        self.spark, self.name, self.buckets = spark, name, buckets
+        self.spark, self.path, self.name, self.buckets = spark, path, name, buckets
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
@@ -50,6 +52,18 @@ class DigestIndex:
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
         self.spark.catalog.refreshTable(self.name)
 
+    def compact(self, scratch: Scratch) -> None:
+        """Rewrite the index with one sorted file per bucket, by way of a written copy."""
+        copy = scratch.save(self.table())
+        (copy.repartition(self.buckets, "digest").write.format("parquet").mode("overwrite")
+            .bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name))
+        self.spark.catalog.refreshTable(self.name)
+        scratch.drop(copy)
+
+    def forget(self) -> None:
+        """Take the name out of the catalogue; the index at its path stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
 
 def dedup(docs: DataFrame, index: DigestIndex, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, keep_id, group_size, kept) of every row, after appending its new digests to ``index``.
@@ -59,7 +73,7 @@ def dedup(docs: DataFrame, index: DigestIndex, scratch: Scratch, id_col: str = "
     own = scratch.save(digests(docs, id_col, text_col))
     groups = scratch.save(own.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     index.append_new(groups)
-    kept = groups.drop("keep_id").join(index.table().hint("merge"), "digest")
+    kept = scratch.save(groups.drop("keep_id").join(index.table().hint("merge"), "digest"))
     out = lookup(own, kept, "digest", "group_size")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
@@ -69,6 +83,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op5")
     index = DigestIndex(spark, f"{scratch.path}/index", "digest_index_" + scratch.path.rsplit("-", 1)[1], 32)
     out = dedup(docs, index, scratch)
+    index.forget()
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -33,15 +33,49 @@ def test_empty_table(spark, hard, tables, small, name):
     assert QUERIES[name](spark, tables(documents=hard.limit(0), **{k: v.limit(0) for k, v in small.items()})).collect() == []
 
 
+def values(df):
+    """Rows as text, in any order; shards and positions of equal rows may change places."""
+    return sorted(str([getattr(r, c) for c in sorted(df.columns)]) for r in df.collect())
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_clashing_columns(spark, hard, tables, small, name):
+def test_clashing_columns(spark, hard, tables, small, name, tmp_path):
     extra = hard
-    for c in ("row", "score", "key", "node", "digest", "size", "shard", "words", "id", "_row", "_part", "_cell", "window", "kept"):
+    for c in ("row", "score", "key", "node", "digest", "size", "shard", "words", "id", "_row", "_part", "_cell", "window", "kept", "_k", "cell", "slot", "source_size", "pattern", "_text", "again"):
         extra = extra.withColumn(c, F.lit("clash"))
-    plain, folder = QUERIES[name](spark, tables(documents=extra, **small)), None
-    assert folder is None
-    if name in PER_ROW:
-        assert plain.count() == hard.count()
+    plain = values(QUERIES[name](spark, tables(documents=hard, **small)))
+    extra.write.parquet(str(tmp_path / "more" / "documents.parquet"))
+    for k, v in small.items():
+        v.write.parquet(str(tmp_path / "more" / f"{k}.parquet"))
+    assert values(QUERIES[name](spark, str(tmp_path / "more"))) == plain
+
+
+def by_id(df, *columns):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.doc_id, []).append(tuple(getattr(r, c) for c in columns))
+    return out
+
+
+def test_values_of_hard_rows(spark, hard, tables, small):
+    sf = tables(documents=hard, **small)
+    run = lambda name, *columns: by_id(QUERIES[name](spark, sf), *columns)
+    near = run("op8_minhash_near_dedup", "n_shingles", "component_id", "kept")
+    assert near[1] == near[2] == near[3] == [(0, 1, True)] or (near[1], near[2], near[3]) == ([(0, 1, True)], [(0, 2, True)], [(0, 3, True)])
+    assert near[7] == [(1, 7, True)] * 2 and near[8] == [(1, 7, False)] and near[5][0][1:] == (4, False) and near[None] == [(2, None, True)]
+    exact = run("op5_exact_dedup", "keep_id", "group_size", "kept")
+    assert exact[1] == [(1, 2, True)] and exact[2] == [(1, 2, False)] and exact[3] == [(3, 1, True)] and exact[7] == [(7, 2, True)] * 2 and exact[None] == [(None, 1, True)]
+    assert run("op2_license_scan", "n_words", "n_base", "labels")[1] == [(0, 0, "")] and run("op2_license_scan", "n_words")[9] == [(4,)]
+    assert all(v == [(0, "")] * len(v) for v in run("op6_pii", "n_email", "spans").values())
+    mix = run("op7_mixing", "size", "taken")
+    assert mix[1] == mix[2] == mix[3] == [(0, 0)] and len(mix[7]) == 2 and all(0 <= t <= 2 * n for v in mix.values() for n, t in v)
+    quality = run("op9_quality_classifier", "score", "kept")
+    assert quality[1] == quality[2] == [(0.0, False)] and quality[7][0] == quality[7][1]
+    toxic = run("op10_toxicity", "score", "held_out")
+    assert toxic[1] == [(toxic[2][0][0], toxic[1][0][1])] and toxic[7][0] == toxic[7][1] and toxic[None][0][1] is False
+    sizes = run("op3_hilbert_sharding", "size", "text_crc32")
+    assert sizes[1] == [(1, 0)] and sizes[6] == [(200_001, sizes[6][0][1])]
+    assert run("op4_benchmark_decontamination", "item_id") == {}
 
 
 def test_pipeline_over_hard_rows(spark, hard, tables, small):

@@ -37,6 +37,29 @@ def test_stages_hold_their_contracts(spark, sf):
     assert near_dedup.BANDS * near_dedup.ROWS == near_dedup.BINS
 
 
+LONG = "the committee met on tuesday and after much talk about the harbour, its walls and the boats in it, agreed to write to the council about all {} of them"
+ITEM = "which of these rivers crosses the old border twice before it reaches the northern sea near the tall white lighthouse at dawn"
+
+
+def test_stages_decide_by_row(spark, documents, tables):
+    """Unique texts stay and copies and benchmark items go, whatever ids they share or lack."""
+    text = {c: " ".join(f"{c}{w}" for w in LONG.split()) for c in "ABC"} | {"D": ITEM}
+    rows = [(3, "A"), (7, "A"), (7, "B"), (9, "C"), (9, "C"), (None, "A"), (None, "D")]
+    sf = tables(benchmark=spark.createDataFrame([(1, ITEM)], "item_id long, text string"), documents=documents([(i, text[c]) for i, c in rows]))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    name = {v: k for k, v in text.items()}
+    left = lambda df: sorted((str(r.doc_id), name[r.text]) for r in df.collect())
+    one = corpus_pipeline.one_of_near_copies(spark, docs, sf)
+    assert left(one) == [("3", "A"), ("7", "B"), ("9", "C"), ("None", "D")]
+    assert left(corpus_pipeline.uncontaminated(spark, one, sf)) == [("3", "A"), ("7", "B"), ("9", "C")]
+    assert left(corpus_pipeline.uncontaminated(spark, docs, sf)) == sorted((str(i), c) for i, c in rows if c != "D")
+    mixed = corpus_pipeline.mixed(spark, docs, sf).collect()
+    size = sum(len(r.text.split()) for r in docs.collect())
+    assert abs(sum(len(r.text.split()) for r in mixed) - 0.9 * size) <= 30 and any(r.doc_id is None for r in mixed)
+    shards = corpus_pipeline.sharded(spark, docs, sf)
+    assert left(shards) == left(docs)
+
+
 def test_run_equals_the_stages(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet")

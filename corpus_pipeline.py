@@ -1,7 +1,8 @@
 """From raw documents to training shards: quality, near duplicates, contamination, mix, shards.
 
 Each stage takes what its predecessor kept, with the columns of documents, and its decisions take effect:
-the first four drop documents, the last adds shard and slot. Columns that documents have besides are kept.
+the first four drop documents, the last adds cell, shard and slot. Columns that documents have besides are kept.
+Every decision is about a row, told by its place and not by its id, so null and repeated ids lose or keep no other row.
 """
 
 from __future__ import annotations
@@ -10,40 +11,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm import decontamination, mixing, near_dedup, quality, sharding
-from lorewell.llm.shared import Scratch, table
+from lorewell.llm.shared import ROW, Scratch, keyed, table
 
 #: The mix takes this share of all words, without repeats.
 SHARE, SHARDS = 0.9, 16
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    return quality.accepted(docs)
+    """Rows that the quality classifier does not reject; each is judged by its text alone, empty and null texts go."""
+    return quality.accepted(Scratch(spark, "pipeline-quality"), docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (5-word shingles, similarity 0.8 or more)."""
-    groups = near_dedup.near_duplicates(Scratch(spark, "pipeline-near"), docs, k=5)
-    gone = groups.where(~near_dedup.kept()).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies (5-word shingles, similarity 0.8 or more): one with the least id, nulls last, and of several the first."""
+    scratch = Scratch(spark, "pipeline-near")
+    docs = keyed(scratch, docs)
+    groups = near_dedup.near_duplicates(scratch, docs, k=5)
+    return docs.join(near_dedup.dropped(groups), ROW, "left_anti").drop(ROW)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no copy, edited or not, of a benchmark item."""
-    found = decontamination.contaminated(Scratch(spark, "pipeline-leaks"), docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text holds no copy, edited or not, of a benchmark item, whatever their ids."""
+    return decontamination.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes; one that is cut at the end of its source's share stays if half of it or more is taken."""
-    rows, services = mixing.mix(Scratch(spark, "pipeline-mix"), docs, SHARE, cap=1)
-    taken = rows.join(services.select("_row", "words"), "_row").where(F.col("words") * 2 >= F.col("size"))
-    return docs.join(taken.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Rows that the mix takes; one that is cut at the end stays if half of it or more is taken. Rows without words go: the mix takes none of them."""
+    scratch = Scratch(spark, "pipeline-mix")
+    docs = keyed(scratch, docs)
+    rows, services = mixing.mix(scratch, docs, SHARE, cap=1)
+    words = services.groupBy("_row").agg(F.sum("words").alias("_words"))
+    taken = rows.join(words, "_row").where(F.col("_words") * 2 >= F.col("size"))
+    return docs.join(taken.select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in shards along the Hilbert curve."""
-    return sharding.shard(docs, SHARDS, docs.columns)
+    """All rows, in shards along the Hilbert curve."""
+    return sharding.shard(Scratch(spark, "pipeline-shards"), docs, SHARDS, docs.columns)
 
 
 STAGES = [

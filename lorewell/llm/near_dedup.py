@@ -170,7 +170,7 @@ def _joined(scratch: Scratch, roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 #: Buckets of up to so many members are compared whole where stars leave them open, larger ones after so many rounds of stars.
-SMALL, ROUNDS = 8, 6
+SMALL, ROUNDS = 8, 24
 #: What stars leave of large buckets is compared in blocks of about so many members and at most about so many shingles.
 BLOCK, BLOCK_SHINGLES = 256, 500_000
 #: A centre's edges are dealt to at most so many groups, and its set goes once to each.

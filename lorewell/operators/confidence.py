@@ -60,7 +60,7 @@ def losers(corpus: Corpus, drift: DataFrame | None = None, task: bool = True, co
 
 def rank(corpus: Corpus, f: Filter = Filter(), limit: int = 5, everything: bool = False) -> DataFrame:
     """Best notes by confidence alone."""
-    notes = corpus.notes.where(f.column() if everything else f.column() & knowledge())
+    notes = corpus.notes.where(f.shown() if everything else f.shown() & knowledge())
     confirmed = written(task_confirmation(corpus.notes, corpus.settings.confirmation))
     rows = notes.join(base_confidence(corpus, confirmed=confirmed), "id").join(losers(corpus, confirmed=confirmed).withColumn("_lost", F.lit(True)), "id", "left").join(confirmed, "id", "left")
     sure = F.round(F.when(F.col("_lost"), F.greatest(F.col("confidence") - 0.1, F.lit(0.0))).otherwise(F.col("confidence")), 6)

@@ -25,6 +25,10 @@ class Filter:
     since: int | None = None
     until: int | None = None
 
+    def shown(self) -> Column:
+        """As ``column``, and without asking for a status only those that are shown by default."""
+        return self.column() if self.statuses else self.column() & visible()
+
     def column(self) -> Column:
         out = F.lit(True)
         for name, values in (("type", self.types), ("classification", self.classes), ("status", self.statuses), ("agent_id", self.agents), ("agent_role", self.roles)):

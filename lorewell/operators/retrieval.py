@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lorewell.corpus import Corpus
 from lorewell.functions.globs import either_matches, regex_column
-from lorewell.functions.runtime import written
+from lorewell.functions.runtime import numbered, written
 from lorewell.functions.scores import age_days, age_factor, confidence, idf, posterior_mean, type_weight, wilson
 from lorewell.functions.text import one_line, query_terms, tokens, with_stem
 from lorewell.functions.vectors import dot, norm
@@ -18,6 +18,7 @@ FIELD_WEIGHT = {"statement": 3.0, "body": 1.0, "tags": 2.0}
 K1, B = 1.5, 0.75
 HIGH_FREQUENCY_LEAST = 64
 RECENT_MS = 7 * 86_400_000
+AUTHORITY = ("references", "supports", "extends", "replaces")
 
 
 def field_tokens(notes: DataFrame, fields: tuple[str, ...] = tuple(FIELD_WEIGHT), once: bool = False) -> DataFrame:
@@ -111,22 +112,24 @@ def top(rows: DataFrame, score: str, k: int, digits: int = 6) -> DataFrame:
 
 
 def ranked(rows: DataFrame, score: str, channel: str, k: int = 0) -> DataFrame:
-    """(id, channel, rank from 0) by rounded score and id; ``k`` first of them."""
-    rows = rows.withColumn(score, F.round(score, 6))
-    order = W.orderBy(F.desc(score), "id")
-    out = rows.withColumn("rank", F.row_number().over(order) - 1)
-    return (out.where(F.col("rank") < k) if k else out).select("id", F.lit(channel).alias("channel"), "rank")
+    """(id, channel, rank from 0) by rounded score and id; ``k`` first of them. Whole channels are ranked by ranges, not in one task."""
+    rows = rows.withColumn(score, F.round(score, 6)).select("id", score)
+    order = [F.desc(score), F.col("id")]
+    if k:
+        few = rows.orderBy(*order).limit(k)
+        return few.withColumn("rank", F.row_number().over(W.orderBy(*order)) - 1).select("id", F.lit(channel).alias("channel"), "rank")
+    return numbered(rows, *order).select("id", F.lit(channel).alias("channel"), F.col("position").cast("int").alias("rank"))
 
 
 def anchor_hits(notes: DataFrame, paths: list[str], ids: list[str] = ()) -> DataFrame:
-    """(id, hits, file): anchors that match working paths, and working ids that equal or match an anchor. The working set is a short list."""
+    """(id, hits, file, own): anchors that match working paths, and working ids that equal or match an anchor. The working set is a short list."""
     count = lambda test, values: sum((F.when(test(v), 1).otherwise(0) for v in values), F.lit(0))
     a = F.col("anchor")
     rows = notes.select("id", F.explode("anchors").alias("anchor"))
     files = count(lambda p: either_matches(a, F.lit(p)) if any(c in p for c in "*?") else F.rlike(F.lit(p), regex_column(a)), paths)
     own = count(lambda i: (F.col("id") == i) | F.rlike(F.lit(i), regex_column(a)), ids)
     rows = rows.withColumn("_f", files).withColumn("_i", own)
-    return rows.groupBy("id").agg((F.sum("_f") + F.sum("_i")).cast("long").alias("hits"), (F.sum("_f") > 0).alias("file")).where("hits > 0")
+    return rows.groupBy("id").agg((F.sum("_f") + F.sum("_i")).cast("long").alias("hits"), (F.sum("_f") > 0).alias("file"), (F.sum("_i") > 0).alias("own")).where("hits > 0")
 
 
 def similar_to(vectors: DataFrame, query: list[float], least: float, k: int) -> DataFrame:
@@ -146,34 +149,53 @@ def fuse(channels: DataFrame, weights: dict[str, float], k: int = 60) -> DataFra
     return channels.groupBy("id").agg(F.sum(part).alias("score"), *parts)
 
 
-def recall(corpus: Corpus, query: str, paths: list[str], vector: list[float] | None, f: Filter = Filter(), limit: int | None = None) -> DataFrame:
-    """Hybrid recall: candidates, three channels, fusion, confidence and the reason for each hit."""
+def recall(
+    corpus: Corpus, query: str, paths: list[str], vector: list[float] | None, f: Filter = Filter(), limit: int | None = None, ids: tuple[str, ...] = (), scope: str | None = None, as_of: int | None = None,
+) -> DataFrame:
+    """Hybrid recall: candidates, up to four channels, fusion, confidence and the reason for each hit.
+
+    Candidates pass the filter and are shown by default; with ``scope`` they depend on that note, directly or not, or are it; with
+    ``as_of`` they were active then by the log. ``ids`` are working ids beside working paths. The authority channel is on where its weight is above 0.
+    """
     from lorewell.operators.confidence import losers, task_confirmation
+    from lorewell.operators.graph import downstream, of_kind, pagerank
+    from lorewell.operators.lifecycle import active_as_of
 
     s = corpus.settings
     limit = s.limit if limit is None else limit
     notes = corpus.notes
-    allowed = notes.where(f.column() & knowledge())
+    allowed = notes.where(f.shown() & knowledge())
+    if as_of is not None:
+        allowed = allowed.join(active_as_of(corpus, as_of), "id", "left_semi")
+    inside = notes.select("id").limit(0)
+    if scope is not None:
+        start = notes.sparkSession.createDataFrame([(scope,)], "id string")
+        inside = written(start.union(downstream(of_kind(corpus.edges, "depends_on"), start)).distinct())
+        allowed = allowed.join(inside, "id", "left_semi")
     confirmed = written(task_confirmation(notes, s.confirmation))
     boost = bm25(notes, query, s.max_term_ratio).join(confirmed, "id", "left").withColumn("score", F.col("score") * (F.greatest(F.coalesce("task", F.lit(0.0)), F.lit(0.0)) + 1.0))
     keep = allowed.select("id")
     lexical = ranked(boost.where("score > 0").join(keep, "id", "left_semi"), "score", "lexical")
-    hits = written(anchor_hits(allowed, paths))
+    hits = written(anchor_hits(allowed, paths, list(ids)))
     channels = lexical.union(ranked(hits, "hits", "anchor"))
     if vector is not None and corpus.vectors is not None:
         near = similar_to(corpus.vectors, vector, 0.0, s.semantic_top_k).join(keep, "id", "left_semi")
-        channels = channels.union(ranked(near, "similarity", "semantic"))
-    fused = top(fuse(channels, {"lexical": s.lexical, "anchor": s.anchor, "semantic": s.semantic}, s.rrf_k), "score", limit, 9)
+        channels = channels.union(ranked(near, "similarity", "semantic", s.semantic_top_k))
+    if s.ppr > 0:
+        ranks = pagerank(notes.select("id"), of_kind(corpus.edges, *AUTHORITY), hits.select("id")).join(keep, "id", "left_semi")
+        channels = channels.union(ranked(ranks.withColumn("rank", F.col("rank") * 1000), "rank", "ppr"))
+    fused = top(fuse(channels, {"lexical": s.lexical, "anchor": s.anchor, "semantic": s.semantic, "ppr": s.ppr}, s.rrf_k), "score", limit, 9)
     # at most ``limit`` rows from here on
     best = fused.agg(F.max("score").alias("_best"))
-    out = fused.join(F.broadcast(best), F.lit(True)).join(notes, "id").join(confirmed, "id", "left").join(losers(corpus, confirmed=confirmed).withColumn("_lost", F.lit(True)), "id", "left").join(hits.select("id", "file"), "id", "left")
+    out = fused.join(F.broadcast(best), F.lit(True)).join(notes, "id").join(confirmed, "id", "left").join(losers(corpus, confirmed=confirmed).withColumn("_lost", F.lit(True)), "id", "left").join(hits.select("id", "file", "own"), "id", "left")
+    out = out.join(inside.withColumn("_inside", F.lit(True)), "id", "left")
     days = age_days(F.col("created_ms"), corpus.now_ms)
     task = F.coalesce("task", F.lit(0.0))
     similarity = F.when(F.col("_best") > 0, F.col("score") / F.col("_best")).otherwise(0.0)
     sure = confidence(similarity, age_factor(days), wilson(F.col("successes"), F.col("failures")), F.lit(0.0), task, F.lit(0.0))
     sure = F.when(F.col("_lost"), F.greatest(sure - 0.1, F.lit(0.0))).otherwise(sure)
     why = (
-        F.when(F.col("file"), "file_match").when((F.col("successes") > 0) | (task > 0), "stars").when(F.col("semantic") > 0, "semantic")
+        F.when(F.col("file"), "file_match").when(F.col("own"), "anchor_match").when(F.col("_inside"), "tracker_match").when((F.col("successes") > 0) | (task > 0), "stars").when(F.col("semantic") > 0, "semantic")
         .when(F.lit(corpus.now_ms) - F.col("created_ms") <= RECENT_MS, "recent").otherwise("universal")
     )
     stars = F.least(posterior_mean(F.col("successes"), F.col("failures")) + task, F.lit(1.0))

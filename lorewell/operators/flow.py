@@ -11,7 +11,7 @@ from lorewell.functions.globs import matches, to_regex
 from lorewell.functions.scores import age_days, age_factor, confidence
 from lorewell.functions.text import content_terms, one_line, token_estimate
 from lorewell.operators.confidence import task_confirmation
-from lorewell.operators.filters import actionable
+from lorewell.operators.filters import actionable, glob_pairs
 from lorewell.operators.graph import closure, epic_of, impact, integrity, of_kind, views
 
 MIN_TAIL = 100
@@ -50,8 +50,10 @@ def manifest_rank(corpus: Corpus, limit: int) -> DataFrame:
     return manifest(corpus).orderBy(F.desc("score"), F.desc("created_ms"), "id").limit(limit)
 
 
-def next_tasks(corpus: Corpus, limit: int) -> DataFrame:
-    """Ready and actionable items, those that most open items wait for first."""
+def next_tasks(corpus: Corpus, limit: int | None = None, budget: int | None = None) -> DataFrame:
+    """Ready and actionable items, those that most open items wait for first; a token budget allows one for each 200, one to five."""
+    if limit is None:
+        limit = max(1, min(5, (corpus.settings.budget if budget is None else budget) // 200))
     ready = views(corpus).where("state = 'ready'").select("id")
     rows = corpus.notes.where(actionable()).join(ready, "id", "left_semi").join(impact(corpus), "id", "left")
     rows = rows.select("id", one_line("statement").alias("statement"), F.coalesce("impact", F.lit(0)).cast("long").alias("impact"), "created_ms")
@@ -123,11 +125,17 @@ def outcome(results: DataFrame) -> DataFrame:
 
 
 def resolved_checks(explicit: DataFrame, catalog: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(name, source): explicit before global before anchor checks; catalog (name, scope): a null scope is global, others glob anchors."""
-    ranked = explicit.select("name", F.lit(0).alias("_p")).union(catalog.where("scope is null").select("name", F.lit(1)))
-    by_anchor = catalog.where("scope is not null").join(anchors, matches(F.col("scope"), F.col("anchor"))).select("name", F.lit(2))
+    """(name, source): explicit before global before anchor checks; an explicit name that the catalogue lacks is ``missing``.
+
+    catalog (name, scope): a null scope is global, others glob anchors.
+    """
+    asked = explicit.select("name").distinct().join(catalog.select("name").distinct().withColumn("_k", F.lit(True)), "name", "left")
+    ranked = asked.select("name", F.when(F.col("_k"), 0).otherwise(3).alias("_p")).union(catalog.where("scope is null").select("name", F.lit(1)))
+    scoped = catalog.where("scope is not null")
+    hit = glob_pairs(scoped.select(F.col("scope").alias("pattern")).distinct(), anchors.select(F.col("anchor").alias("path")).distinct()).select(F.col("pattern").alias("scope")).distinct()
+    by_anchor = scoped.join(hit, "scope", "left_semi").select("name", F.lit(2))
     first = ranked.union(by_anchor).groupBy("name").agg(F.min("_p").alias("_p"))
-    return first.select("name", F.element_at(F.array(F.lit("explicit"), F.lit("global"), F.lit("anchor")), F.col("_p") + 1).alias("source"))
+    return first.select("name", F.element_at(F.array(*map(F.lit, ("explicit", "global", "anchor", "missing"))), F.col("_p") + 1).alias("source"))
 
 
 def accepted(gates: DataFrame, least: float) -> DataFrame:

@@ -63,23 +63,84 @@ def expand(edges: DataFrame, start: str, depth: int, kinds: list[str] | None = N
     return seen.where("depth > 0")
 
 
-def cyclic(edges: DataFrame) -> DataFrame:
-    """(id, component): nodes on a cycle, named by the smallest id of their strongly connected component; self-loops count.
+#: A cyclic core of up to so many edges is solved on the driver, in memory that this bounds; a larger one by labels that flow.
+CORE = 20_000
 
-    Nodes without a way in or out are peeled off first, so only the cyclic core is closed.
-    """
-    core = written(edges.select("src", "dst").distinct())
-    before = core.count()
-    while True:
+
+def _trimmed(core: DataFrame) -> tuple[DataFrame, int]:
+    """Edges that are left when nodes without a way in or out are peeled off, again and again, and their number."""
+    before, now = -1, core.count()
+    while now != before and now:
         core = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         core = written(core.select("src", "dst"))
-        now = core.count()
-        if now == before:
-            break
-        before = now
-    reach = closure(core)
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return reach.join(back, ["src", "dst"]).groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("component"))
+        before, now = now, core.count()
+    return core, now
+
+
+def _strong(edges: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(node, smallest node of its strongly connected component) of the nodes on cycles, of a bounded number of edges."""
+    out, back = {}, {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+
+    def reach(start: str, way: dict[str, list[str]], within: set[str]) -> set[str]:
+        seen, todo = set(), [start]
+        while todo:
+            for x in way.get(todo.pop(), ()):
+                if x in within and x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        return seen
+
+    found, work = [], [set(out) | set(back)]
+    while work:
+        nodes = work.pop()
+        if not nodes:
+            continue
+        pivot = min(nodes)
+        ahead, behind = reach(pivot, out, nodes), reach(pivot, back, nodes)
+        ring = ahead & behind
+        found += [(x, min(ring)) for x in ring]
+        ring.add(pivot)
+        work += [ahead - ring, behind - ring, nodes - ahead - behind - ring]
+    return found
+
+
+def cyclic(edges: DataFrame, small: int = CORE) -> DataFrame:
+    """(id, component): nodes on a cycle, named by the smallest id of their strongly connected component; self-loops count.
+
+    Nodes without a way in or out are peeled off first. In a large core each node takes the smallest id that reaches it; among nodes
+    with one label, those that reach the label's node are its component. What is found is taken out, until no core is left.
+    No pairs of nodes are made, so a component of n nodes costs n rows a step.
+    """
+    core, size = _trimmed(written(edges.select("src", "dst").distinct()))
+    fields = "id string, component string"
+    out = edges.sparkSession.createDataFrame([], fields)
+    while size > small:
+        label = written(core.select(F.col("src").alias("id")).union(core.select("dst")).distinct().withColumn("label", F.col("id")))
+        while True:
+            told = core.join(label, core["src"] == label["id"]).select(F.col("dst").alias("id"), "label")
+            new = written(label.union(told).groupBy("id").agg(F.min("label").alias("label")))
+            done = new.exceptAll(label).isEmpty()
+            label = new
+            if done:
+                break
+        a, b = label.toDF("src", "_a"), label.toDF("dst", "_b")
+        own = written(core.join(a, "src").join(b, "dst").where("_a = _b").select("src", "dst", F.col("_a").alias("component")))
+        # nodes that reach their label's node, one step or more
+        front = part = written(own.where("dst = component").select(F.col("src").alias("id"), "component").distinct())
+        while not front.isEmpty():
+            more = own.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "component").distinct().join(part, "id", "left_anti")
+            front = written(more)
+            part = part.union(front)
+        part = written(part)
+        out = out.union(part)
+        gone = part.select("id").union(label.where("id = label").select("id")).distinct()
+        left = core.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        core, size = _trimmed(written(left.select("src", "dst")))
+    few = [(r.src, r.dst) for r in core.collect()] if size else []
+    return out.union(edges.sparkSession.createDataFrame(_strong(few), fields)) if few else out
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -99,7 +160,7 @@ def classes(edges: DataFrame) -> DataFrame:
         now = new
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, steps: int = 32, stop: float = 1e-8) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, steps: int = 32, stop: float = 1e-12) -> DataFrame:
     """(id, rank): power iteration from 1/n; what dangling nodes hold goes to the seeds, or to all nodes without seeds.
 
     One job a step: what arrives (a row per node) is written, and the dangling mass is what has not arrived.
@@ -236,6 +297,21 @@ def epic_of(corpus: Corpus, hops: int = 3) -> DataFrame:
     return rows.where("epic is not null").select("id", "epic")
 
 
+def epic_around(corpus: Corpus, hops: int = 8) -> DataFrame:
+    """(id, epic): the nearest ancestor of scope epic, else the nearest epic along depends_on, the smaller id at a tie."""
+    up = epic_of(corpus, hops)
+    depends = of_kind(corpus.edges, "depends_on")
+    marked = corpus.notes.where("scope = 'epic'").select("id", F.col("id").alias("epic"))
+    found = level = written(marked)
+    while True:
+        told = depends.join(level.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("epic").alias("epic"))
+        level = written(told.join(found.select("id"), "id", "left_anti"))
+        if level.isEmpty():
+            break
+        found = found.union(level)
+    return up.union(found.join(up, "id", "left_anti").join(corpus.notes.select("id"), "id", "left_semi").select("id", "epic"))
+
+
 def subtree(corpus: Corpus, root: str) -> DataFrame:
     """(id, depth, position): the tree below a note in preorder, children by id."""
     spark = corpus.notes.sparkSession
@@ -288,11 +364,17 @@ def missing_edges(edges: DataFrame, suggested: DataFrame) -> DataFrame:
     return suggested.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
 
 
-def supersession_history(edges: DataFrame, note: str) -> DataFrame:
-    """(id, step): the chain of replacements through a note, older ones below 0."""
-    pairs = of_kind(edges, "replaces")
-    spark = edges.sparkSession
-    start = spark.createDataFrame([(note,)], "src string")
-    older = descendants(pairs, start.toDF("id")).select("id", (-F.col("depth")).alias("step"))
-    newer = descendants(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start.toDF("id")).select("id", F.col("depth").alias("step"))
-    return older.union(newer).union(start.select(F.col("src"), F.lit(0)))
+def supersession_history(edges: DataFrame, notes: DataFrame, note: str) -> DataFrame:
+    """(id, step): from a note back along its first replaces to the oldest one, then forward along superseded_by; no note twice.
+
+    One chain is walked, a lookup a step.
+    """
+    older = of_kind(edges, "replaces").groupBy("src").agg(F.min("dst").alias("dst"))
+    root, seen = note, {note}
+    while (r := older.where(F.col("src") == root).first()) and r.dst not in seen:
+        root = r.dst
+        seen.add(root)
+    chain = [root]
+    while (r := notes.where(F.col("id") == chain[-1]).select("superseded_by").first()) and r.superseded_by and r.superseded_by not in chain:
+        chain.append(r.superseded_by)
+    return edges.sparkSession.createDataFrame([(x, k) for k, x in enumerate(chain)], "id string, step long")

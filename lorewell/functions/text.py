@@ -168,3 +168,60 @@ CUES = {
     "depende de": "depends_on", "dependência de": "depends_on", "requer": "depends_on", "precisa de": "depends_on", "contradiz": "contradicts", "refuta": "contradicts", "invalida": "contradicts",
     "confirma": "supports", "reforça": "supports", "suporta": "supports", "estende": "extends", "refina": "extends", "generaliza": "extends", "substitui": "replaces", "rejeita": "rejects",
 }
+
+
+def mentions(text: str | Column, types: list[str]) -> Column:
+    """Ids in a text, each with the kind of edge that the words before it tell: array of (target, kind, reason).
+
+    The text is cut before each id, so what stands before one are the pieces before its own; three of them hold the 24 characters that count.
+    """
+    one = rf"(?:{'|'.join(types)})_[0-9a-z]{{8}}(?![0-9A-Za-z_])"
+    pieces = F.split(F.concat(F.lit(" "), _col(text)), rf"(?<![0-9A-Za-z_])(?={one})")
+    at = F.sequence(F.lit(1), F.size(pieces) - 1)
+
+    def found(k: Column) -> Column:
+        piece = lambda n: F.coalesce(F.get(pieces, k - n), F.lit(""))
+        before = F.rtrim(F.regexp_replace(F.concat(piece(3), piece(2), piece(1)), r"\s+$", ""))
+        tail = F.lower(F.right(before, F.lit(24)))
+        kind, reason = F.lit("references"), F.lit("menção")
+        for cue, k_ in reversed(CUES.items()):
+            kind, reason = F.when(F.endswith(tail, F.lit(cue)), k_).otherwise(kind), F.when(F.endswith(tail, F.lit(cue)), "verbo").otherwise(reason)
+        link = F.endswith(before, F.lit("[["))
+        return F.struct(F.regexp_extract(piece(0), f"^{one}", 0).alias("target"), F.when(link, "references").otherwise(kind).alias("kind"), F.when(link, "wikilink").otherwise(reason).alias("reason"))
+
+    none = F.array().cast("array<struct<target: string, kind: string, reason: string>>")
+    return F.when(F.size(pieces) > 1, F.transform(at, found)).otherwise(none)
+
+
+def closest(raw: str | Column, valid: list[str]) -> Column:
+    """The label of a closed set nearest by edit distance, the first at a tie; null beyond two edits or a third of the length."""
+    low = F.lower(_col(raw))
+    ranked = F.array(*[F.struct(F.levenshtein(low, F.lit(v.lower())).alias("d"), F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(valid)])
+    best = F.array_min(ranked)
+    return F.when(best["d"] <= F.greatest(F.lit(2), F.floor(F.length(low) / 3)), best["v"])
+
+
+#: How a body's line that names its parent begins; another store's lines may begin otherwise.
+MARKER = "<!-- lorewell:parent"
+
+
+def parent_marker(body: str | Column, marker: str = MARKER) -> Column:
+    """(parent, blocks) of the first line that marks a parent; null without one."""
+    line = rf"(?m)^[^\S\n]*{marker}[ \t]+(\S+?)(?:[ \t]+blocks[ \t]+(\d+))?[ \t]*(?:-->)?[ \t]*$"
+    parent = F.regexp_extract(_col(body), line, 1)
+    blocks = F.regexp_extract(_col(body), line, 2)
+    return F.when(parent != "", F.struct(parent.alias("parent"), F.when(blocks != "", blocks.cast("int")).alias("blocks")))
+
+
+def without_marker(body: str | Column, marker: str = MARKER) -> Column:
+    """The body without marker lines and the empty lines that are left at its end."""
+    lines = F.filter(F.split(_col(body), "\n"), lambda x: ~F.startswith(F.ltrim(x), F.lit(marker)))
+    return F.regexp_replace(F.array_join(lines, "\n"), r"(?:\n\s*)+$", "")
+
+
+def with_marker(body: str | Column, parent: Column, blocks: Column | None = None, marker: str = MARKER) -> Column:
+    """The body with one line at its end that marks its parent, and its place there where it has one."""
+    place = F.lit("") if blocks is None else F.coalesce(F.concat(F.lit(" blocks "), blocks.cast("string")), F.lit(""))
+    line = F.concat(F.lit(marker + " "), parent, place, F.lit(" -->"))
+    rest = without_marker(body, marker)
+    return F.when(rest == "", line).otherwise(F.concat(rest, F.lit("\n"), line))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.corpus import Corpus, Settings
-from lorewell.functions.ids import EDGE_KINDS, body_hash, note_id
+from lorewell.functions.ids import EDGE_KINDS, TYPES, body_hash, note_id
 from lorewell.operators.dedup import similar_sets, term_sets, write_decisions
 from lorewell.operators.filters import glob_pairs, hierarchy_allowed, task_transition_allowed, transition_allowed
 
@@ -30,8 +30,8 @@ def plan_writes(notes: DataFrame, drafts: DataFrame, s: Settings = Settings()) -
 
 
 def merged(notes: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Notes after merging (target, tags, anchors, body): lists are joined in order, a body that is not contained is appended."""
-    one = incoming.groupBy(F.col("target").alias("id")).agg(F.flatten(F.collect_list("tags")).alias("_t"), F.flatten(F.collect_list("anchors")).alias("_a"), F.sort_array(F.collect_list("body")).alias("_b"))
+    """Notes after merging (target, tags, anchors, body): lists are joined in the order of their values, so runs agree, a body that is not contained is appended."""
+    one = incoming.groupBy(F.col("target").alias("id")).agg(F.flatten(F.sort_array(F.collect_list("tags"))).alias("_t"), F.flatten(F.sort_array(F.collect_list("anchors"))).alias("_a"), F.sort_array(F.collect_list("body")).alias("_b"))
     rows = notes.join(one, "id", "left")
     none = F.array().cast("array<string>")
     more = F.filter(F.coalesce("_b", none), lambda b: ~F.contains(F.col("body"), b))
@@ -125,3 +125,33 @@ def hints(candidates: DataFrame, shown: DataFrame, cap: int = 3) -> DataFrame:
     return candidates.dropDuplicates(["id"]).join(shown.select("id"), "id", "left_anti").orderBy("priority", "id").limit(cap)
 
 
+def outcomes_appended(notes: DataFrame, results: DataFrame) -> DataFrame:
+    """Notes (with outcomes and revision) after results (id, status, recorded_ms, notes): appended by time, each adds one to the revision."""
+    entry = F.struct("recorded_ms", "status", F.col("notes").alias("notes"))
+    more = results.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("_more"))
+    rows = notes.join(more, "id", "left")
+    kind = notes.schema["outcomes"].dataType.elementType
+    field = {"recorded_ms": lambda x: x["recorded_ms"], "status": lambda x: x["status"], "notes": lambda x: x["notes"]}
+    new = F.transform("_more", lambda x: F.struct(*[(field[f.name](x) if f.name in field else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields]))
+    none = F.array().cast(notes.schema["outcomes"].dataType)
+    grown = F.concat(F.coalesce("outcomes", none), F.coalesce(new, none))
+    return rows.withColumn("outcomes", grown).withColumn("revision", F.coalesce("revision", F.lit(1)) + F.coalesce(F.size("_more"), F.lit(0))).select(*notes.columns)
+
+
+# What a draft may hold.
+DRAFT_KEYS = ["type", "statement", "body", "tags", "anchors", "source", "classification", "status", "claims", "provenance"]
+CLASSES = ["foundational", "tactical", "observational"]
+STATUSES = ["active", "in_progress", "blocked", "closed", "superseded", "forgotten"]
+
+
+def draft_problems(drafts: DataFrame) -> DataFrame:
+    """(draft_id, problem) of drafts (draft_id, json): no object, an unknown key, no statement, or a value outside its set; null is no problem."""
+    keys = F.json_object_keys("json")
+    odd = F.array_min(F.array_except(keys, F.array(*map(F.lit, DRAFT_KEYS))))
+    value = lambda k: F.get_json_object("json", f"$.{k}")
+    outside = lambda k, those: value(k).isNotNull() & ~value(k).isin(*those)
+    problem = (
+        F.when(keys.isNull(), "not an object").when(odd.isNotNull(), F.concat(F.lit("unknown key: "), odd)).when(F.coalesce(value("statement"), F.lit("")) == "", "no statement")
+        .when(outside("type", [*TYPES, "epic"]), "unknown type").when(outside("classification", CLASSES), "unknown classification").when(outside("status", STATUSES), "unknown status")
+    )
+    return drafts.select("draft_id", problem.alias("problem"))

@@ -49,7 +49,7 @@ def bm25_topk(s, d):
 @query
 def bm25_highfreq_cut(s, d):
     n = bound.notes(s, d)
-    return s.createDataFrame([(t,) for t in retrieval.kept_terms(n, QUERY, 0.05)], "term string")
+    return s.createDataFrame([(t,) for t in retrieval.kept_terms(n, QUERY, 0.5)], "term string")
 
 
 @query
@@ -280,7 +280,7 @@ def subtree(s, d):
 
 @query
 def history(s, d):
-    return graph.supersession_history(bound.edges(s, d), "n0000000007")
+    return graph.supersession_history(bound.edges(s, d), bound.notes(s, d), "n0000000057")
 
 
 @query
@@ -306,7 +306,7 @@ def knn_per_note(s, d):
 
 @query
 def similar_pairs(s, d):
-    return semantic.similar_pairs(bound.vectors(s, d), 0.9)
+    return semantic.similar_pairs(bound.vectors(s, d), 0.45)
 
 
 @query
@@ -370,7 +370,7 @@ def auto_scope(s, d):
 
 @query
 def promotions(s, d):
-    return flow.promotions(bound.corpus(s, d), 0.15)
+    return flow.promotions(bound.corpus(s, d), 0.05)
 
 
 @query

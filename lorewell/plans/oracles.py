@@ -67,17 +67,21 @@ def _epics(hops: int) -> str:
     return f"{out}, epic AS (SELECT id, cur AS epic FROM (SELECT u.id, u.cur, row_number() OVER (PARTITION BY u.id ORDER BY h) AS k FROM up u JOIN notes n ON n.id = u.cur WHERE n.scope = 'epic') WHERE k = 1)"
 
 
-def _pagerank(steps: int = 32) -> str:
-    parts = [
-        NOTES, EDGES,
+def _pagerank(steps: int = 32, seeds: str = "true", parts: list[str] = ()) -> list[str]:
+    """CTEs up to r1, r2, ... of the power iteration; ``parts`` has notes and edges, and what ``seeds`` (a condition on notes) names. Those of ``parts`` that read a rank come last."""
+    late = [p for p in parts if f"FROM r{steps}" in p]
+    at = parts.index(late[0]) if late else len(parts)
+    out = [
+        *parts[:at],
         "lnk AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('references', 'supports', 'extends', 'replaces') AND dst IN (SELECT id FROM notes))",
         "deg AS (SELECT src, count(*) AS d FROM lnk GROUP BY 1)", "nn AS (SELECT count(*) AS n FROM notes)",
+        f"pers AS MATERIALIZED (SELECT id, CASE WHEN {seeds} THEN 1e0 / count(*) FILTER ({seeds}) OVER () ELSE 0e0 END AS p FROM notes)",
         "r0 AS MATERIALIZED (SELECT id, 1e0 / n AS r FROM notes, nn)",
     ]
     for k in range(1, steps + 1):
-        parts.append(f"c{k} AS MATERIALIZED (SELECT dst AS id, sum(r / d) AS c FROM lnk JOIN deg USING (src) JOIN r{k - 1} ON id = src GROUP BY 1)")
-        parts.append(f"r{k} AS MATERIALIZED (SELECT n.id, 0.15e0 / nn.n + 0.85e0 * (coalesce(c, 0e0) + (1e0 - t.t) / nn.n) AS r FROM notes n LEFT JOIN c{k} ON c{k}.id = n.id, nn, (SELECT coalesce(sum(c), 0e0) AS t FROM c{k}) t)")
-    return sql(parts, f"SELECT id, round(r * 1000, 6) AS rank_per_mille FROM r{steps}")
+        out.append(f"c{k} AS MATERIALIZED (SELECT dst AS id, sum(r / d) AS c FROM lnk JOIN deg USING (src) JOIN r{k - 1} ON id = src GROUP BY 1)")
+        out.append(f"r{k} AS MATERIALIZED (SELECT n.id, 0.15e0 * n.p + 0.85e0 * (coalesce(c, 0e0) + (1e0 - t.t) * n.p) AS r FROM pers n LEFT JOIN c{k} ON c{k}.id = n.id, (SELECT coalesce(sum(c), 0e0) AS t FROM c{k}) t)")
+    return [*out, *parts[at:]]
 
 
 def _dice(where: str, fields: str) -> str:
@@ -123,7 +127,7 @@ ARRTAGS = "array_to_string(tags, ' ')"
 ORACLES: dict[str, str] = {
     "token_df": sql([NOTES, POSTINGS], "SELECT field, term, df FROM dfs"),
     "bm25_topk": sql(LEX, "SELECT id, round(score, 6) AS score FROM bm25 ORDER BY score DESC, id LIMIT 20"),
-    "bm25_highfreq_cut": sql([NOTES, POSTINGS, QTERMS, CORPUS_N, CUT(0.05)], "SELECT DISTINCT term FROM q JOIN dfs USING (term)"),
+    "bm25_highfreq_cut": sql([NOTES, POSTINGS, QTERMS, CORPUS_N, CUT(0.5)], "SELECT DISTINCT term FROM q JOIN dfs USING (term)"),
     "bm25_body_share": sql(LEX, "SELECT id, round(CASE WHEN raw > 0 THEN least(greatest(body_raw / raw, 0e0), 1e0) ELSE 0e0 END, 6) AS share FROM bm25"),
     "tag_counts": sql([NOTES], "SELECT tag, count(*) AS n_notes FROM (SELECT unnest(tags) AS tag FROM notes WHERE status NOT IN ('superseded', 'forgotten')) WHERE tag IS NOT NULL GROUP BY 1"),
     "structural_filter": sql([NOTES], f"SELECT id FROM notes WHERE type IN ('fact', 'decision', 'error') AND classification IN ('foundational', 'tactical') AND list_has_any(tags, ['en', 'fr']) AND agent_role = 'main' AND created_ms BETWEEN 1700000000000 AND 1735000000000 AND status IN ('active', 'in_progress', 'blocked', 'closed') AND EXISTS (SELECT 1 FROM (SELECT unnest(anchors) AS a) WHERE regexp_matches(a, '^src/src1[^/]*/.*$') OR {MATCH('a', chr(39) + 'src/src1*/**' + chr(39))})"),
@@ -132,7 +136,7 @@ ORACLES: dict[str, str] = {
     "semantic_topk": sql([VECTORS], f"SELECT b.id, round({COS}, 6) AS similarity FROM vectors a, vectors b WHERE a.id = 'n0000000000' AND round({COS}, 6) >= 0 ORDER BY 2 DESC, 1 LIMIT 50"),
     "rrf_fuse": sql([*LEX, ANCHOR_HITS, "ch AS (SELECT id, 1e0 / (60 + row_number() OVER (ORDER BY round(score, 6) DESC, id)) AS l, 0e0 AS a FROM bm25 QUALIFY row_number() OVER (ORDER BY round(score, 6) DESC, id) <= 50 UNION ALL SELECT id, 0e0, 2e0 / (60 + row_number() OVER (ORDER BY hits DESC, id)) FROM hits)"],
                     "SELECT id, round(sum(l) + sum(a), 9) AS score, round(sum(l), 9) AS lexical, round(sum(a), 9) AS anchor FROM ch GROUP BY id"),
-    "recall_hybrid": sql([*LEX, EDGES, TASKS, CONF, LOSERS, ANCHOR_HITS, VECTORS, "allowed AS (SELECT id FROM notes WHERE scope IS NULL)",
+    "recall_hybrid": sql([*LEX, EDGES, TASKS, CONF, LOSERS, ANCHOR_HITS, VECTORS, "allowed AS (SELECT id FROM notes WHERE scope IS NULL AND status IN ('active', 'in_progress', 'blocked', 'closed'))",
         "lex AS (SELECT id, round(score * (1e0 + coalesce(task, 0e0)), 6) AS s FROM bm25 LEFT JOIN task USING (id) WHERE score > 0 AND id IN (SELECT id FROM allowed))",
         f"sem0 AS (SELECT b.id, round({COS}, 6) AS s FROM vectors a, vectors b WHERE a.id = 'n0000000000' AND round({COS}, 6) >= 0 ORDER BY 2 DESC, 1 LIMIT 50)",
         """ch AS (SELECT id, 1e0 / (60 + row_number() OVER (ORDER BY s DESC, id)) AS l, 0e0 AS a, 0e0 AS v FROM lex
@@ -147,7 +151,7 @@ ORACLES: dict[str, str] = {
           round(least(CASE WHEN successes + failures > 0 THEN (1e0 + successes) / (2e0 + successes + failures) ELSE 0e0 END + task_, 1e0), 6) AS stars FROM full_"""),
     "rank_confidence": sql([NOTES, EDGES, TASKS, CONF, LOSERS], """SELECT n.id, statement, round(CASE WHEN l.id IS NOT NULL THEN greatest(confidence - 0.1e0, 0e0) ELSE confidence END, 6) AS confidence,
       CASE WHEN successes > 0 OR coalesce(task, 0) > 0 THEN 'stars' ELSE 'universal' END AS why, round(least(CASE WHEN successes + failures > 0 THEN (1e0 + successes) / (2e0 + successes + failures) ELSE 0e0 END + coalesce(task, 0e0), 1e0), 6) AS stars
-      FROM notes n JOIN conf USING (id) LEFT JOIN losers l USING (id) LEFT JOIN task t USING (id) WHERE scope IS NULL ORDER BY 3 DESC, 1 LIMIT 25"""),
+      FROM notes n JOIN conf USING (id) LEFT JOIN losers l USING (id) LEFT JOIN task t USING (id) WHERE scope IS NULL AND status IN ('active', 'in_progress', 'blocked', 'closed') ORDER BY 3 DESC, 1 LIMIT 25"""),
     "wilson_confidence": sql([NOTES], f"SELECT id, round(CASE WHEN successes + failures > 0 THEN (1e0 + successes) / (2e0 + successes + failures) ELSE 0e0 END, 6) AS posterior, round({WILSON('successes', 'failures')}, 6) AS wilson FROM notes"),
     "task_confirmation": sql([NOTES, TASKS], "SELECT id, round(task, 6) AS task FROM task"),
     "contradiction_losers": sql([NOTES, EDGES, TASKS, CONF, LOSERS], "SELECT id FROM losers"),
@@ -182,7 +186,7 @@ ORACLES: dict[str, str] = {
     "cycles": sql([EDGES, "dr AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('depends_on', 'related'))", CLOSURE("reach", "dr")], CYCLIC("reach"), recursive=True),
     "ready_blocked": sql(NEXT_VIEWS, "SELECT id, CASE WHEN reason IS NULL THEN 'ready' ELSE 'blocked' END AS state, reason FROM views", recursive=True),
     "integrity": sql([NOTES, EDGES, INTEGRITY], "SELECT * FROM issues"),
-    "pagerank": _pagerank(),
+    "pagerank": sql(_pagerank(parts=[NOTES, EDGES]), "SELECT id, round(r * 1000, 6) AS rank_per_mille FROM r32"),
     "same_as_classes": sql([EDGES, "sa AS (SELECT src, dst FROM edges WHERE kind = 'same_as' UNION SELECT dst, src FROM edges WHERE kind = 'same_as')", CLOSURE("reach", "sa")], "SELECT src AS id, min(dst) AS representative FROM reach GROUP BY 1", recursive=True),
     "broader_closure": sql([EDGES, "br AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'broader')", CLOSURE("reach", "br")], "SELECT src, dst FROM reach", recursive=True),
     "claim_conflicts": sql([NOTES, CLAIMS], "SELECT * FROM claims"),
@@ -194,14 +198,14 @@ ORACLES: dict[str, str] = {
     "epics": sql([NOTES, EDGES, PARENT, _epics(3)], "SELECT id, epic FROM epic", recursive=True),
     "subtree": sql([EDGES, "tree AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'results_in'), down AS (SELECT dst AS id, 1 AS depth, src || '/' || dst AS way FROM tree WHERE src = 'n0000000001' UNION ALL SELECT t.dst, d.depth + 1, d.way || '/' || t.dst FROM down d JOIN tree t ON t.src = d.id)"],
         "SELECT id, depth, row_number() OVER (ORDER BY way) - 1 AS position FROM down", recursive=True),
-    "history": sql([EDGES, "rp AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'replaces'), old AS (SELECT 'n0000000007' AS id, 0 AS step UNION ALL SELECT r.dst, step - 1 FROM old o JOIN rp r ON r.src = o.id), nw AS (SELECT 'n0000000007' AS id, 0 AS step UNION ALL SELECT r.src, step + 1 FROM nw o JOIN rp r ON r.dst = o.id)"],
-        "SELECT id, step FROM old UNION SELECT id, step FROM nw", recursive=True),
+    "history": sql([NOTES, EDGES, "rp AS (SELECT src, min(dst) AS dst FROM edges WHERE kind = 'replaces' GROUP BY 1), old AS (SELECT 'n0000000057' AS id, 0 AS k UNION ALL SELECT r.dst, k + 1 FROM old o JOIN rp r ON r.src = o.id WHERE k < 50), top AS (SELECT id FROM old ORDER BY k DESC LIMIT 1), nw AS (SELECT id, CAST(0 AS BIGINT) AS step FROM top UNION ALL SELECT n.superseded_by, step + 1 FROM nw JOIN notes n ON n.id = nw.id WHERE n.superseded_by IS NOT NULL AND step < 50)"],
+        "SELECT id, step FROM nw", recursive=True),
     "scope_members": sql([EDGES, DEPENDS, "dn AS (SELECT 'n0000000010' AS id UNION SELECT e.dst FROM dn JOIN edges e ON e.src = dn.id AND e.kind = 'results_in'), ups AS (SELECT 'n0000000010' AS id UNION SELECT d.src FROM ups JOIN depends d ON d.dst = ups.id)"], "SELECT id FROM dn UNION SELECT id FROM ups", recursive=True),
     "structural_clusters": sql([NOTES, EDGES, PARENT, _epics(8), "ax AS (SELECT id, 'anchor' AS axis, unnest(anchors) AS key FROM notes UNION ALL SELECT id, 'type', coalesce(type, 'epic') FROM notes UNION ALL SELECT id, 'class', classification FROM notes UNION ALL SELECT id, 'scope', epic FROM epic)"],
         "SELECT axis, key, count(DISTINCT id) AS n_members, min(id) AS first_id FROM ax GROUP BY 1, 2", recursive=True),
     "global_terms": sql([NOTES], f"SELECT term, count(*) AS n_notes FROM (SELECT unnest({CONTENT('statement')}) AS term FROM notes) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8"),
     "knn_per_note": sql([VECTORS], f"SELECT a.id AS origin, b.id, round({COS}, 6) AS score FROM vectors a, vectors b WHERE a.id <> b.id AND substr(a.id, 10) IN ('00', '50') AND round({COS}, 6) >= 0 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round({COS}, 6) DESC, b.id) <= 5"),
-    "similar_pairs": sql([VECTORS], f"SELECT a.id AS a, b.id AS b, round({COS}, 6) AS score FROM vectors a JOIN vectors b ON a.id < b.id WHERE round({COS}, 6) >= 0.9"),
+    "similar_pairs": sql([VECTORS], f"SELECT a.id AS a, b.id AS b, round({COS}, 6) AS score FROM vectors a JOIN vectors b ON a.id < b.id WHERE round({COS}, 6) >= 0.45"),
     "semantic_suggestions": sql([NOTES, EDGES, VECTORS, f"nn AS (SELECT a.id AS o, b.id, round({COS}, 6) AS score FROM vectors a, vectors b WHERE a.id <> b.id AND substr(a.id, 10) IN ('00', '50') AND round({COS}, 6) >= 0.4 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round({COS}, 6) DESC, b.id) <= 10)",
         "pr AS (SELECT DISTINCT least(o, id) AS a, greatest(o, id) AS b, score FROM nn), lk AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges)"],
         "SELECT pr.a, pr.b, CASE WHEN score >= 0.92 THEN 'duplicate' WHEN score >= 0.75 THEN 'link' WHEN coalesce(list_has_any(x.anchors, y.anchors), false) THEN 'link' ELSE 'contradiction' END AS relation, score FROM pr LEFT JOIN notes x ON x.id = pr.a LEFT JOIN notes y ON y.id = pr.b WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.a = pr.a AND lk.b = pr.b)"),
@@ -216,7 +220,7 @@ ORACLES: dict[str, str] = {
         "SELECT position, CASE WHEN o = 0 THEN line ELSE left(line, CAST((1500 - (s - cost)) * 4 AS BIGINT)) || '…' END AS line FROM ov WHERE o = 0 OR (o = 1 AND s > 1500 AND 1500 - (s - cost) >= 100)"),
     "auto_scope": sql([NOTES, EDGES, DEPENDS, "ep AS (SELECT id FROM notes WHERE scope = 'epic'), tr AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'results_in'), dn AS (SELECT id AS epic, id FROM ep UNION SELECT dn.epic, t.dst FROM dn JOIN tr t ON t.src = dn.id), ups AS (SELECT id AS epic, id FROM ep UNION SELECT u.epic, d.src FROM ups u JOIN depends d ON d.dst = u.id), mem AS (SELECT * FROM dn UNION SELECT * FROM ups)",
         f"ah AS (SELECT id, anchor FROM (SELECT id, unnest(anchors) AS anchor FROM notes) WHERE EXISTS (SELECT 1 FROM {_paths} WHERE {MATCH('anchor', 'path')}))"], "SELECT epic, count(*) AS hits FROM mem JOIN ah USING (id) GROUP BY 1", recursive=True),
-    "promotions": sql([NOTES, EDGES, f"pc AS (SELECT id, round(least(greatest(least(len(anchors) + len(tags), 5) / 5e0 * {AGE} + 0.05e0 * {AGE} * (1e0 - least(len(anchors) + len(tags), 5) / 5e0), 0e0), 1e0), 6) AS confidence FROM notes WHERE type IN ('meta', 'decision') AND classification = 'foundational' AND id NOT IN (SELECT src FROM edges WHERE kind = 'contradicts'))"], "SELECT * FROM pc WHERE confidence >= 0.15"),
+    "promotions": sql([NOTES, EDGES, f"pc AS (SELECT id, round(least(greatest(least(len(anchors) + len(tags), 5) / 5e0 * {AGE} + 0.05e0 * {AGE} * (1e0 - least(len(anchors) + len(tags), 5) / 5e0), 0e0), 1e0), 6) AS confidence FROM notes WHERE type IN ('meta', 'decision') AND classification = 'foundational' AND id NOT IN (SELECT src FROM edges WHERE kind = 'contradicts'))"], "SELECT * FROM pc WHERE confidence >= 0.05"),
     "doctor_checks": sql([NOTES, EDGES, PATHS, DEPENDS, CLOSURE("reach", "depends"), TASKS, CONF, LOSERS, TTL, VALID, INTEGRITY, CLAIMS, DEGREE], f"""SELECT 'integrity' AS "check", count(*) AS findings FROM issues UNION ALL SELECT 'dependency_cycles', count(*) FROM ({CYCLIC('reach')}) UNION ALL SELECT 'broken_anchors', count(*) FROM validity WHERE valid < total
       UNION ALL SELECT 'expired', count(*) FROM ttl WHERE origin + days * 86400000 <= {NOW} UNION ALL SELECT 'contradictions', count(*) FROM losers UNION ALL SELECT 'claim_conflicts', count(*) FROM claims
       UNION ALL SELECT 'missing_slots', count(*) FROM notes LEFT JOIN degree USING (id) WHERE {_slots()} <> '' UNION ALL SELECT 'empty_body', count(*) FROM notes WHERE trim(body) = '' UNION ALL SELECT 'long_statement', count(*) FROM notes WHERE length(statement) > 120""", recursive=True),

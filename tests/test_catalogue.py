@@ -9,8 +9,7 @@ import sys
 import duckdb
 import pytest
 
-from lorewell.plans.catalogue import QUERIES
-from lorewell.plans.oracles import ORACLES
+from lorewell.plans.everything import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,7 +17,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def rows(columns, values):
     order = sorted(range(len(columns)), key=columns.__getitem__)
     clean = lambda v: round(v, 6) if isinstance(v, float) else tuple(v) if isinstance(v, list) else v
-    return sorted(tuple(clean(r[i]) for i in order) for r in values) if values and None not in values[0] else sorted((tuple(clean(r[i]) for i in order) for r in values), key=repr)
+    return sorted((tuple(clean(r[i]) for i in order) for r in values), key=repr)
 
 
 @pytest.fixture(scope="session")

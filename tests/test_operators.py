@@ -226,3 +226,70 @@ def test_outcomes_checks_and_gates(spark):
 
 def test_settings_layers():
     assert Settings.of({"limit": 9, "unknown": 1}, {"limit": 7}).limit == 7
+
+
+def test_cycles_of_a_large_core_equal_those_of_a_small_one(spark):
+    """Labels that flow find the components that the driver finds."""
+    import random
+
+    rnd = random.Random(5)
+    for n, m in ((12, 20), (30, 45), (40, 80)):
+        edges = {(f"n{rnd.randrange(n):02d}", f"n{rnd.randrange(n):02d}") for _ in range(m)}
+        df = spark.createDataFrame(sorted(edges), "src string, dst string")
+        reach = {(a, b) for a, b in edges}
+        while more := {(a, d) for a, b in reach for c, d in edges if b == c} - reach:
+            reach |= more
+        want = {(a, min(b for b in {x for _, x in reach} if (a, b) in reach and (b, a) in reach)) for a, b in reach if (b, a) in reach}
+        assert {tuple(r) for r in graph.cyclic(df, small=0).collect()} == want == {tuple(r) for r in graph.cyclic(df).collect()}
+
+
+def test_numbered_is_a_total_order(spark):
+    from lorewell.functions.runtime import numbered
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 31).alias("v"), "id")
+    got = [(r.v, r.id) for r in sorted(numbered(rows, F.desc("v"), F.col("id")).collect(), key=lambda r: r.position)]
+    assert got == sorted(got, key=lambda x: (-x[0], x[1])) and len(got) == 1000
+
+
+def test_mentions_and_markers(spark):
+    from lorewell.functions import text
+    from lorewell.functions.ids import TYPES
+
+    body = "Depende de fact_0000000a e [[def_0000000b]] risk_0000000c fact_0000000d. xfact_0000000a fact_0000000ab depende de  meta_00000000"
+    df = spark.createDataFrame([(body,), ("",), (None,), ("fact_0000000a",)], "b string")
+    got = [[tuple(m) for m in r.m] if r.m is not None else None for r in df.select(text.mentions("b", TYPES).alias("m")).collect()]
+    assert got == [
+        [("fact_0000000a", "depends_on", "verbo"), ("def_0000000b", "references", "wikilink"), ("risk_0000000c", "references", "menção"), ("fact_0000000d", "references", "menção"), ("meta_00000000", "depends_on", "verbo")],
+        [], [], [("fact_0000000a", "references", "menção")],
+    ]
+    marked = spark.createDataFrame([("a\nb\n\n", "p1", 3), ("", "p2", None), (f"{text.MARKER} old blocks 7 -->\nx", "p3", None)], "b string, p string, n int")
+    rows = marked.select(text.with_marker("b", F.col("p"), F.col("n")).alias("t")).select("t", text.parent_marker("t").alias("m"), text.without_marker("t").alias("w")).collect()
+    assert [(r.m.parent, r.m.blocks, r.w) for r in rows] == [("p1", 3, "a\nb"), ("p2", None, ""), ("p3", None, "x")]
+
+
+def test_a_report_over_everything_must_be_asked_for(spark):
+    import pytest
+
+    from lorewell.operators import tasks
+    from lorewell.operators.filters import Filter
+
+    with pytest.raises(ValueError):
+        tasks.guarded(Filter())
+    assert tasks.guarded(Filter(), universe=True) == Filter() and tasks.guarded(Filter(tags=("a",))).tags == ("a",)
+
+
+def test_banding_equals_the_exact_join(spark):
+    import random
+
+    rnd = random.Random(2)
+    base = [[f"term{rnd.randrange(4000)}" for _ in range(60)] for _ in range(8)]
+    notes = []
+    for i in range(80):
+        words = list(base[i % 8])
+        for _ in range(rnd.randrange(6)):
+            words[rnd.randrange(60)] = f"other{rnd.randrange(4000)}"
+        notes.append(note(f"n{i:03d}", " ".join(words), at=i))
+    c = corpus(spark, notes)
+    pairs = lambda df: {(r.keep, r.drop, round(r.score, 6)) for r in df.collect()}
+    want = pairs(dedup.merge_proposals(c.notes))
+    assert pairs(dedup.banded_proposals(c.notes)) == want and len(want) > 20

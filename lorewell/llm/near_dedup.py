@@ -180,8 +180,8 @@ GROUPS = 256
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(c, node, ok) of pairs (c, node)."""
     dealt = pairs.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(GROUPS)))
-    centres = dealt.select("c", "_salt").distinct().join(sets.toDF("c", "_cs"), "c")
-    both = dealt.join(sets, "node").join(centres, ["c", "_salt"])
+    centres = dealt.select("c", "_salt").distinct().join(sets.toDF("c", "_cs").hint("merge"), "c")
+    both = dealt.join(sets.hint("merge"), "node").join(centres.hint("merge"), ["c", "_salt"])
     shared = F.size(F.array_intersect("set", "_cs"))
     union = F.size("set") + F.size("_cs") - shared
     return both.select("c", "node", (shared * 100 >= union * percent).alias("ok"))
@@ -238,7 +238,7 @@ def _whole(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = own.join(parts, "key").withColumn("_i", F.when(F.col("_in"), F.col("_q") + place(F.col("_p"))).otherwise(place(F.col("_q"))))
     dealt = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.when(F.col("_in"), F.col("_q")).otherwise(F.col("_p") + F.col("_q")) - 1)))
     dealt = dealt.select("key", F.least("_i", "_j").alias("_i"), F.greatest("_i", "_j").alias("_j"), "node", "root")
-    return dealt.join(sets, "node").groupBy("key", "_i", "_j").applyInArrow(_forest(percent), "a long, b long").distinct()
+    return dealt.join(sets.hint("merge"), "node").groupBy("key", "_i", "_j").applyInArrow(_forest(percent), "a long, b long").distinct()
 
 
 def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,20 +253,20 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 4, percent: int
     signed = scratch.save(signed.withColumn("_k", F.monotonically_increasing_id()))
     classes = scratch.save(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("size"), F.min("_k").alias("node")))
 
-    first = signed.select(ROW, F.col("_k").alias("node"), "bands").join(classes.select("node"), "node")
+    first = signed.select(ROW, F.col("_k").alias("node"), "bands").join(classes.select("node").hint("merge"), "node")
     rows = first.select("node", F.explode("bands").alias("key"))
-    # aggregates are written before they are joined, so that the join's large keys can be split
+    # aggregates are written before they are joined, so that the join's large keys can be split; what grows with the data is merged, not broadcast
     shared = scratch.save(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = scratch.save(rows.join(shared, "key"))
+    members = scratch.save(rows.join(shared.hint("merge"), "key"))
     fame = members.groupBy("node").agg(F.sum("n").alias("_f"))
     fame = fame.select("node", (F.col("_f") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / (1 << 20)).alias("fame"))
-    members, old = scratch.save(members.join(fame, "node")), members
+    members, old = scratch.save(members.join(fame.hint("merge"), "node")), members
     scratch.drop(old, shared)
 
     centres = scratch.save(members.groupBy("key").agg(F.max_by("node", "fame").alias("c")))
-    pairs = scratch.save(members.join(centres, "key").where("node <> c").select("c", "node").distinct())
+    pairs = scratch.save(members.join(centres.hint("merge"), "key").where("node <> c").select("c", "node").distinct())
     wanted = members.select("node").distinct().join(signed.select(F.col("_k").alias("node"), ROW), "node")
-    text = own.select(ROW, "text").join(wanted, ROW).select("node", "text")
+    text = own.select(ROW, "text").join(wanted.hint("merge"), ROW).select("node", "text")
     sets = scratch.save(text.mapInArrow(_sets(k), "node long, set array<long>"))
     tested = scratch.save(_confirmed(pairs, sets, percent))
     as_edges = lambda rows: rows.where("ok").select(F.col("c").alias("a"), F.col("node").alias("b"))
@@ -276,7 +276,7 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 4, percent: int
         spent = members.groupBy("key").agg(F.max_by("node", "fame").alias("node"))
         left = members.join(spent, ["key", "node"], "left_anti").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         live = left.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.max_by("node", "fame").alias("c"), F.max_by("root", "fame").alias("_r"))
-        members = scratch.save(left.join(scratch.save(live.where("_a <> _b").drop("_a", "_b")), "key"))
+        members = scratch.save(left.join(scratch.save(live.where("_a <> _b").drop("_a", "_b")).hint("merge"), "key"))
         far = members.where("node <> c and root <> _r").select("c", "node")
         few = members.where(F.col("n") <= SMALL)
         each = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key and x.fame > y.fame and x.root <> y.root")).select(F.col("x.node").alias("c"), F.col("y.node").alias("node"))

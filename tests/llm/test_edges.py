@@ -13,10 +13,11 @@ LABELS = "doc_id long, quality int, toxic int"
 def small(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, None), (3, ""), (4, "hi")], BENCH)
     labels = spark.createDataFrame([(1, 1, 0), (7, None, None), (4, 0, 1), (4, 0, 1)], LABELS)
-    return {"benchmark": bench, "labels": labels}
+    turns = [(1, 0, "user", "hi"), (1, None, None, None), (1, 0, "user", "hi"), (None, 0, "user", "no conversation"), (20, 0, "", ""), (21, 5, "user", "x y"), (-3, 1, "user", "x y")]
+    return {"benchmark": bench, "labels": labels, "conversations": spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")}
 
 
-PER_ROW = ["op2_license_scan", "op3_hilbert_sharding", "op5_exact_dedup", "op6_pii", "op7_mixing", "op8_minhash_near_dedup", "op9_quality_classifier", "op10_toxicity"]
+PER_ROW = ["op2_license_scan", "op3_hilbert_sharding", "op5_exact_dedup", "op6_pii", "op7_mixing", "op8_minhash_near_dedup", "op9_quality_classifier", "op10_toxicity", "op13_bpe"]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm.kernels import ALNUM, Words, grams, slices, texts
-from lorewell.llm.shared import Scratch, narrow_batches, table
+from lorewell.llm.shared import Scratch, col, narrow_batches, table
 
 SEED, MIN_SCORE, BLOCK_WORDS = 4, 0.5, 2_000_000
 #: A task keeps so many alignments of earlier windows.
@@ -204,8 +204,8 @@ def contaminated(scratch: Scratch, docs: DataFrame, benchmark: DataFrame, min_sc
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds a copy of an item. Each row is judged by its own text in a narrow pass, whatever its id."""
     narrow_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    schema, at = f"row {rows.schema['row'].dataType.simpleString()}", docs.columns.index(text_col)
+    rows = docs.select(F.struct(*map(col, docs.columns)).alias("row"))
+    schema, at = rows.schema, docs.columns.index(text_col)
     for items in _items(benchmark):
         rows = rows.mapInArrow(_without(Block(items), min_score, at), schema)
     return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -96,7 +96,7 @@ HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S",
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "ı": "i", "ɡ": "g", "ℓ": "l",
-    "․": ".", "。": ".", "·": ".", "‐": "-", "‑": "-", "–": "-", "−": "-", "﹢": "+", "﹫": "@",
+    "ſ": "s", "\u212a": "K", "İ": "I", "․": ".", "。": ".", "·": ".", "‐": "-", "‑": "-", "–": "-", "−": "-", "﹢": "+", "﹫": "@",
 }
 HOMOGLYPHS |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}  # full-width forms
 HOMOGLYPHS |= {chr(base + d): str(d) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}

@@ -9,7 +9,8 @@ weighted back to their shares of all documents. However rare bad documents are,
 
 Defined results: a null text is an empty text; an empty text has score 0 and is rejected; ids are not
 read; repeated rows are judged alike; an empty table gives no rows; if no labeller ever
-votes against a document, all non-empty ones are kept; other columns are passed through by ``accepted``.
+votes against a document, all non-empty ones are kept; if EM calls all patterns bad, all are rejected with score 0; other columns,
+whatever their names, are passed through by ``accepted``.
 """
 
 from __future__ import annotations
@@ -20,14 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from lorewell.llm.kernels import SPACED, Words, slices, spread, texts
-from lorewell.llm.shared import ROW, Scratch, keyed, narrow_batches, table
+from lorewell.llm.shared import ROW, Scratch, col, keyed, narrow_batches, table
 
 SAMPLE, DIM, REJECT = 3000, 4096, 0.4
 #: Trigrams without weight that every document has besides its own, so that few of its own decide little.
 CALM = 400
 GOOD, BAD, NONE = 2, 1, 0
+#: The scorer where every pattern is bad: no text changes what the constant says.
+ALL_BAD = np.append(np.zeros(DIM + 1), -np.inf)
 
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _LOWER = np.array([97 <= b <= 122 for b in range(256)])
@@ -189,8 +193,10 @@ def fit(scratch: Scratch, docs: DataFrame, text_col: str = "text", sample: int =
     code, counts = code[order], counts[order]
     post, _, _ = em(code[:, None] // 3 ** np.arange(n) % 3, counts)
     bad = post < 0.5
-    if not bad.any() or bad.all():
+    if not bad.any():
         return None
+    if bad.all():
+        return ALL_BAD
     few = int(min(counts[bad].sum(), max(sample // 2, sample - counts[~bad].sum())))
     known = F.col("pattern").isin([int(c) for c in code[bad]])
     order = [F.xxhash64(F.lit("quality"), f"{ROW}.i"), ROW]
@@ -207,6 +213,8 @@ def fit(scratch: Scratch, docs: DataFrame, text_col: str = "text", sample: int =
 def _judged(buf: np.ndarray, offs: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
     if weights is None:
         return np.where(np.diff(offs) > 0, 1.0, 0.0)
+    if weights[-1] == -np.inf:
+        return np.zeros(len(offs) - 1)
     out = [np.zeros(0)]
     for i, j in slices(offs):
         own = offs[i : j + 1] - offs[i]
@@ -229,20 +237,25 @@ def _scored(weights: np.ndarray | None, text: int, least: float | None):
     return run
 
 
-def scored(scratch: Scratch, docs: DataFrame, keep: list[str], text_col: str = "text", least: float | None = None) -> DataFrame:
-    """``keep`` columns of every row (of those that reach ``least``), and score (0 to 1, higher: better)."""
+def _judged_rows(scratch: Scratch, docs: DataFrame, keep: list[str], text_col: str, least: float | None) -> DataFrame:
+    """(row, score): the ``keep`` columns as a struct, of every row or of those that reach ``least``."""
     weights = fit(scratch := scratch.inner(), docs, text_col)
-    text = F.col(text_col).cast("string").alias("_text")
-    rows = docs.select(F.struct(*keep, *([] if text_col in keep and dict(docs.dtypes)[text_col] == "string" else [text])).alias("row"))
-    names = rows.schema["row"].dataType.names
-    out = rows.mapInArrow(_scored(weights, names.index("_text") if "_text" in names[len(keep) :] else names.index(text_col), least), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    held = text_col in keep and dict(docs.dtypes)[text_col] == "string"
+    rows = docs.select(F.struct(*map(col, keep), *([] if held else [col(text_col).cast("string").alias("_text")])).alias("row"))
+    at = keep.index(text_col) if held else len(keep)
+    out = rows.mapInArrow(_scored(weights, at, least), StructType(list(rows.schema.fields)).add("score", DoubleType()))
     scratch.only()
-    return out.select(*[F.col("row")[c].alias(c) for c in keep], "score")
+    return out
+
+
+def scored(scratch: Scratch, docs: DataFrame, keep: list[str], text_col: str = "text", least: float | None = None) -> DataFrame:
+    """``keep`` columns of every row (of those that reach ``least``), and score (0 to 1, higher: better)."""
+    return _judged_rows(scratch, docs, keep, text_col, least).select(*[F.col("row")[c].alias(c) for c in keep], "score")
 
 
 def accepted(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """The documents that the scorer does not reject, with all their columns."""
-    return scored(scratch, docs, docs.columns, least=REJECT).select(*docs.columns)
+    return _judged_rows(scratch, docs, docs.columns, "text", REJECT).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from lorewell.llm.shared import ROW, Scratch, keyed, null_to_empty, range_sorted, table
+from lorewell.llm.shared import ROW, Scratch, col, keyed, null_to_empty, range_sorted, table
 
 BITS = 5
 
@@ -118,7 +118,7 @@ def shard(scratch: Scratch, docs: DataFrame, shards: int, keep: list[str], id_co
         return out.select(*keep, "cell", "shard", "slot")
     placed = scratch.save(out.select(ROW, F.struct("cell", "shard", "slot").alias("_placed")))
     scratch.only(placed)
-    found = docs.select(ROW, F.struct(*keep).alias("_kept")).join(placed, ROW)
+    found = docs.select(ROW, F.struct(*map(col, keep)).alias("_kept")).join(placed, ROW)
     return found.select(*[F.col("_kept")[c].alias(c) for c in keep], "_placed.cell", "_placed.shard", "_placed.slot")
 
 

@@ -91,3 +91,41 @@ def test_pipeline_over_empty_table(spark, hard, tables, small):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, tables(documents=hard.limit(0), **small)).collect() == []
+
+
+ODD = ("a-b", "a.b", "a b", "meta.url", "source-url", "`tick`", "score", "row", "_text", "kept")
+
+
+def test_odd_column_names_through_every_stage(spark, hard, tables, small):
+    import corpus_pipeline
+
+    extra = hard
+    for c in ODD:
+        extra = extra.withColumn(c, F.lit("x:" + c))
+    sf = tables(documents=extra, **small)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert len(QUERIES["op9_quality_classifier"](spark, sf).collect()) == hard.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns[: len(extra.columns)] == extra.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == "x:" + c for r in rows for c in ODD), name
+    assert {r["a.b"] for r in corpus_pipeline.run(spark, sf).collect()} == {"x:a.b"}
+
+
+def test_all_junk_is_rejected(spark, documents, tables, small):
+    sf = tables(documents=documents([f"#{i}$% ^^{i * 7} ||~~ {{}}<> @@ ++={i}" for i in range(200)]), **small)
+    assert {(r.score, r.kept) for r in QUERIES["op9_quality_classifier"](spark, sf).collect()} == {(0.0, False)}
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, sf).collect() == []
+
+
+@pytest.mark.parametrize("text", ["call ſeven ſeven six now", "sİx seven one", "ſix ſeven eight nine zero one two three four five", "call plus ſix ſeven", "\u212a dot com"])
+def test_letters_that_fold_to_ascii(text):
+    from lorewell.llm.pii import find
+
+    base, every = find(text)
+    assert not any(base.values())
+    if text.startswith("ſix"):
+        assert every["phone"] == [(0, len(text))]

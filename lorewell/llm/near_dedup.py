@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -241,6 +242,13 @@ def _whole(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.join(sets.hint("merge"), "node").groupBy("key", "_i", "_j").applyInArrow(_forest(percent), "a long, b long").distinct()
 
 
+def fame(members: DataFrame) -> DataFrame:
+    """(node, fame) of members (node, n): how many rows a node's buckets hold, equal ones in the order of a hash and then of the node, so no two are equal."""
+    mixed = F.col("_f") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    order = (mixed.cast("decimal(19,0)") * F.lit(Decimal(1 << 63))).cast("decimal(38,0)") + F.col("node").cast("decimal(19,0)")
+    return members.groupBy("node").agg(F.sum("n").alias("_f")).select("node", order.cast("decimal(38,0)").alias("fame"))
+
+
 def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(ROW, doc_id, n_shingles, component_id, root, _k) of every row: k-word shingles, links at ``percent`` similarity or more.
 
@@ -258,9 +266,7 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 4, percent: int
     # aggregates are written before they are joined, so that the join's large keys can be split; what grows with the data is merged, not broadcast
     shared = scratch.save(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     members = scratch.save(rows.join(shared.hint("merge"), "key"))
-    fame = members.groupBy("node").agg(F.sum("n").alias("_f"))
-    fame = fame.select("node", (F.col("_f") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / (1 << 20)).alias("fame"))
-    members, old = scratch.save(members.join(fame.hint("merge"), "node")), members
+    members, old = scratch.save(members.join(fame(members).hint("merge"), "node")), members
     scratch.drop(old, shared)
 
     centres = scratch.save(members.groupBy("key").agg(F.max_by("node", "fame").alias("c")))

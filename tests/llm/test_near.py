@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lorewell.llm import near_dedup, substring_dedup
 from lorewell.llm.registry import QUERIES
 from lorewell.llm.shared import Scratch
@@ -221,3 +223,13 @@ def test_op1_chunks_cover_texts(spark, sf):
         assert r.start == seen.get(r.doc_id, 0)
         seen[r.doc_id] = r.end
     assert seen == {i: n for i, n in lengths.items() if n}
+
+
+def test_no_two_members_are_equally_famous(spark):
+    """Even where counts and hash bits are equal: nodes 2^20 and more apart in number, many of them with equal bits."""
+    members = spark.range(3_000_000).select((F.col("id") * 7919).alias("node"), F.lit(8).cast("long").alias("n"))
+    out = near_dedup.fame(members)
+    r = out.agg(F.count("*").alias("n"), F.countDistinct("fame").alias("d"), F.count("fame").alias("some"), F.countDistinct(F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("bits")).first()
+    assert r.n == r.d == r.some == 3_000_000 > r.bits
+    huge = spark.createDataFrame([(2**62 + 1, 2**42), (2**62, 2**42), (5, 2**41)], "node long, n long")
+    assert near_dedup.fame(huge).orderBy("fame").first().node == 5

@@ -155,7 +155,7 @@ def recall(
     """Hybrid recall: candidates, up to four channels, fusion, confidence and the reason for each hit.
 
     Candidates pass the filter and are shown by default; with ``scope`` they depend on that note, directly or not, or are it; with
-    ``as_of`` they were active then by the log. ``ids`` are working ids beside working paths. The authority channel is on where its weight is above 0.
+    ``as_of`` they were active then by the log, whatever has become of them since (unless the filter asks for a present status). ``ids`` are working ids beside working paths. The authority channel is on where its weight is above 0.
     """
     from lorewell.operators.confidence import losers, task_confirmation
     from lorewell.operators.graph import downstream, of_kind, pagerank
@@ -164,7 +164,7 @@ def recall(
     s = corpus.settings
     limit = s.limit if limit is None else limit
     notes = corpus.notes
-    allowed = notes.where(f.shown() & knowledge())
+    allowed = notes.where((f.shown() if as_of is None else f.column()) & knowledge())
     if as_of is not None:
         allowed = allowed.join(active_as_of(corpus, as_of), "id", "left_semi")
     inside = notes.select("id").limit(0)

@@ -1,4 +1,4 @@
-"""Vector neighbours in blocks, suggestions, clusters and communities."""
+"""Vector neighbours in blocks, suggestions, clusters, and the graph and terms of communities."""
 
 from __future__ import annotations
 
@@ -11,8 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.corpus import Corpus, Settings
-from lorewell.functions.runtime import ship, written
-from lorewell.operators.graph import classes
+from lorewell.functions.runtime import ship
 
 #: Query vectors that one pass over the index compares; it bounds what the driver and each task hold.
 BLOCK = 4096
@@ -134,87 +133,6 @@ def weighted_graph(corpus: Corpus) -> DataFrame:
     return rows.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").cast("double").alias("w"))
 
 
-class _Partition:
-    """Modularity moves on a small weighted graph: nodes in order, best neighbouring community first."""
-
-    def __init__(self, n: int, edges: list[tuple[int, int, float]], mass: float):
-        self.near: list[dict[int, float]] = [{} for _ in range(n)]
-        for a, b, w in edges:
-            self.near[a][b] = self.near[a].get(b, 0.0) + w
-            if a != b:
-                self.near[b][a] = self.near[b].get(a, 0.0) + w
-        self.mass = mass
-
-    def moved(self, passes: int = 64, margin: float = 1e-9) -> list[int]:
-        degree = [sum(x.values()) for x in self.near]
-        label, held = list(range(len(self.near))), list(degree)
-        for _ in range(passes):
-            still = True
-            for i, links in enumerate(self.near):
-                pull: dict[int, float] = {}
-                for j, w in sorted(links.items()):
-                    pull[label[j]] = pull.get(label[j], 0.0) + w
-                held[label[i]] -= degree[i]
-                gain = lambda c: pull.get(c, 0.0) - held[c] * degree[i] / self.mass  # noqa: B023, E731
-                best, top = label[i], gain(label[i])
-                for c in sorted(pull):
-                    if c != label[i] and gain(c) > top + margin:
-                        best, top = c, gain(c)
-                held[best] += degree[i]
-                still &= best == label[i]
-                label[i] = best
-            if still:
-                break
-        return label
-
-
-def _communities(ids: list[str], edges: list[tuple[int, int, float]], mass: float, levels: int = 8) -> list[int]:
-    """Community number of each node of a connected graph; ``mass`` is twice the whole graph's weight.
-
-    When communities become nodes, their inner weight becomes a loop of twice that weight, and a loop that exists is counted
-    anew at each further level.
-    """
-    group, now = list(range(len(ids))), edges
-    for _ in range(levels + 1):
-        n = max(group, default=-1) + 1
-        label = _Partition(n, now, mass).moved()
-        order = {c: k for k, c in enumerate(dict.fromkeys(label[x] for x in group))}
-        if len(order) == n:
-            return [order[label[x]] for x in group]
-        group = [order[label[x]] for x in group]
-        weight: dict[tuple[int, int], float] = {}
-        for a, b, w in now:
-            x, y = sorted((order[label[a]], order[label[b]]))
-            weight[x, y] = weight.get((x, y), 0.0) + (2 * w if x == y else w)
-        now = [(a, b, w) for (a, b), w in sorted(weight.items())]
-    return group
-
-
-def communities(corpus: Corpus) -> DataFrame:
-    """(community, id): Louvain communities, named by their smallest id.
-
-    Moves never leave a connected component and need of the rest only the whole weight, so each component is a task of its own.
-    """
-    ship(corpus.notes.sparkSession)
-    graph = written(weighted_graph(corpus))
-    mass = (graph.agg(F.sum("w")).first()[0] or 0.0) * 2
-    part = classes(graph.select(F.col("a").alias("src"), F.col("b").alias("dst"))).toDF("a", "component")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(g["a"]) | set(g["b"]))
-        at = {x: i for i, x in enumerate(ids)}
-        edges = sorted((at[a], at[b], w) for a, b, w in zip(g["a"], g["b"], g["w"], strict=True))
-        of = _communities(ids, edges, mass)
-        first: dict[int, str] = {}
-        for i, c in zip(ids, of, strict=True):
-            first.setdefault(c, i)
-        return pd.DataFrame({"community": [first[c] for c in of], "id": ids})
-
-    found = graph.join(part, "a").groupBy("component").applyInPandas(run, "community string, id string")
-    alone = corpus.notes.select("id").join(found.select("id"), "id", "left_anti")
-    return found.union(alone.select("id", "id"))
-
-
 def community_terms(corpus: Corpus, found: DataFrame, k: int = 8) -> DataFrame:
     """(community, position, term): each community's most frequent content terms."""
     from lorewell.functions.text import content_terms

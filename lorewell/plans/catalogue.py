@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.functions import ids, scores, text
+from lorewell.operators import communities as communities_of
 from lorewell.operators import confidence, dedup, filters, flow, graph, lifecycle, retrieval, semantic
 
 from lorewell.operators.filters import Filter
@@ -329,7 +330,7 @@ def complete_link(s, d):
 
 @query
 def communities(s, d):
-    return semantic.communities(bound.corpus(s, d))
+    return communities_of.found(bound.corpus(s, d))
 
 
 @query

@@ -73,7 +73,7 @@ _REFERENCES = EDGES.replace("\nedges AS (", "\nplain_edges AS (") + ", edges AS
 
 ORACLES: dict[str, str] = {
     "recall_scoped": sql(_recall(f"{SHOWN} AND id IN (SELECT id FROM inside)", [BELONGS], _REFERENCES, inside="inside"), "SELECT id, score, confidence_ AS confidence, why, round(l, 9) AS lexical, round(a, 9) AS anchor FROM full_", recursive=True),
-    "recall_as_of": sql(_recall(f"{SHOWN} AND id IN (SELECT id FROM then_)", [EVENTS, AS_OF_SET], limit="LIMIT 25"), "SELECT id, score, confidence_ AS confidence, why FROM full_"),
+    "recall_as_of": sql(_recall("id IN (SELECT id FROM then_)", [EVENTS, AS_OF_SET], limit="LIMIT 25"), "SELECT id, score, confidence_ AS confidence, why FROM full_"),
     "why_labels": sql(_recall("status IN ('active', 'closed')", semantic=True, ids="('n0000000003'), ('n0000000064')"), "SELECT why, count(*) AS n FROM full_ GROUP BY 1"),
     "recall_authority": sql([*_pagerank(seeds=f"id IN (SELECT id FROM anchored)", parts=_recall(SHOWN, ppr="r32", limit="LIMIT 25", ids="('n0000000004'), ('n0000000016'), ('n0000000027')"))], "SELECT id, score, why FROM full_"),
     "ppr_ranks": sql(_pagerank(seeds="doc_id % 100 = 3", parts=[NOTES, EDGES]), "SELECT id, round(r * 1000, 6) AS rank_per_mille FROM r32"),

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from lorewell.corpus import Corpus, Settings
-from lorewell.operators import confidence, dedup, filters, flow, graph, lifecycle, retrieval, semantic, writes
+from lorewell.operators import communities, confidence, dedup, filters, flow, graph, lifecycle, retrieval, semantic, writes
 
 NOTE = "id string, type string, statement string, body string, tags array<string>, anchors array<string>, classification string, status string, scope string, created_ms long, successes double, failures double, reviews long, last_ms long, superseded_by string"
 
@@ -140,9 +140,9 @@ def test_critical_path_ties(spark):
 def test_communities_split_cliques(spark):
     clique = lambda p: [(f"{p}{i}", "references", f"{p}{j}") for i in range(4) for j in range(i)]
     c = corpus(spark, [note(f"{p}{i}", f"topic {p}word") for p in "abz" for i in range(4)], [*clique("a"), *clique("b"), ("a0", "references", "b0")])
-    got = {r.id: r.community for r in semantic.communities(c).collect()}
+    got = {r.id: r.community for r in communities.found(c).collect()}
     assert {got[f"a{i}"] for i in range(4)} == {"a0"} and {got[f"b{i}"] for i in range(4)} == {"b0"} and got["z2"] == "z2"
-    terms = semantic.community_terms(c, semantic.communities(c)).where("community = 'a0' and position = 1").first()
+    terms = semantic.community_terms(c, communities.found(c)).where("community = 'a0' and position = 1").first()
     assert terms.term in ("aword", "topic")
 
 
@@ -293,3 +293,14 @@ def test_banding_equals_the_exact_join(spark):
     pairs = lambda df: {(r.keep, r.drop, round(r.score, 6)) for r in df.collect()}
     want = pairs(dedup.merge_proposals(c.notes))
     assert pairs(dedup.banded_proposals(c.notes)) == want and len(want) > 20
+
+
+def test_as_of_recall_brings_back_what_was_active_then(spark):
+    notes = [note("then", "kernel", status="forgotten", at=1), note("replaced", "kernel", status="superseded", at=1), note("gone", "kernel", status="active", at=1), note("later", "kernel", at=50), note("now", "kernel", at=1)]
+    events = [(1, "forget", "gone", 5, None, None, None), (2, "forget", "then", 20, None, None, None), (3, "link", "now", 30, None, "replaces", "replaced"), (4, "restore", "gone", 40, None, None, None)]
+    c = corpus(spark, notes, events=events, now=100)
+    ids = lambda *a, **k: {r.id for r in retrieval.recall(c, "kernel", [], None, *a, limit=0, **k).collect()}
+    assert ids() == {"gone", "later", "now"}
+    assert ids(as_of=10) == {"then", "replaced", "now"}
+    assert ids(as_of=45) == {"gone", "now"}
+    assert ids(filters.Filter(statuses=("forgotten",)), as_of=10) == {"then"}

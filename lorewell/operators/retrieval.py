@@ -58,15 +58,18 @@ def term_table(notes: DataFrame, terms: list[str]) -> DataFrame:
     return written(field_tokens(notes).groupBy("id", "field").agg(F.count("*").alias("len"), count.alias("tf")))
 
 
-def _statistics(notes: DataFrame, table: DataFrame, terms: list[str], max_ratio: float) -> tuple[list[int], int, dict[str, tuple[float, list[int]]]]:
-    """Places of the kept terms, the number of notes, and of each field the mean length and document frequencies: a few numbers."""
-    n = notes.count()
+def _frequencies(table: DataFrame, terms: list[str], n: int, words: dict[str, int], max_ratio: float) -> tuple[list[int], dict[str, tuple[float, list[int]]]]:
+    """Places of the kept terms, and of each field with ``words`` the mean length and document frequencies: a few numbers."""
     per = [F.count_if(F.col("tf")[k] > 0) for k in range(len(terms))]
-    rows = table.groupBy("field").agg(F.sum("len").alias("total"), F.array(*per).cast("array<bigint>").alias("df")).collect()
-    fields = {r.field: (r.total / n, list(r.df)) for r in rows}
+    rows = {r.field: list(r.df) for r in table.groupBy("field").agg(F.array(*per).cast("array<bigint>").alias("df")).collect()}
+    fields = {f: (total / n, rows.get(f, [0] * len(terms))) for f, total in words.items()}
     most = [max((df[k] for _, df in fields.values()), default=0) for k in range(len(terms))]
     kept = [k for k in range(len(terms)) if not (max_ratio > 0 and n >= HIGH_FREQUENCY_LEAST and most[k] / n >= max_ratio)]
-    return kept, n, fields
+    return kept, fields
+
+
+def _words(table: DataFrame) -> dict[str, int]:
+    return {r.field: r.total for r in table.groupBy("field").agg(F.sum("len").alias("total")).collect()}
 
 
 def kept_terms(notes: DataFrame, query: str, max_ratio: float) -> list[str]:
@@ -74,7 +77,8 @@ def kept_terms(notes: DataFrame, query: str, max_ratio: float) -> list[str]:
     terms = sorted(set(query_terms(query)))
     if not terms:
         return []
-    kept, _, fields = _statistics(notes, term_table(notes, terms), terms, max_ratio)
+    table = term_table(notes, terms)
+    kept, fields = _frequencies(table, terms, notes.count(), _words(table), max_ratio)
     return [terms[k] for k in kept if any(df[k] for _, df in fields.values())]
 
 
@@ -85,7 +89,13 @@ def bm25(notes: DataFrame, query: str, max_ratio: float = 0.9) -> DataFrame:
     if not terms:
         return notes.sparkSession.createDataFrame([], "id string, raw double, body_raw double, score double")
     table = term_table(notes, terms)
-    kept, n, fields = _statistics(notes, table, terms, max_ratio)
+    return scored(notes, table, wanted, notes.count(), _words(table), max_ratio)
+
+
+def scored(notes: DataFrame, table: DataFrame, wanted: list[str], n: int, words: dict[str, int], max_ratio: float) -> DataFrame:
+    """(id, raw, body_raw, score) of a table (id, field, len, tf by sorted distinct term), where n notes have ``words`` in each field in all."""
+    terms = sorted(set(wanted))
+    kept, fields = _frequencies(table, terms, n, words, max_ratio)
     part = F.lit(0.0)
     for field, (mean, df) in fields.items():
         norm = (F.lit(1.0) - B) + F.col("len") * B / F.lit(mean) if mean > 0 else F.lit(1.0)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lorewell.corpus import NOTES
 from lorewell.functions.ids import event_id
+from lorewell.functions.runtime import running, written
+from lorewell.sources.versions import Versions
 
 EVENT = "id STRING, op STRING, note_id STRING, at BIGINT, data MAP<STRING, STRING>"
 
@@ -57,6 +59,31 @@ def append_events(events: DataFrame, path: str, records: int = 10_000) -> None:
     events.select("id", "op", "note_id", "at", "data").write.mode("append").option("maxRecordsPerFile", records).json(path)
 
 
+#: Bytes of lines in a segment of the log.
+SEGMENT_BYTES = 1 << 20
+
+
+def segmented(events: DataFrame, limit: int = SEGMENT_BYTES, bytes_before: int = 0) -> DataFrame:
+    """``events``, ``bytes`` of each one's line and ``segment``: a line is in the segment in which it begins. ``bytes_before`` are in the log already."""
+    line = F.octet_length(F.to_json(F.struct("at", F.map_from_entries(F.array_sort(F.map_entries("data"))).alias("data"), "id", "note_id", "op"))) + 1
+    rows = running(events.withColumn("bytes", line.cast("long")), "bytes", "at", "id")
+    return rows.withColumn("segment", F.floor((F.col("before") + bytes_before) / limit).cast("int")).select(*events.columns, "bytes", "segment")
+
+
+def append_rotated(versions: Versions, events: DataFrame, limit: int = SEGMENT_BYTES) -> int:
+    """Append events to a log whose segments are cut by bytes; the log's length is in the manifest, so a killed append leaves no gap."""
+    number, manifest = versions.current()
+    rows = written(segmented(events.select("id", "op", "note_id", "at", "data"), limit, manifest.get("bytes", 0)))
+    added = rows.agg(F.sum("bytes")).first()[0] or 0
+    parts = [*manifest["tables"].get("events", []), versions.part(rows.repartitionByRange("segment", "at", "id"), "events", "segment")]
+    return versions.commit(number, manifest | {"tables": manifest["tables"] | {"events": parts}, "bytes": manifest.get("bytes", 0) + added})
+
+
+def rotated(versions: Versions) -> DataFrame:
+    """The events of a log written by ``append_rotated``, with bytes and segment."""
+    return versions.read(versions.current()[1], "events", EVENT + ", bytes BIGINT, segment INT")
+
+
 def since(events: DataFrame, checkpoint: str) -> DataFrame:
     """Events after a checkpoint's in reading order; all of them where the checkpoint is unknown."""
     mark = events.where(F.col("id") == checkpoint).agg(F.max(F.struct("_segment", "_line")).alias("_mark"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lorewell.corpus import Corpus
 from lorewell.functions.ids import EDGE_KINDS
 from lorewell.functions.runtime import written
+from lorewell.operators import paths
 from lorewell.operators.filters import is_open, satisfied, work_item
 
 
@@ -235,49 +236,27 @@ def impact(corpus: Corpus) -> DataFrame:
     return reach.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("impact"))
 
 
-def critical_path(edges: DataFrame, durations: DataFrame) -> DataFrame:
-    """(id, total, path): the longest chain of durations from each node along its dependencies; links within a cycle are cut.
-
-    Ties: the longer path, then the smaller ids.
-    """
-    edges = edges.select("src", "dst").distinct()
-    ring = cyclic(edges)
+def uncut(edges: DataFrame) -> DataFrame:
+    """Distinct (src, dst) without the links within a cycle."""
+    edges = written(edges.select("src", "dst").distinct())
+    ring = written(cyclic(edges))
     a, b = ring.toDF("src", "_ca"), ring.toDF("dst", "_cb")
-    edges = written(edges.join(a, "src", "left").join(b, "dst", "left").where("_ca is null or _cb is null or _ca <> _cb").select("src", "dst"))
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).union(durations.select("id")).distinct()
-    nodes = written(nodes.join(durations, "id", "left").select("id", F.coalesce("duration", F.lit(0)).cast("long").alias("_d")))
-    best = written(nodes.select("id", F.col("_d").alias("total"), F.array("id").alias("path")))
-    while True:
-        longer = edges.join(best.withColumnRenamed("id", "dst"), "dst").join(nodes.withColumnRenamed("id", "src"), "src")
-        longer = longer.select(F.col("src").alias("id"), (F.col("total") + F.col("_d")).alias("total"), F.concat(F.array("src"), "path").alias("path"))
-        one = F.min(F.struct((-F.col("total")).alias("t"), (-F.size("path")).alias("n"), F.col("path").alias("path"))).alias("x")
-        new = written(best.union(longer).groupBy("id").agg(one).select("id", (-F.col("x.t")).alias("total"), "x.path"))
-        if new.exceptAll(best).isEmpty():
-            return new
-        best = new
+    return written(edges.join(a, "src", "left").join(b, "dst", "left").where("_ca is null or _cb is null or _ca <> _cb").select("src", "dst"))
 
 
-def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, id, depth) below each root (id), once for every way down; a node already on its own way is not entered again."""
-    tree = written(edges.select("src", "dst").distinct())
-    level = written(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("id").alias("_way")))
-    out = None
-    while True:
-        level = level.join(tree, level["id"] == tree["src"]).where(~F.array_contains("_way", F.col("dst")))
-        level = written(level.select("root", F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("_way", F.array("dst")).alias("_way")))
-        if level.isEmpty():
-            return out if out is not None else level
-        out = level if out is None else out.union(level)
+def critical_path(edges: DataFrame, durations: DataFrame) -> DataFrame:
+    """(id, total, n, next): the longest chain of durations from each node along its dependencies; links within a cycle are cut."""
+    return paths.longest(uncut(edges), durations)
 
 
 def progress(corpus: Corpus, roots: DataFrame) -> DataFrame:
-    """(root, total, done): leaf work items below each root, and those closed; an item on two ways counts twice."""
+    """(root, total, done): leaf work items below each root, and those closed; an item on two ways counts twice. Links within a cycle are cut."""
     tree = of_kind(corpus.edges, "results_in")
     items = corpus.notes.where(work_item()).select("id", "status")
     inner = tree.join(items.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
     leaves = items.join(inner, "id", "left_anti")
-    below = descendants(tree, roots).join(leaves, "id")
-    return below.groupBy("root").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "closed").alias("done"))
+    below = paths.ways(uncut(tree), roots).join(leaves, "id")
+    return below.groupBy("root").agg(F.sum("ways").alias("total"), F.sum(F.when(F.col("status") == "closed", F.col("ways")).otherwise(0)).alias("done"))
 
 
 def parents(edges: DataFrame) -> DataFrame:
@@ -314,11 +293,8 @@ def epic_around(corpus: Corpus, hops: int = 8) -> DataFrame:
 
 def subtree(corpus: Corpus, root: str) -> DataFrame:
     """(id, depth, position): the tree below a note in preorder, children by id."""
-    spark = corpus.notes.sparkSession
-    start = spark.createDataFrame([(root,)], "id string")
-    below = descendants(of_kind(corpus.edges, "results_in"), start)
-    first = below.groupBy("id").agg(F.min(F.struct("depth", "_way")).alias("x")).select("id", "x.depth", F.array_join("x._way", "/").alias("_key"))
-    return first.select("id", "depth", (F.row_number().over(W.orderBy("_key")) - 1).cast("long").alias("position"))
+    start = corpus.notes.sparkSession.createDataFrame([(root,)], "id string")
+    return paths.preorder(of_kind(corpus.edges, "results_in"), start)
 
 
 def integrity(corpus: Corpus) -> DataFrame:
@@ -362,19 +338,3 @@ def claim_conflicts(notes: DataFrame) -> DataFrame:
 def missing_edges(edges: DataFrame, suggested: DataFrame) -> DataFrame:
     """Suggested (src, dst) that no edge has."""
     return suggested.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-
-
-def supersession_history(edges: DataFrame, notes: DataFrame, note: str) -> DataFrame:
-    """(id, step): from a note back along its first replaces to the oldest one, then forward along superseded_by; no note twice.
-
-    One chain is walked, a lookup a step.
-    """
-    older = of_kind(edges, "replaces").groupBy("src").agg(F.min("dst").alias("dst"))
-    root, seen = note, {note}
-    while (r := older.where(F.col("src") == root).first()) and r.dst not in seen:
-        root = r.dst
-        seen.add(root)
-    chain = [root]
-    while (r := notes.where(F.col("id") == chain[-1]).select("superseded_by").first()) and r.superseded_by and r.superseded_by not in chain:
-        chain.append(r.superseded_by)
-    return edges.sparkSession.createDataFrame([(x, k) for k, x in enumerate(chain)], "id string, step long")

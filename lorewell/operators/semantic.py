@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.corpus import Corpus, Settings
-from lorewell.functions.runtime import ship
+from lorewell.functions.runtime import ship, written
 
-#: Query vectors that one pass over the index compares; it bounds what the driver and each task hold.
+#: Vectors, and queries, of which one task compares all pairs.
 BLOCK = 4096
 COMMUNITY_EDGES = ["references", "depends_on", "contradicts", "supports", "extends", "replaces", "results_in", "same_as", "broader", "narrower", "related"]
 CLIQUE = 64
@@ -24,47 +25,99 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+PAIRS = "origin string, id string, score double"
+
+
+def _best(k: int, least: float):
+    """Of one group (query rows and others): each query's k most similar others, itself excluded; all at ``least`` or above where k is 0."""
+
+    def run(g: pa.Table) -> pa.Table:
+        asks = g.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        ids = g.column("id").to_numpy(zero_copy_only=False)
+        m = _unit(np.array(g.column("vector").to_pylist(), np.float64).reshape(len(ids), -1))
+        mine, own, m, q = ids[asks], ids[~asks], m[~asks], m[asks]
+        order = np.argsort(own)
+        own, m = own[order], m[order]
+        parts: list[tuple] = [(mine[:0], own[:0], np.zeros(0))]
+        for a in range(0, len(mine), 512):
+            s = np.round(q[a : a + 512] @ m.T, 6)
+            s[(s < least) | (mine[a : a + 512, None] == own[None, :])] = -2
+            if k and len(own) > k:
+                at = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids are in order, so equal scores stay in the order of ids
+            else:
+                at = np.broadcast_to(np.arange(len(own)), s.shape)
+            score = np.take_along_axis(s, at, 1)
+            r, c = np.nonzero(score > -2)
+            parts.append((mine[a + r], own[at[r, c]], score[r, c]))
+        x, y, z = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        return pa.table({"origin": pa.array(x, pa.string()), "id": pa.array(y, pa.string()), "score": pa.array(z, pa.float64())})
+
+    return run
+
+
+def _compared(vectors: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
+    """(origin, id, score) of queries (cell, id, vector) against the vectors (cell, id, vector) of their cells.
+
+    A cell's vectors and queries are dealt to blocks of about BLOCK rows, and each pair of blocks is one group, however large the cell.
+    """
+    ship(vectors.sparkSession)
+    parts = lambda df, n: df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    size = parts(vectors, "_v").join(parts(queries, "_q"), "cell")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = vectors.join(size, "cell").select("cell", place("_v").alias("_i"), every("_q").alias("_j"), "id", "vector", F.lit(False).alias("asks"))
+    ask = queries.join(size, "cell").select("cell", every("_v").alias("_i"), place("_q").alias("_j"), "id", "vector", F.lit(True).alias("asks"))
+    found = own.unionByName(ask).groupBy("cell", "_i", "_j").applyInArrow(_best(k, least), PAIRS)
+    if not k:
+        return found
+    best = W.partitionBy("origin").orderBy(F.desc("score"), "id")
+    return found.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= k).drop("_k")
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
-    """(origin, id, score): the k most similar vectors of each query by cosine, itself excluded; all above ``least`` where k is 0.
+    """(origin, id, score): the k most similar vectors of each query by cosine, itself excluded; all at ``least`` or above where k is 0.
+
+    Exact: each block of queries meets each block of vectors once. Its work is their product; ``VectorIndex`` compares fewer.
+    """
+    one = lambda df: df.select(F.lit(0).alias("cell"), "id", F.col("vector").cast("array<double>").alias("vector"))
+    return _compared(one(vectors), one(queries), k, least)
 
-    Queries go in blocks of BLOCK against all vectors: each task keeps its own best k of a query, and only those meet.
+
+class VectorIndex:
+    """An inverted file: vectors by the nearest of ``cells`` directions, which are fitted by k-means on at most ``sample`` vectors.
+
+    Every vector is in its cell. A query is compared, by its true similarity, with the vectors of the ``probes`` cells nearest to it.
     """
-    spark = vectors.sparkSession
-    ship(spark)
-    schema = "origin string, id string, score double"
-    out, block = None, []
 
-    def against(ids: list[str], matrix: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def __init__(self, vectors: DataFrame, cells: int = 64, sample: int = 20_000, seed: int = 7):
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        ship(vectors.sparkSession)
+        rows = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).where(F.exists("vector", lambda x: x != 0))
+        some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select(array_to_vector("vector").alias("features"))
+        fitted = KMeans(k=cells, seed=seed, maxIter=15, distanceMeasure="cosine").fit(written(some.select(F.col("features"))))
+        self.centres = _unit(np.array(fitted.clusterCenters(), np.float64))  # cells vectors
+        self.cells = written(self._placed(rows, 1))
+
+    def _placed(self, rows: DataFrame, probes: int) -> DataFrame:
+        """(cell, id, vector) of each row's ``probes`` nearest cells."""
+        centres = self.centres
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not len(b):
+                if not b.num_rows:
                     continue
-                s = np.round(_unit(np.array(b["vector"].tolist(), np.float64)) @ matrix.T, 6)
-                own = b["id"].to_numpy()
-                r, c = np.nonzero(s >= least)
-                keep = own[r] != np.array(ids, object)[c]
-                rows = pd.DataFrame({"origin": np.array(ids, object)[c[keep]], "id": own[r[keep]], "score": s[r[keep], c[keep]]})
-                yield rows.sort_values(["origin", "score", "id"], ascending=[True, False, True]).groupby("origin").head(k) if k else rows
-
-        return vectors.select("id", "vector").mapInPandas(run, schema)
-
-    def flush() -> None:
-        nonlocal out, block
-        part = against([i for i, _ in block], _unit(np.array([v for _, v in block], np.float64)))
-        out, block = part if out is None else out.union(part), []
-
-    for row in queries.select("id", "vector").toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == BLOCK:
-            flush()
-    if block:
-        flush()
-    if out is None:
-        return spark.createDataFrame([], schema)
-    if not k:
-        return out
-    best = W.partitionBy("origin").orderBy(F.desc("score"), "id")
-    return out.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= k).drop("_k")
+                m = np.array(b.column(1).to_pylist(), np.float64)
+                near = np.argsort(-(_unit(m) @ centres.T), axis=1, kind="stable")[:, :probes]
+                at = np.repeat(np.arange(b.num_rows), near.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["cell", "id", "vector"])
+
+        return rows.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "cell int, id string, vector array<double>")
+
+    def search(self, queries: DataFrame, k: int, least: float, probes: int = 8) -> DataFrame:
+        """(origin, id, score): of each query the k most similar vectors of the cells probed; all at ``least`` or above where k is 0."""
+        return _compared(self.cells, self._placed(queries, probes), k, least)
 
 
 def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:

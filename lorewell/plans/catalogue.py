@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import ids, scores, text
 from lorewell.operators import communities as communities_of
-from lorewell.operators import confidence, dedup, filters, flow, graph, lifecycle, retrieval, semantic
+from lorewell.operators import confidence, dedup, filters, flow, graph, lifecycle, paths, retrieval, semantic
 
 from lorewell.operators.filters import Filter
 from lorewell.sources import bound
@@ -260,7 +260,7 @@ def critical_path(s, d):
     c = bound.corpus(s, d)
     lead = flow.task_flows(c.events).select("id", (F.coalesce("closed_ms", F.lit(c.now_ms)) - F.col("created_ms")).alias("duration"))
     best = graph.critical_path(graph.of_kind(c.edges, "depends_on"), lead.join(c.notes.select("id"), "id", "left_semi"))
-    return best.select("id", "total", F.size("path").cast("long").alias("n_steps"))
+    return best.select("id", "total", F.col("n").alias("n_steps"))
 
 
 @query
@@ -281,7 +281,8 @@ def subtree(s, d):
 
 @query
 def history(s, d):
-    return graph.supersession_history(bound.edges(s, d), bound.notes(s, d), "n0000000057")
+    start = s.createDataFrame([("n0000000057",)], "id string")
+    return paths.history(bound.edges(s, d), bound.notes(s, d), start).select("id", "step")
 
 
 @query

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lorewell.functions.runtime import shared_dir
-from lorewell.operators import retrieval
+from lorewell.operators import flow, graph, paths, retrieval, semantic
 from lorewell.plans.catalogue import QUERY, query
 from lorewell.sources import bound, cache, logs
 from lorewell.sources.indexes import TermIndex
@@ -62,3 +62,28 @@ def event_segments(s, d):
     """The segments of a log of all events, cut at LOG_BYTES."""
     rows = logs.segmented(log(s, d), LOG_BYTES)
     return rows.groupBy("segment").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min_by("id", F.struct("at", "id")).alias("first_id"), F.max_by("id", F.struct("at", "id")).alias("last_id"))
+
+
+@query
+def knn_by_index(s, d):
+    """Five neighbours of every 50th vector from the inverted file; its recall against the exact search is tested."""
+    v = bound.vectors(s, d)
+    return semantic.VectorIndex(v).search(v.where("substr(id, 10) in ('00', '50')"), 5, 0.0).select("origin", "id", "score")
+
+
+@query
+def histories(s, d):
+    """The history of every note that replaces another or is superseded."""
+    edges, notes = bound.edges(s, d), bound.notes(s, d)
+    starts = edges.where("kind = 'replaces'").select(F.col("src").alias("id")).union(notes.where("superseded_by is not null").select("id")).distinct()
+    return paths.history(edges, notes, starts)
+
+
+@query
+def critical_chain(s, d):
+    """The nodes of the longest chains: from each task that starts one of the longest sum, place by place."""
+    c = bound.corpus(s, d)
+    lead = flow.task_flows(c.events).select("id", (F.coalesce("closed_ms", F.lit(c.now_ms)) - F.col("created_ms")).alias("duration"))
+    best = graph.critical_path(graph.of_kind(c.edges, "depends_on"), lead.join(c.notes.select("id"), "id", "left_semi"))
+    top = best.agg(F.max("n").alias("n"))
+    return paths.chains(best.select("id", "next"), best.join(F.broadcast(top), "n", "left_semi").select("id")).select("start", "position", "id")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lorewell.plans.base_sql import EVENTS, sql
-from lorewell.plans.oracles import LEX
+from lorewell.plans.base_sql import EDGES, EVENTS, NOTES, NOW, sql
+from lorewell.plans.oracles import CLOSURE, CYCLIC, DEPENDS, FLOWS, LEX
 
 _json = lambda c: f"""CASE WHEN {c} IS NOT NULL THEN '"{c}":"' || {c} || '"' END"""
 
@@ -26,4 +26,16 @@ SELECT body_hash, model, created_ms, used AS used_ms, round(vector[1], 6) AS fir
       strlen('{{"at":' || at_ms || ',"data":{{' || concat_ws(',', {_json('action')}, {_json('dst')}, {_json('kind')}) || '}},"id":"ev-' || lpad(CAST(event_id AS VARCHAR), 10, '0') || '",' || coalesce('"note_id":"' || note_id || '",', '') || '"op":"' || op || '"}}') + 1 AS bytes FROM log)""",
       "cut AS (SELECT *, CAST((sum(bytes) OVER (ORDER BY at_ms, id ROWS UNBOUNDED PRECEDING) - bytes) // 65536 AS INT) AS segment FROM lines)"],
       "SELECT segment, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, arg_min(id, (at_ms, id)) AS first_id, arg_max(id, (at_ms, id)) AS last_id FROM cut GROUP BY 1"),
+    "histories": sql([NOTES, EDGES, "rp AS (SELECT src, min(dst) AS dst FROM edges WHERE kind = 'replaces' GROUP BY 1)", "st AS (SELECT src AS id FROM edges WHERE kind = 'replaces' UNION SELECT id FROM notes WHERE superseded_by IS NOT NULL)",
+      "old AS (SELECT id AS start, id, [id] AS way FROM st UNION ALL SELECT o.start, r.dst, list_append(o.way, r.dst) FROM old o JOIN rp r ON r.src = o.id WHERE NOT list_contains(o.way, r.dst))",
+      "top AS (SELECT start, arg_max(id, len(way)) AS root FROM old GROUP BY 1)",
+      "nw AS (SELECT start, root AS id, [root] AS way FROM top UNION ALL SELECT nw.start, n.superseded_by, list_append(nw.way, n.superseded_by) FROM nw JOIN notes n ON n.id = nw.id WHERE n.superseded_by IS NOT NULL AND NOT list_contains(nw.way, n.superseded_by))"],
+      "SELECT start, id, CAST(len(way) - 1 AS BIGINT) AS step FROM nw", recursive=True),
+    "critical_chain": sql([NOTES, EDGES, EVENTS, FLOWS, DEPENDS, CLOSURE("reach", "depends"), f"ring AS ({CYCLIC('reach')})",
+      "ok_edges AS (SELECT d.* FROM depends d LEFT JOIN ring a ON a.id = d.src LEFT JOIN ring b ON b.id = d.dst WHERE a.component IS NULL OR b.component IS NULL OR a.component <> b.component)",
+      f"dur AS (SELECT f.id, coalesce(closed_ms, {NOW}) - f.created_ms AS d FROM flows f JOIN notes n ON n.id = f.id)",
+      "nodes AS (SELECT src AS id FROM ok_edges UNION SELECT dst FROM ok_edges UNION SELECT id FROM dur), nd AS (SELECT id, coalesce(d, 0) AS d FROM nodes LEFT JOIN dur USING (id))",
+      "walk AS (SELECT id, id AS tip, d AS total, [id] AS way FROM nd UNION ALL SELECT w.id, e.dst, w.total + nd.d, list_append(w.way, e.dst) FROM walk w JOIN ok_edges e ON e.src = w.tip JOIN nd ON nd.id = e.dst)",
+      "best AS (SELECT id, way FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY total DESC, len(way) DESC, way) = 1)"],
+      "SELECT id AS start, CAST(p - 1 AS BIGINT) AS position, way[p] AS id FROM (SELECT id, way, unnest(range(1, len(way) + 1)) AS p FROM best WHERE len(way) = (SELECT max(len(way)) FROM best))", recursive=True),
 }

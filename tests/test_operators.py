@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from lorewell.corpus import Corpus, Settings
-from lorewell.operators import communities, confidence, dedup, filters, flow, graph, lifecycle, retrieval, semantic, writes
+from lorewell.operators import communities, confidence, dedup, filters, flow, graph, lifecycle, paths, retrieval, semantic, writes
 
 NOTE = "id string, type string, statement string, body string, tags array<string>, anchors array<string>, classification string, status string, scope string, created_ms long, successes double, failures double, reviews long, last_ms long, superseded_by string"
 
@@ -133,8 +133,52 @@ def test_views_and_reasons(spark):
 def test_critical_path_ties(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x")], "src string, dst string")
     length = spark.createDataFrame([("b", 5), ("c", 3), ("d", 2), ("a", 1), ("x", 4)], "id string, duration long")
-    got = {r.id: (r.total, r.path) for r in graph.critical_path(edges, length).collect()}
-    assert got["a"] == (6, ["a", "c", "d"]) and got["x"] == (4, ["x"])
+    best = graph.critical_path(edges, length)
+    assert {r.id: (r.total, r.n, r.next) for r in best.collect()} == {"a": (6, 3, "c"), "b": (5, 1, None), "c": (5, 2, "d"), "d": (2, 1, None), "x": (4, 1, None)}
+    chain = paths.chains(best.select("id", "next"), best.where("id = 'a'").select("id"))
+    assert [r.id for r in chain.orderBy("position").collect()] == ["a", "c", "d"]
+
+
+def test_longest_paths_against_brute_force(spark):
+    rng = random.Random(8)
+    edges = [(f"n{a:02}", f"n{b:02}") for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.12]
+    length = {f"n{i:02}": rng.randint(0, 3) for i in range(30)}
+
+    def best(i):
+        below = [best(b) for a, b in edges if a == i]
+        t, n, way = min(((-t, -n, way) for t, n, way in below), default=(0, 0, []))
+        return (length[i] - t, 1 - n, [i, *way])
+
+    rows = graph.critical_path(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(list(length.items()), "id string, duration long"))
+    assert {r.id: (r.total, r.n, r.next) for r in rows.collect()} == {i: (t, n, w[1] if n > 1 else None) for i in length for t, n, w in [best(i)]}
+
+
+def test_chains_end_in_cycles_and_double(spark):
+    follow = {f"c{i:03}": f"c{i + 1:03}" for i in range(99)} | {"x": "y", "y": "z", "z": "y", "o": "o"}
+    rows = paths.chains(spark.createDataFrame(list(follow.items()), "id string, next string"), spark.createDataFrame([("c000",), ("c090",), ("x",), ("z",), ("o",), ("none",)], "id string"))
+    got = {}
+    for r in rows.orderBy("start", "position").collect():
+        got.setdefault(r.start, []).append(r.id)
+    assert got == {"c000": [f"c{i:03}" for i in range(100)], "c090": [f"c{i:03}" for i in range(90, 100)], "x": ["x", "y", "z"], "z": ["z", "y"], "o": ["o"], "none": ["none"]}
+
+
+def test_ways_and_preorder_in_a_diamond_ladder(spark):
+    """Forty diamonds in a row: 2^40 ways are counted, and the walk enters each node once."""
+    edges = [e for i in range(40) for e in ((f"a{i:02}", f"b{i:02}"), (f"a{i:02}", f"c{i:02}"), (f"b{i:02}", f"a{i + 1:02}"), (f"c{i:02}", f"a{i + 1:02}"))]
+    df, root = spark.createDataFrame(edges[:32], "src string, dst string"), spark.createDataFrame([("a00",)], "id string")
+    assert {r.id: r.ways for r in paths.ways(df, root).collect()}["a08"] == 2**8
+    order = [r.id for r in paths.preorder(df, root).orderBy("position").collect()]
+    want, seen = [], set()
+
+    def walk(i):
+        seen.add(i)
+        for b in sorted(b for a, b in edges[:32] if a == i):
+            if b not in seen:
+                want.append(b)
+                walk(b)
+
+    walk("a00")
+    assert order == want
 
 
 def test_communities_split_cliques(spark):

@@ -141,3 +141,42 @@ def test_log_is_cut_by_bytes(spark, tmp_path):
         assert (got[i].bytes, got[i].segment) == (size, at // 500)
         at += size
     assert v.current()[1]["bytes"] == at
+
+
+def test_recall_of_the_vector_index(spark):
+    """Clustered vectors, a cell with a third of all, and every 50th as a query."""
+    import numpy as np
+
+    from lorewell.operators import semantic
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 24))
+    of = np.where(rng.random(6000) < 1 / 3, 0, rng.integers(0, 30, 6000))
+    rows = [(f"n{i:05}", (centres[c] + rng.normal(size=24) * 0.5).tolist()) for i, c in enumerate(of)] + [("n99999", [0.0] * 24)]
+    v = spark.createDataFrame(rows, "id string, vector array<double>")
+    asked = v.where("cast(substr(id, 2) as int) % 50 = 0")
+    exact = {(r.origin, r.id) for r in semantic.neighbours(v, asked, 10, 0.0).collect()}
+    m = np.array([x for _, x in rows])
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    brute = set()
+    for i in range(0, 6000, 50):
+        s = np.round(unit @ unit[i], 6)
+        best = sorted((-s[j], rows[j][0]) for j in range(len(rows)) if j != i and s[j] >= 0)[:10]
+        brute |= {(rows[i][0], y) for _, y in best}
+    assert exact == brute
+    index = semantic.VectorIndex(v, cells=32)
+    found = {(r.origin, r.id) for r in index.search(asked, 10, 0.0).collect()}
+    assert len(found & exact) / len(exact) >= 0.95
+    near = {(r.origin, r.id) for r in semantic.neighbours(v, asked, 0, 0.8).collect()}
+    assert len(near) > 100 and len({(r.origin, r.id) for r in index.search(asked, 0, 0.8).collect()} & near) / len(near) >= 0.95
+
+
+def test_blocks_of_one_cell_meet(spark, monkeypatch):
+    from lorewell.operators import semantic
+
+    monkeypatch.setattr(semantic, "BLOCK", 7)
+    rng = random.Random(4)
+    v = spark.createDataFrame([(f"n{i:02}", [rng.random() for _ in range(3)]) for i in range(40)], "id string, vector array<double>")
+    pairs = semantic.similar_pairs(v, -1.0).collect()
+    assert len(pairs) == len({(r.a, r.b) for r in pairs}) == 40 * 39 // 2
+    assert semantic.neighbours(v, v.limit(0), 3, 0.0).collect() == [] and semantic.neighbours(v, v, 3, -1.0).count() == 120

@@ -328,6 +328,13 @@ def in_scope(corpus: Corpus, container: str) -> DataFrame:
     return start.union(down).union(up).distinct()
 
 
+def in_scopes(corpus: Corpus, containers: DataFrame) -> DataFrame:
+    """(id): the members of any of the containers (id); each note is visited once."""
+    start = written(containers.select("id").distinct())
+    up = of_kind(corpus.edges, "results_in").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return start.union(downstream(up, start)).union(downstream(of_kind(corpus.edges, "depends_on"), start)).distinct()
+
+
 def claim_conflicts(notes: DataFrame) -> DataFrame:
     """(subject, relation, objects, ids): claims that give one subject and relation several objects."""
     c = notes.select("id", F.explode("claims").alias("c")).select("id", "c.subject", "c.relation", "c.object")

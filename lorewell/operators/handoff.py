@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.corpus import Corpus
-from lorewell.functions.globs import has_glob
-from lorewell.functions.text import one_line
+from lorewell.functions.globs import has_glob, regex_column
+from lorewell.functions.ids import base36
+from lorewell.functions.runtime import running, written
+from lorewell.functions.text import one_line, token_estimate
 from lorewell.operators.dedup import merge_proposals
-from lorewell.operators.filters import anchors_of
-from lorewell.operators.flow import budget_cut, manifest, scope_counts
-from lorewell.operators.graph import cyclic, in_scope, integrity, missing_edges, of_kind, views
-from lorewell.operators.retrieval import anchor_hits
+from lorewell.operators.filters import actionable, anchors_of
+from lorewell.operators.flow import MIN_TAIL, manifest, next_tasks, scope_counts
+from lorewell.operators.graph import cyclic, in_scope, in_scopes, integrity, missing_edges, of_kind, views
+from lorewell.operators.lifecycle import freshness
+from lorewell.operators.tasks import program_roots
+from lorewell.sources.versions import Versions
 
 FLIP_NOTES, FLIP_CONTAINERS = 100, 5
 # How a line names an anchor's contents, and what stands between a name and its hash.
@@ -44,21 +51,95 @@ def effective_mode(corpus: Corpus, mode: str, changed: list[str]) -> tuple[str,
     return ("scope", container) if container else ("manifest", None)
 
 
-def rewind(corpus: Corpus, mode: str = "auto", container: str | None = None, paths: tuple[str, ...] = (), budget: int = 4000, most: int = 500) -> DataFrame:
-    """(position, line): the hand-off's lines within a token budget; of a scope, of files, or the manifest's best.
+def ranked_items(corpus: Corpus, mode: str, container: str | None = None, paths: tuple[str, ...] = ()) -> DataFrame:
+    """(id, score, created_ms, line) of a scope's members, or of what the files touch: notes anchored at them and members of the programs they are of.
 
-    A budget of tokens holds few lines, so no more than ``most`` (at least one token each, a budget's worth) are laid out.
+    Foundational notes and decisions bring their bodies.
     """
-    mode, found = effective_mode(corpus, mode, list(paths))
     rows = manifest(corpus)
     if mode == "scope":
-        rows = rows.join(in_scope(corpus, container or found), "id", "left_semi")
-    elif mode == "files":
-        rows = rows.join(anchor_hits(corpus.notes, list(paths)).select("id"), "id", "left_semi")
-    best = rows.orderBy(F.desc("score"), F.desc("created_ms"), "id").limit(min(most, max(budget, 1)))
-    listed = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col("created_ms")).alias("t"), "id", one_line("statement").alias("l"), "tier"))).alias("x"))
-    lines = listed.select(F.posexplode("x").alias("position", "x")).select(F.col("position").cast("long").alias("position"), F.concat_ws("|", "x.id", "x.l", "x.tier").alias("line"))
-    return budget_cut(lines, budget)
+        rows = rows.join(in_scope(corpus, container), "id", "left_semi")
+    else:
+        touched = lambda a: sum((F.rlike(F.lit(p), regex_column(a)).cast("int") for p in paths), F.lit(0)) > 0
+        hit = corpus.notes.where(F.exists("anchors", touched)).select("id")
+        for p in paths:  # a short list of files
+            hit = hit.union(in_scopes(corpus, program_roots(corpus, p)))
+        rows = rows.join(hit.distinct(), "id", "left_semi")
+    rich = (F.col("classification") == "foundational") | (F.col("type") == "decision")
+    body = F.regexp_replace("body", r"^\s+|\s+$", "")
+    own = corpus.notes.select("id", F.when(rich & (F.coalesce(body, F.lit("")) != ""), F.concat(F.lit("\n"), body)).otherwise("").alias("_body"))
+    line = F.concat(F.concat_ws("|", "id", one_line("statement"), "tier"), "_body")
+    return rows.join(own, "id").select("id", "score", "created_ms", line.alias("line"))
+
+
+def cut(items: DataFrame, budget: int) -> DataFrame:
+    """(position, line, truncated, dropped) of ranked items within a token budget; the line that overflows is cut if enough is left.
+
+    An item costs a token at least, so ``budget`` + 1 of them decide; dropped counts all that are not whole.
+    """
+    order = [F.desc("score"), F.desc("created_ms"), F.col("id")]
+    best = items.orderBy(*order).limit(budget + 1).withColumn("_cost", token_estimate("line").cast("long"))
+    rows = running(best, "_cost", *order)
+    whole = F.col("before") + F.col("_cost") <= budget
+    first = rows.where(~whole).agg(F.min("position").alias("_first"))
+    left = F.lit(budget) - F.col("before")
+    rows = rows.join(F.broadcast(first), F.lit(True)).join(F.broadcast(items.agg(F.count("*").alias("_n"))), F.lit(True))
+    at = F.col("_first").isNotNull() & (F.col("position") == F.col("_first")) & (left >= MIN_TAIL)
+    kept = rows.where(F.col("_first").isNull() | (F.col("position") < F.col("_first")) | at)
+    line = F.when(at, F.concat(F.substring(F.col("line"), F.lit(1), (left * 4).cast("int")), F.lit("…"))).otherwise(F.col("line"))
+    truncated = F.max(at).over(W.partitionBy("_n"))  # of the report's own lines, a budget's worth
+    return kept.select("position", line.alias("line"), truncated.alias("truncated"), F.coalesce(F.col("_n") - F.col("_first"), F.lit(0)).alias("dropped"))
+
+
+def manifest_lines(corpus: Corpus, changed: list[str], budget: int, pending: int = 0) -> DataFrame:
+    """(position, line, truncated, dropped): counters, newest notes, next tasks, freshness; dropped counts ready tasks that are not shown."""
+    c, f = counters(corpus, changed), freshness(corpus)
+    shown = next_tasks(corpus, budget=budget)
+    order = F.struct((-F.col("impact")).alias("i"), "created_ms", "id")
+    tasks = shown.withColumn("created_ms", F.coalesce("created_ms", F.lit(0))).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.concat_ws("|", "id", "statement").alias("t")))), lambda x: x["t"]), " ").alias("next"), F.count("*").alias("_shown"))
+    ready = views(corpus).where("state = 'ready'").select("id").join(corpus.notes.where(actionable()).select("id"), "id", "left_semi").agg(F.count("*").alias("_ready"))
+    one = F.lit(True)
+    row = c.join(F.broadcast(f.select("stale", "expiring")), one).join(F.broadcast(tasks), one).join(F.broadcast(ready), one)
+    lines = F.array(
+        F.format_string("notes=%d ready=%d blocked=%d containers=%d %s", "notes", "ready", "blocked", "containers", "dirty"), F.concat(F.lit("recent: "), "recent"),
+        F.when(F.col("_shown") > 0, F.concat(F.lit("next: "), "next")), F.format_string("fresh: stale=%d expiring=%d pending=%d", "stale", "expiring", F.lit(pending)),
+    )
+    out = row.select(F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("position", "line"), F.lit(False).alias("truncated"), (F.col("_ready") - F.col("_shown")).alias("dropped"))
+    return out.withColumn("position", F.col("position").cast("long"))
+
+
+def rewind(corpus: Corpus, mode: str = "auto", container: str | None = None, paths: tuple[str, ...] = (), budget: int = 4000) -> DataFrame:
+    """(position, line, truncated, dropped): the hand-off of a scope, of files, or the manifest."""
+    mode, found = effective_mode(corpus, mode, list(paths))
+    if mode == "manifest":
+        return manifest_lines(corpus, list(paths), budget)
+    return cut(ranked_items(corpus, mode, container or found, paths), budget)
+
+
+class Contexts:
+    """Hand-offs that were given out, below ``path``, by what they say: equal ones have one id."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.versions = Versions(spark, path)
+
+    def save(self, lines: DataFrame) -> str:
+        """Keep lines (position, line), a budget's worth, and give their id."""
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n")
+        found = written(lines.select("position", "line"))
+        name = found.agg(F.concat(F.lit("ctx_"), base36(text)).alias("id")).first().id
+        number, manifest = self.versions.current()
+        if name not in manifest["tables"]:
+            self.versions.commit(number, manifest | {"tables": manifest["tables"] | {name: [self.versions.part(found.coalesce(1), name)]}})
+        return name
+
+    def resume(self, name: str) -> DataFrame:
+        """(position, line) of a context given out before. A malformed id is a ValueError, an unknown one a KeyError."""
+        if not re.fullmatch("ctx_[0-9a-z]{8}", name):
+            raise ValueError(f"no context id: {name!r}")
+        manifest = self.versions.current()[1]
+        if name not in manifest["tables"]:
+            raise KeyError(f"no such context: {name}")
+        return self.versions.read(manifest, name, "position long, line string")
 
 
 def parsed(ref: Column) -> tuple[Column, Column]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from lorewell.functions import text
+from lorewell.functions.runtime import shared_dir
 from lorewell.functions.ids import TYPES
 from lorewell.operators import dedup, filters, flow, graph, handoff, lifecycle, retrieval, semantic, tasks, writes
 from lorewell.operators.filters import Filter
@@ -138,6 +140,16 @@ def rewind_scope(s, d):
     return handoff.rewind(bound.corpus(s, d), "scope", SCOPE, budget=400)
 
 
+@query
+def rewind_resume(s, d):
+    """A hand-off given out before, after another one was."""
+    c = bound.corpus(s, d)
+    contexts = handoff.Contexts(s, f"{shared_dir(s)}/contexts-{uuid.uuid4().hex[:12]}")
+    first = contexts.save(handoff.rewind(c, "scope", SCOPE, budget=400))
+    contexts.save(handoff.rewind(c, "scope", SCOPE, budget=200))
+    return contexts.resume(first)
+
+
 @query
 def rewind_files(s, d):
     return handoff.rewind(bound.corpus(s, d), "files", paths=tuple(PATHS), budget=4000)

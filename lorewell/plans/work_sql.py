@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lorewell.plans.base_sql import AGE, EDGES, EVENTS, NOTES, NOW, PATHS, POSTINGS, VECTORS, confidence, note, sql
 from lorewell.plans.catalogue import AS_OF, PATHS as WORKING
-from lorewell.plans.oracles import ANCHOR_HITS, CLOSURE, CONF, COS, CYCLIC, DEPENDS, EITHER, FLOWS, IMPACT, INTEGRITY, LEX, LOSERS, MATCH, NEXT_VIEWS, NORM, PARENT, TASKS, VALID, VIEWS, WORK, _dice, _epics, _pagerank
+from lorewell.plans.oracles import ANCHOR_HITS, CLOSURE, CONF, COS, CYCLIC, DEPENDS, EITHER, FLOWS, IMPACT, INTEGRITY, LEX, LOSERS, MATCH, NEXT_VIEWS, NORM, PARENT, TASKS, TTL, VALID, VIEWS, WORK, _dice, _epics, _pagerank
 
 SHOWN = "status IN ('active', 'in_progress', 'blocked', 'closed')"
 LINE = lambda t: f"trim(regexp_replace({t}, '[|\\s]+', ' ', 'g'))"
@@ -48,12 +48,15 @@ MANIFEST = f"""man AS (SELECT n.id, CASE WHEN coalesce(task, 0) > 0 OR successes
 
 
 def _rewind(where: str, budget: int) -> list[str]:
-    return [f"ln AS (SELECT row_number() OVER (ORDER BY s DESC, created_ms DESC, id) - 1 AS position, concat_ws('|', id, {LINE('statement')}, tier) AS line FROM man WHERE {where} QUALIFY position < {min(500, budget)})",
-        "cs AS (SELECT *, CAST(ceil(length(line) / 4e0) AS BIGINT) AS cost, sum(ceil(length(line) / 4e0)) OVER (ORDER BY position) AS s FROM ln)", f"ov AS (SELECT *, sum(CASE WHEN s > {budget} THEN 1 ELSE 0 END) OVER (ORDER BY position) AS o FROM cs)"]
+    return [r"""ln AS (SELECT row_number() OVER (ORDER BY s DESC, m.created_ms DESC, m.id) - 1 AS position, concat_ws('|', m.id, """ + LINE("m.statement") + r""", tier) ||
+          CASE WHEN (n.classification = 'foundational' OR n.type = 'decision') AND regexp_replace(n.body, '^\s+|\s+$', '', 'g') <> '' THEN chr(10) || regexp_replace(n.body, '^\s+|\s+$', '', 'g') ELSE '' END AS line
+          FROM man m JOIN notes n ON n.id = m.id WHERE """ + where + ")",
+        "cs AS (SELECT *, CAST(ceil(length(line) / 4e0) AS BIGINT) AS cost, sum(ceil(length(line) / 4e0)) OVER (ORDER BY position) AS s FROM ln)",
+        f"fst AS (SELECT min(position) FILTER (WHERE s > {budget}) AS f, count(*) AS n FROM cs)", f"tail AS (SELECT count(*) > 0 AS cut_ FROM cs, fst WHERE position = f AND {budget} - (s - cost) >= 100)"]
 
 
 def _cut(budget: int) -> str:
-    return f"SELECT position, CASE WHEN o = 0 THEN line ELSE left(line, CAST(({budget} - (s - cost)) * 4 AS BIGINT)) || '…' END AS line FROM ov WHERE o = 0 OR (o = 1 AND s > {budget} AND {budget} - (s - cost) >= 100)"
+    return f"SELECT position, CASE WHEN position = f THEN left(line, CAST(({budget} - (s - cost)) * 4 AS BIGINT)) || '…' ELSE line END AS line, cut_ AS truncated, coalesce(n - f, 0) AS dropped FROM cs, fst, tail WHERE f IS NULL OR position < f OR (position = f AND cut_)"
 
 
 _TYPES = ["fact", "decision", "question", "task", "def", "error", "snippet", "link", "meta", "risk"]
@@ -95,9 +98,19 @@ ORACLES: dict[str, str] = {
     "epics_around": sql([NOTES, _cutoff("kind = 'results_in' AND ends_with(dst, '1')"), DEPENDS, PARENT, _epics(8), "far AS (SELECT id, id AS epic, 0 AS h FROM notes WHERE scope = 'epic' UNION SELECT d.src, f.epic, f.h + 1 FROM far f JOIN depends d ON d.dst = f.id WHERE f.h < 60)"],
         "SELECT id, epic FROM epic UNION ALL SELECT id, arg_min(epic, (h, epic)) FROM far WHERE id IN (SELECT id FROM notes) AND id NOT IN (SELECT id FROM epic) GROUP BY 1", recursive=True),
     "manifest_counters": sql(NEXT_VIEWS, "SELECT count(*) AS notes, (SELECT count(*) FROM views WHERE reason IS NULL) AS ready, (SELECT count(*) FROM views WHERE reason IS NOT NULL) AS blocked, count(*) FILTER (WHERE scope = 'epic') AS containers, 'dirty' AS dirty, (SELECT string_agg(id, ' ' ORDER BY created_ms DESC, id) FROM (SELECT * FROM notes ORDER BY created_ms DESC, id LIMIT 3)) AS recent FROM notes", recursive=True),
-    "rewind_scope": sql([NOTES, EDGES, DEPENDS, TASKS, MANIFEST, MEMBERS.format(SCOPE), *_rewind("id IN (SELECT id FROM members)", 400)], _cut(400), recursive=True),
-    "rewind_files": sql([NOTES, TASKS, MANIFEST, ANCHOR_HITS, *_rewind("id IN (SELECT id FROM hits)", 4000)], _cut(4000)),
-    "rewind_auto": sql([NOTES, TASKS, MANIFEST, *_rewind("true", 900)], _cut(900)),
+    "rewind_scope": sql([NOTES, EDGES, DEPENDS, TASKS, MANIFEST, MEMBERS.format(SCOPE), *_rewind("m.id IN (SELECT id FROM members)", 400)], _cut(400), recursive=True),
+    "rewind_resume": sql([NOTES, EDGES, DEPENDS, TASKS, MANIFEST, MEMBERS.format(SCOPE), *_rewind("m.id IN (SELECT id FROM members)", 400)], f"SELECT position, line FROM ({_cut(400)})", recursive=True),
+    "rewind_files": sql([NOTES, EDGES, DEPENDS, PARENT, TASKS, MANIFEST, ANCHOR_HITS, f"wp(p) AS (VALUES {', '.join(f"('{p}')" for p in WORKING)})",
+        f"rts AS (SELECT DISTINCT id FROM (SELECT id, unnest(anchors) AS a FROM notes WHERE scope = 'epic' AND id NOT IN (SELECT id FROM parent)), wp WHERE {EITHER('a', 'p')})",
+        "rdn AS (SELECT id FROM rts UNION SELECT e.dst FROM rdn JOIN edges e ON e.src = rdn.id AND e.kind = 'results_in'), rup AS (SELECT id FROM rts UNION SELECT d.src FROM rup JOIN depends d ON d.dst = rup.id)",
+        *_rewind("m.id IN (SELECT id FROM hits UNION SELECT id FROM rdn UNION SELECT id FROM rup)", 4000)], _cut(4000), recursive=True),
+    "rewind_auto": sql([*NEXT_VIEWS, IMPACT, TTL, f"""fr AS (SELECT count(*) FILTER (WHERE origin + days * 86400000 <= {NOW}) AS stale, count(*) FILTER (WHERE origin + days * 86400000 > {NOW} AND origin + days * 86400000 - {NOW} <= 604800000) AS expiring FROM ttl)""",
+        f"rd AS (SELECT n.id, {LINE('statement')} AS statement, coalesce(impact, 0) AS impact, created_ms FROM notes n JOIN views v ON v.id = n.id AND v.reason IS NULL LEFT JOIN impact i ON i.id = n.id WHERE status NOT IN ('closed', 'superseded', 'forgotten'))",
+        "nx AS (SELECT * FROM rd ORDER BY impact DESC, created_ms, id LIMIT 4)",
+        """ls AS (SELECT 0 AS position, 'notes=' || count(*) || ' ready=' || (SELECT count(*) FROM views WHERE reason IS NULL) || ' blocked=' || (SELECT count(*) FROM views WHERE reason IS NOT NULL) || ' containers=' || count(*) FILTER (WHERE scope = 'epic') || ' dirty' AS line FROM notes
+          UNION ALL SELECT 1, 'recent: ' || string_agg(id, ' ' ORDER BY created_ms DESC, id) FROM (SELECT * FROM notes ORDER BY created_ms DESC, id LIMIT 3)
+          UNION ALL SELECT 2, 'next: ' || string_agg(id || '|' || statement, ' ' ORDER BY impact DESC, created_ms, id) FROM nx UNION ALL SELECT 3, 'fresh: stale=' || stale || ' expiring=' || expiring || ' pending=0' FROM fr)"""],
+        "SELECT CAST(position AS BIGINT) AS position, line, false AS truncated, (SELECT count(*) FROM rd) - (SELECT count(*) FROM nx) AS dropped FROM ls", recursive=True),
     "refs_annotated": sql([NOTES, PATHS, FILES, LINES, ANCHOR_LINES], "SELECT position, id || CASE WHEN position % 4 <> 0 THEN '@' || bh ELSE '' END || rest AS line FROM lines UNION ALL SELECT position, 'anchor|' || path || '@' || h FROM alines"),
     "refs_verified": sql([NOTES, PATHS, FILES, NOW_FILES, LINES, ANCHOR_LINES, f"cur AS (SELECT id, status, superseded_by, {HASH('CASE WHEN doc_id % 50 = 0 THEN body || chr(33) ELSE body END')} AS h FROM notes WHERE doc_id % 75 <> 0)",
         "v AS (SELECT position, 'note' AS kind, CASE WHEN c.id IS NULL THEN 'dangling' WHEN c.status = 'forgotten' THEN 'retired' WHEN c.status = 'superseded' THEN 'superseded' WHEN c.h <> bh THEN 'changed' END AS status, l.id AS name, bh AS hash, superseded_by, c.h AS h FROM lines l LEFT JOIN cur c USING (id))",

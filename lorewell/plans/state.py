@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from lorewell.functions.ids import body_hash
 from lorewell.functions.runtime import shared_dir
-from lorewell.operators import flow, graph, paths, retrieval, semantic
+from lorewell.operators import batch, flow, graph, paths, retrieval, semantic, upkeep
 from lorewell.plans.catalogue import QUERY, query
+from lorewell.plans.work import _changed_files, _files, _note
 from lorewell.sources import bound, cache, logs
-from lorewell.sources.indexes import TermIndex
+from lorewell.sources.indexes import TermIndex, digest
 
 CACHE_BYTES, LOG_BYTES = 100_000, 1 << 16
 
@@ -87,3 +90,55 @@ def critical_chain(s, d):
     best = graph.critical_path(graph.of_kind(c.edges, "depends_on"), lead.join(c.notes.select("id"), "id", "left_semi"))
     top = best.agg(F.max("n").alias("n"))
     return paths.chains(best.select("id", "next"), best.join(F.broadcast(top), "n", "left_semi").select("id")).select("start", "position", "id")
+
+
+def store(s, d) -> upkeep.Store:
+    """A store that has something wrong of each kind, by rules over all rows."""
+    notes, events = bound.notes(s, d), log(s, d)
+    line = F.to_json(F.struct("at", "data", "id", "note_id", "op"))
+    broken = F.col("id").endswith("3")
+    lines = events.select(F.when(broken & (F.col("op") == "forget"), F.left(line, F.lit(20))).when(broken & (F.col("op") == "write"), F.lit('{"at":1,"id":"x"}')).otherwise(line).alias("value"))
+    canonical = notes.select("doc_id", "id", digest().alias("digest"))
+    derived = canonical.where("doc_id % 17 <> 0").select("id", F.when(F.col("doc_id") % 19 == 0, "other").otherwise(F.col("digest")).alias("digest"))
+    return upkeep.Store(
+        skipped=s.read.parquet(f"{d}/documents.parquet").where("coalesce(text, '') = ''"), records=_files(s, d), files=_changed_files(s, d), locks=bound.events(s, d).where("op = 'write'").select(F.col("note_id").alias("path"), F.col("at").alias("taken_ms")),
+        bad_events=logs.malformed(lines), hashes=notes.select("id", F.when(F.col("doc_id") % 13 == 0, "stale").otherwise(body_hash(F.col("statement"), F.col("body"))).alias("body_hash")),
+        derived=derived, canonical=canonical.select("id", "digest"), embedding_bytes=(0, upkeep.EMBEDDING_BYTES + 1), programs="src/*/doc_1.rs",
+    )
+
+
+@query
+def doctor_store(s, d):
+    c = bound.corpus(s, d)
+    return upkeep.doctor(replace(c, settings=replace(c.settings, limit=0)), store(s, d))
+
+
+@query
+def purge_due(s, d):
+    return upkeep.purged(bound.corpus(s, d))[1]
+
+
+@query
+def purge_left(s, d):
+    """What is left after the purge, and how many of the links left lead to or from a note that went."""
+    c = bound.corpus(s, d)
+    left, told = upkeep.purged(c)
+    ends = left.edges.select(F.col("src").alias("id")).union(left.edges.select("dst")).union(left.notes.select("superseded_by")).union(left.vectors.select("id"))
+    count = lambda name, df: df.agg(F.lit(name).alias("what"), F.count("*").alias("n"))
+    return count("notes", left.notes).union(count("links", left.edges)).union(count("vectors", left.vectors)).union(count("pointers", left.notes.where("superseded_by is not null"))).union(count("dangling", ends.join(told.select("id"), "id", "left_semi")))
+
+
+def operations(s, d):
+    """A batch with a line for every note: changes, new notes, parents by key and by id, and wrong ones of each kind."""
+    i = F.col("doc_id")
+    own = F.when(i % 3 == 0, _note("doc_id")).when(i % 41 == 5, "n9999999999")
+    parent = F.when(i % 5 == 1, F.concat(F.lit("k"), (i - 1).cast("string"))).when(i % 5 == 2, _note("doc_id - 2")).when(i % 5 == 3, F.concat(F.lit("k"), (i + 1).cast("string"))).when(i % 5 == 4, _note("doc_id * 8 + 1"))
+    scope = F.when(own.isNull(), F.when(i % 7 == 1, "issue").when(i % 7 == 2, "epic").when(i % 7 == 5, "odd").otherwise("task"))
+    return s.read.parquet(f"{d}/documents.parquet").select(
+        i.alias("line"), F.concat(F.lit("k"), i.cast("string")).alias("key"), own.alias("id"), F.lit("task").alias("type"), scope.alias("scope"), F.when(i % 37 == 4, " ").otherwise(F.concat(F.lit("new item "), i.cast("string"))).alias("statement"), parent.alias("parent")
+    )
+
+
+@query
+def task_batch(s, d):
+    return batch.checked(bound.corpus(s, d), operations(s, d)).select("line", "action", "target", "scope", "parent_id", "problem")

@@ -45,6 +45,12 @@ def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return first_per_id(good), bad
 
 
+def malformed(lines: DataFrame) -> DataFrame:
+    """(value): lines (value) that are no events: no JSON, or without id, op or time."""
+    e = F.from_json("value", EVENT + ", _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return lines.where(F.trim("value") != "").select("value", e.alias("e")).where("e is null or e._corrupt is not null or e.id is null or e.op is null or e.at is null").select("value")
+
+
 def canonical(op: Column, note: Column, at: Column, data: Column) -> Column:
     """JSON of an event's content with sorted keys; absent fields are left out."""
     entries = F.map_from_entries(F.array_sort(F.map_entries(data)))

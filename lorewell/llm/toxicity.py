@@ -3,8 +3,9 @@
 Two zstandard dictionaries are trained on labelled documents, each on its own class. The ordinary one is trained on
 ordinary documents. Toxic documents are mostly ordinary text too, and two dictionaries that are trained on
 whole documents differ by chance more than by class; so the toxic one is trained on the passages of toxic documents whose
-byte strings are in far more of them than of ordinary ones. Toxic text is then modelled as ordinary text with
-such passages: every document is cut into overlapping windows of WINDOW bytes at word starts, each window is compressed
+byte strings are in far more of them than of ordinary ones, and every such passage that the trainer left out stands behind
+what it picked, the commonest last: none is cut for room, so habits of a language with few toxic documents stay. Toxic text
+is then modelled as ordinary text with such passages: every document is cut into overlapping windows of WINDOW bytes at word starts, each window is compressed
 with the ordinary dictionary's content and with that of both, and the difference of the two lengths tells how much
 better the toxic class explains it. A logistic curve over a document's differences (largest, mean of the largest three,
 mean, numbers and shares of windows above thresholds), fitted on training documents kept apart, calibrates the score.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +36,8 @@ from lorewell.llm.shared import narrow_batches, table
 
 SAMPLE, SAMPLE_BYTES = 3000, 32768
 WINDOW, STRIDE = 64, 40
-#: Bytes of the ordinary and the toxic dictionary, and of the segments that the trainer picks; few passages tell, and a larger toxic one fits chance matches.
-ORDINARY, TOXIC, GRAM = (16 << 10, 48), (1 << 10, 32), 5
+#: Bytes that the trainer picks for the ordinary and the toxic dictionary, and bytes of its segments; bytes of a telling string.
+ORDINARY, TOXIC, GRAM = (16 << 10, 48), (1 << 10, 32), 7
 HELD_OUT, THRESHOLD = 2, 0.3
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -60,7 +62,7 @@ def windows(words: bytes) -> list[bytes]:
 
 
 def _parameters() -> zstandard.ZstdCompressionParameters:
-    return zstandard.ZstdCompressionParameters.from_level(3, window_log=15, min_match=3, strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0)
+    return zstandard.ZstdCompressionParameters.from_level(3, window_log=20, min_match=3, strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0)
 
 
 # How a trained dictionary begins, and the three start offsets that end its header.
@@ -77,6 +79,12 @@ def trained(samples: list[bytes], size: int, segment: int) -> bytes:
     return whole[at + len(STARTS) :] if whole.startswith(MAGIC) and at >= 0 else whole
 
 
+def with_all(content: bytes, passages: list[bytes]) -> bytes:
+    """A dictionary's content and, behind it, each distinct part of ``passages``, the most frequent last."""
+    counts = Counter(part for p in passages for part in p.split())
+    return b" ".join([content, *(part for part, _ in sorted(counts.items(), key=lambda x: (x[1], x[0])))])
+
+
 class Model:
     """Both dictionaries' contents, the window threshold, and the curve's weights."""
 
@@ -146,10 +154,10 @@ def without_copies(docs: list[bytes], most: float = 0.3, gram: int = 16) -> list
     return out
 
 
-def telling(docs: list[bytes], other: list[bytes], lift: float = 6.0, least: int = 4, surprise: float = 30.0) -> list[bytes]:
+def telling(docs: list[bytes], other: list[bytes], lift: float = 4.0, least: int = 4, surprise: float = 16.0) -> list[bytes]:
     """Of each of ``docs`` the parts whose strings are in ``lift`` times as many of them as of ``other``, by more than chance; without documents that have none.
 
-    Chance is told by the log-likelihood ratio, which is over 30 for less than one string in ten million.
+    Chance is told by the log-likelihood ratio, which is over 16 for one string in 16,000.
 
     A string must also follow ``least`` different texts or more, which tells a habit from a copied passage.
     """
@@ -198,7 +206,8 @@ def fit(rows: list[tuple[int, str | None]]) -> Model | None:
     ordinary, toxic = ([s for t, s, h in half if t == c and h == 0] for c in (0, 1))
     if not ordinary or not toxic or len({t for t, _, h in half if h}) < 2:
         return None
-    model = Model(trained(telling(without_copies(toxic), ordinary), *TOXIC), trained(ordinary, *ORDINARY))
+    passages = telling(without_copies(toxic), ordinary)
+    model = Model(with_all(trained(passages, *TOXIC), passages), trained(ordinary, *ORDINARY))
     rest = [(t, s) for t, s, h in half if h]
     y = np.array([t for t, _ in rest], float)
     diffs = [model.differences(s) for _, s in rest]

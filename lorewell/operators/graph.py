@@ -328,6 +328,22 @@ def in_scope(corpus: Corpus, container: str) -> DataFrame:
     return start.union(down).union(up).distinct()
 
 
+def broader(edges: DataFrame) -> DataFrame:
+    """(src, dst): dst is broader than src, by a broader link or by a narrower one the other way round."""
+    there = of_kind(edges, "broader").select("src", "dst")
+    return there.union(of_kind(edges, "narrower").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+def hierarchy(edges: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """(src, dst): all that is broader than a note (of ``notes``, if given), directly or not; read backwards, all that is narrower. On a cycle a note is its own."""
+    return closure(broader(edges), None if notes is None else notes.select(F.col("id").alias("src")))
+
+
+def hierarchy_cycles(edges: DataFrame) -> DataFrame:
+    """(id, component): notes on cycles of broader and narrower links; a hierarchy has none."""
+    return cyclic(broader(edges))
+
+
 def in_scopes(corpus: Corpus, containers: DataFrame) -> DataFrame:
     """(id): the members of any of the containers (id); each note is visited once."""
     start = written(containers.select("id").distinct())

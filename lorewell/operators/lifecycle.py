@@ -76,18 +76,23 @@ def drifted(notes: DataFrame) -> DataFrame:
 
 
 def demotion_plan(corpus: Corpus) -> DataFrame:
-    """(id, reason, action): the first reason that applies; members of cycles are left alone."""
+    """(id, reason, action): the first reason that applies; members of cycles are left alone.
+
+    Decay of anchors counts only where the listing of paths can be trusted (``covered``).
+    """
     s, notes = corpus.settings, corpus.notes
     ring = cyclic(of_kind(corpus.edges, "depends_on")).select("id").union(cyclic(of_kind(corpus.edges, "replaces")).select("id")).distinct()
     flag = lambda df, name: df.select("id").distinct().withColumn(name, F.lit(True))
-    rows = notes.join(ring, "id", "left_anti").join(anchor_validity(notes, corpus.paths), "id", "left")
+    validity = written(anchor_validity(notes, corpus.paths))
+    rows = notes.join(ring, "id", "left_anti").join(validity, "id", "left")
     rows = rows.join(flag(losers(corpus, task=False), "_lost"), "id", "left").join(flag(defeated(corpus), "_beaten"), "id", "left").join(flag(drifted(notes), "_drifted"), "id", "left")
     zero = F.lit(0.0)
     days = age_days(F.col("created_ms"), corpus.now_ms)
     sure = confidence(zero, age_factor(days), wilson(F.col("successes"), F.col("failures")), zero, zero, zero)
     decayed = (F.col("classification") != "foundational") & (F.col("total") > 0) & (F.col("valid") / F.col("total") < s.anchor_threshold) & (days >= s.grace_days) & (sure < 0.5)
     reason = F.when(expiry(s) <= corpus.now_ms, "expired").when(decayed, "anchor_decay").when(F.col("_lost"), "contradicted").when(F.col("_beaten"), "defeated").when(F.col("_drifted"), "drifted")
-    return rows.select("id", reason.alias("reason")).where("reason is not null").withColumn("action", F.when(F.col("reason").isin("expired", "anchor_decay"), "forget").otherwise("review"))
+    plan = rows.select("id", reason.alias("reason")).where("reason is not null")
+    return covered(plan, validity).withColumn("action", F.when(F.col("reason").isin("expired", "anchor_decay"), "forget").otherwise("review"))
 
 
 def covered(plan: DataFrame, validity: DataFrame, least: float = 0.5) -> DataFrame:

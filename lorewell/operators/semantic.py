@@ -125,6 +125,13 @@ def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
     return neighbours(vectors, vectors, 0, least).where("origin < id").select(F.col("origin").alias("a"), F.col("id").alias("b"), "score")
 
 
+def link_suggestions(vectors: DataFrame, edges: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
+    """(src, dst, score): of each query's k nearest notes at ``least`` or above, those that no link of any kind leads to, or from."""
+    near = neighbours(vectors, queries, k, least).select(F.col("origin").alias("src"), F.col("id").alias("dst"), "score")
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    return near.join(both, ["src", "dst"], "left_anti")
+
+
 def unlinked(vectors: DataFrame, edges: DataFrame) -> DataFrame:
     """(id): notes with a vector and no outgoing edge."""
     return vectors.select("id").join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lorewell.functions.ids import body_hash
 from lorewell.functions.runtime import shared_dir
-from lorewell.operators import batch, flow, graph, paths, retrieval, semantic, upkeep
+from lorewell.operators import batch, confidence, flow, graph, paths, retrieval, scope, semantic, upkeep
+from lorewell.operators.filters import Filter
 from lorewell.plans.catalogue import QUERY, query
 from lorewell.plans.work import _changed_files, _files, _note
 from lorewell.sources import bound, cache, logs
@@ -142,3 +143,35 @@ def operations(s, d):
 @query
 def task_batch(s, d):
     return batch.checked(bound.corpus(s, d), operations(s, d)).select("line", "action", "target", "scope", "parent_id", "problem")
+
+
+def _ontology(s, d):
+    """The bound links with narrower ones beside the broader, some of which close cycles."""
+    i = F.col("doc_id")
+    ids = s.read.parquet(f"{d}/documents.parquet")
+    narrower = ids.where("doc_id % 30 = 11 and doc_id > 30").select(_note("doc_id DIV 2").alias("src"), F.lit("narrower").alias("kind"), _note("doc_id").alias("dst"))
+    back = ids.where(i % 90 == 9).select(_note("doc_id").alias("src"), F.lit("narrower").alias("kind"), _note("doc_id DIV 3").alias("dst"))
+    return bound.edges(s, d).union(narrower).union(back)
+
+
+@query
+def hierarchy(s, d):
+    return graph.hierarchy(_ontology(s, d))
+
+
+@query
+def hierarchy_cycles(s, d):
+    return graph.hierarchy_cycles(_ontology(s, d))
+
+
+@query
+def link_suggestions(s, d):
+    v = bound.vectors(s, d)
+    return semantic.link_suggestions(v, bound.edges(s, d), v.where("substr(id, 10) in ('00', '50')"), 8, 0.2)
+
+
+@query
+def confirmed_around(s, d):
+    """What tasks confirm of the notes near one note, of two languages."""
+    c = scope.scoped(bound.corpus(s, d), scope.Scope(Filter(tags=("en", "de")), around="n0000000010", depth=3), "rank")
+    return c.notes.select("id", "status").join(confidence.task_confirmation(bound.notes(s, d)), "id", "left").select("id", "status", F.round(F.coalesce("task", F.lit(0.0)), 6).alias("task"))

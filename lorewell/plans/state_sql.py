@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lorewell.plans.base_sql import EDGES, EVENTS, NOTES, NOW, PATHS, POSTINGS, VECTORS, note, sql
-from lorewell.plans.oracles import CLOSURE, CYCLIC, DEGREE, DEPENDS, EITHER, FLOWS, INTEGRITY, LEX, MATCH, NORM, PARENT, _dice, _slots
+from lorewell.plans.oracles import CLOSURE, COS, CYCLIC, DEGREE, DEPENDS, EITHER, FLOWS, INTEGRITY, LEX, MATCH, NORM, PARENT, TASKS, _dice, _slots
 from lorewell.plans.work_sql import FILES, NOW_FILES
 
 _json = lambda c: f"""CASE WHEN {c} IS NOT NULL THEN '"{c}":"' || {c} || '"' END"""
@@ -74,4 +74,13 @@ SELECT body_hash, model, created_ms, used AS used_ms, round(vector[1], 6) AS fir
       "p3 AS (SELECT p.*, coalesce(problem, CASE WHEN line IN (SELECT line FROM wants w JOIN ring a ON a.id = w.src JOIN ring b ON b.id = w.dst AND b.component = a.component) THEN 'closes a cycle' END) AS problem_ FROM p2 p)",
       "lost AS (SELECT line FROM p3 WHERE problem_ IS NOT NULL UNION SELECT p.line FROM lost l JOIN p3 p ON p.by_ = l.line)"],
       "SELECT line, CASE WHEN own IS NULL THEN 'created' ELSE 'updated' END AS action, target, scope, parent_id, coalesce(problem_, CASE WHEN line IN (SELECT line FROM lost) THEN 'its parent is rejected' END) AS problem FROM p3", recursive=True),
+} | {
+    name: sql([NOTES, EDGES, f"""up AS (SELECT src, dst FROM edges WHERE kind = 'broader' UNION SELECT dst, src FROM edges WHERE kind = 'narrower' UNION SELECT {note('doc_id')}, {note('doc_id // 2')} FROM documents WHERE doc_id % 30 = 11 AND doc_id > 30
+      UNION SELECT {note('doc_id // 3')}, {note('doc_id')} FROM documents WHERE doc_id % 90 = 9)""", CLOSURE("reach", "up")], select, recursive=True)
+    for name, select in (("hierarchy", "SELECT src, dst FROM reach"), ("hierarchy_cycles", CYCLIC("reach")))
+} | {
+    "link_suggestions": sql([VECTORS, EDGES, f"near AS (SELECT a.id AS src, b.id AS dst, round({COS}, 6) AS score FROM vectors a, vectors b WHERE a.id[-2:] IN ('00', '50') AND a.id <> b.id AND round({COS}, 6) >= 0.2e0 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round({COS}, 6) DESC, b.id) <= 8)"],
+      "SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE (e.src = n.src AND e.dst = n.dst) OR (e.src = n.dst AND e.dst = n.src))"),
+    "confirmed_around": sql([NOTES, EDGES, TASKS, "near(id, h) AS (SELECT 'n0000000010', 0 UNION SELECT e.dst, h + 1 FROM near JOIN edges e ON e.src = near.id WHERE h < 3)"],
+      "SELECT id, status, round(coalesce(task, 0e0), 6) AS task FROM notes LEFT JOIN task USING (id) WHERE id IN (SELECT id FROM near) AND list_has_any(tags, ['en', 'de']) AND status IN ('active', 'in_progress', 'blocked', 'closed')", recursive=True),
 }

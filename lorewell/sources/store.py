@@ -42,6 +42,23 @@ def read_notes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return out.withColumn("outcomes", outcomes).withColumn("_corrupt", F.lit(None).cast("string")).select(*[c for c in spark.createDataFrame([], NOTES).columns]), bad
 
 
+def read_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(notes, warnings) of whatever is at ``path``: one NDJSON file, a folder that holds NDJSON shards, or a folder of notes."""
+    from lorewell.sources.logs import read_shards
+
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    if fs.getFileStatus(at).isFile():
+        if not path.endswith((".jsonl", ".ndjson")):
+            raise ValueError(f"no NDJSON file: {path}")
+        return read_shards(spark, path)
+    shards = any(s.isFile() and s.getPath().getName().endswith(".jsonl") for s in fs.listStatus(at))
+    return read_shards(spark, path.rstrip("/") + "/*.jsonl") if shards else read_notes(spark, path)
+
+
 def with_evidence(notes: DataFrame) -> DataFrame:
     """successes, failures, reviews and last_ms of each note's outcomes."""
     o = F.coalesce("outcomes", F.array().cast(notes.schema["outcomes"].dataType))

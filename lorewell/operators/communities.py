@@ -18,10 +18,10 @@ from lorewell.corpus import Corpus
 from lorewell.functions.runtime import numbered, written
 
 #: Rounds of a level; the share of movers that go in a round (1 in SHARE), and the least share that is tried.
-ROUNDS, SHARE, LEAST_SHARE = 24, 2, 32
+ROUNDS, SHARE, LEAST_SHARE = 10, 2, 32
 LEVELS = 8
 #: A level ends when a round adds less modularity than this.
-LITTLE = 1e-4
+LITTLE = 2e-3
 MARGIN = 1e-9
 
 

@@ -155,7 +155,7 @@ def _ontology(s, d):
 
 
 @query
-def hierarchy(s, d):
+def broader_narrower(s, d):
     return graph.hierarchy(_ontology(s, d))
 
 

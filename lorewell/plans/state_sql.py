@@ -77,7 +77,7 @@ SELECT body_hash, model, created_ms, used AS used_ms, round(vector[1], 6) AS fir
 } | {
     name: sql([NOTES, EDGES, f"""up AS (SELECT src, dst FROM edges WHERE kind = 'broader' UNION SELECT dst, src FROM edges WHERE kind = 'narrower' UNION SELECT {note('doc_id')}, {note('doc_id // 2')} FROM documents WHERE doc_id % 30 = 11 AND doc_id > 30
       UNION SELECT {note('doc_id // 3')}, {note('doc_id')} FROM documents WHERE doc_id % 90 = 9)""", CLOSURE("reach", "up")], select, recursive=True)
-    for name, select in (("hierarchy", "SELECT src, dst FROM reach"), ("hierarchy_cycles", CYCLIC("reach")))
+    for name, select in (("broader_narrower", "SELECT src, dst FROM reach"), ("hierarchy_cycles", CYCLIC("reach")))
 } | {
     "link_suggestions": sql([VECTORS, EDGES, f"near AS (SELECT a.id AS src, b.id AS dst, round({COS}, 6) AS score FROM vectors a, vectors b WHERE a.id[-2:] IN ('00', '50') AND a.id <> b.id AND round({COS}, 6) >= 0.2e0 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round({COS}, 6) DESC, b.id) <= 8)"],
       "SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE (e.src = n.src AND e.dst = n.dst) OR (e.src = n.dst AND e.dst = n.src))"),

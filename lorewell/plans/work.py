@@ -253,9 +253,11 @@ def gates_accepted(s, d):
 
 @query
 def transitions(s, d):
+    """How many notes could go from their status to each other one, as notes and as tasks."""
     names = ["active", "in_progress", "blocked", "closed", "superseded", "forgotten"]
-    pairs = s.createDataFrame([(a, b) for a in names for b in names], "source string, target string")
-    return pairs.select("source", "target", filters.transition_allowed(F.col("source"), F.col("target")).alias("note"), filters.task_transition_allowed(F.col("source"), F.col("target")).alias("task"))
+    pairs = bound.notes(s, d).select(F.col("status").alias("source"), F.explode(F.array(*map(F.lit, names))).alias("target"))
+    rule = lambda f: F.count_if(f(F.col("source"), F.col("target")))
+    return pairs.groupBy("source", "target").agg(F.count("*").alias("n"), rule(filters.transition_allowed).alias("note"), rule(filters.task_transition_allowed).alias("task"))
 
 
 @query

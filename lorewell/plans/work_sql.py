@@ -138,8 +138,8 @@ ORACLES: dict[str, str] = {
     "check_outcomes": sql([EVENTS, "r AS (SELECT note_id, CASE WHEN event_id % 10 > 0 THEN event_id % 5 > 0 END AS passed, event_id % 3 = 0 AS err FROM log)"],
         "SELECT note_id, CASE WHEN count(passed) = 0 THEN 'abandoned' WHEN bool_and(passed) THEN 'success' WHEN coalesce(bool_or(NOT passed AND err), false) THEN 'failure' ELSE 'partial' END AS outcome FROM r GROUP BY 1"),
     "gates_accepted": sql([NOTES], "SELECT id AS name, true AS passed, CAST(doc_id % 7 AS DOUBLE) AS before, CAST(doc_id % 9 AS DOUBLE) AS after FROM notes WHERE doc_id % 4 > 0 AND doc_id % 9 - doc_id % 7 >= 1"),
-    "transitions": f"""SELECT s.n AS source, t.n AS target, CASE WHEN t.n = 'superseded' THEN false WHEN s.n = 'superseded' THEN t.n = 'forgotten' WHEN s.n = 'forgotten' THEN t.n = 'active' ELSE true END AS note,
-      (s.n, t.n) IN (('active', 'in_progress'), ('active', 'closed'), ('in_progress', 'in_progress'), ('in_progress', 'closed'), ('in_progress', 'active'), ('blocked', 'active'), ('blocked', 'in_progress')) AS task FROM {_names} s(n), {_names} t(n)""",
+    "transitions": sql([NOTES], f"""SELECT s.status AS source, t.n AS target, count(*) AS n, count(*) FILTER (WHERE CASE WHEN t.n = 'superseded' THEN false WHEN s.status = 'superseded' THEN t.n = 'forgotten' WHEN s.status = 'forgotten' THEN t.n = 'active' ELSE true END) AS note,
+      count(*) FILTER (WHERE (s.status, t.n) IN (('active', 'in_progress'), ('active', 'closed'), ('in_progress', 'in_progress'), ('in_progress', 'closed'), ('in_progress', 'active'), ('blocked', 'active'), ('blocked', 'in_progress'))) AS task FROM notes s, {_names} t(n) GROUP BY ALL"""),
     "hierarchy": sql([NOTES, EDGES, PARENT], "SELECT p.id, coalesce((a.scope, c.scope) IN (('epic', 'issue'), ('epic', 'task'), ('issue', 'task')), false) AS allowed FROM parent p JOIN notes c ON c.id = p.id JOIN notes a ON a.id = p.parent"),
     "demotions_covered": sql([NOTES, PATHS.replace("paths AS", "every_path AS") + ", paths AS (SELECT * FROM every_path WHERE left(md5(path), 1) < '8')", VALID, "sh AS (SELECT sum(valid) / sum(total) AS share FROM validity)"],
         "SELECT id, CASE WHEN doc_id % 2 = 0 THEN 'anchor_decay' ELSE 'expired' END AS reason FROM notes, sh WHERE doc_id % 2 = 1 OR coalesce(share, 0) >= 0.5"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorewell.plans.base_sql import AGE, EDGES, EVENTS, NOTES, NOW, PATHS, POSTINGS, VECTORS, confidence, note, sql
+from lorewell.plans.base_sql import EDGES, EVENTS, NOTES, NOW, PATHS, POSTINGS, VECTORS, confidence, note, sql
 from lorewell.plans.catalogue import AS_OF, PATHS as WORKING
-from lorewell.plans.oracles import ANCHOR_HITS, CLOSURE, CONF, COS, CYCLIC, DEPENDS, EITHER, FLOWS, IMPACT, INTEGRITY, LEX, LOSERS, MATCH, NEXT_VIEWS, NORM, PARENT, TASKS, TTL, VALID, VIEWS, WORK, _dice, _epics, _pagerank
+from lorewell.plans.oracles import ANCHOR_HITS, CLOSURE, CONF, COS, CYCLIC, DEPENDS, EITHER, IMPACT, INTEGRITY, LEX, LOSERS, MATCH, NEXT_VIEWS, NORM, PARENT, TASKS, TTL, VALID, WORK, _dice, _epics, _pagerank
 
 SHOWN = "status IN ('active', 'in_progress', 'blocked', 'closed')"
 LINE = lambda t: f"trim(regexp_replace({t}, '[|\\s]+', ' ', 'g'))"

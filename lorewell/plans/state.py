@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions.ids import body_hash
 from lorewell.functions.runtime import shared_dir
-from lorewell.operators import batch, confidence, flow, graph, paths, retrieval, scope, semantic, upkeep
+from lorewell.operators import batch, confidence, flow, graph, paths, retrieval, revisions, scope, semantic, upkeep
 from lorewell.operators.filters import Filter
 from lorewell.plans.catalogue import QUERY, query
 from lorewell.plans.work import _changed_files, _files, _note
@@ -175,3 +175,28 @@ def confirmed_around(s, d):
     """What tasks confirm of the notes near one note, of two languages."""
     c = scope.scoped(bound.corpus(s, d), scope.Scope(Filter(tags=("en", "de")), around="n0000000010", depth=3), "rank")
     return c.notes.select("id", "status").join(confidence.task_confirmation(bound.notes(s, d)), "id", "left").select("id", "status", F.round(F.coalesce("task", F.lit(0.0)), 6).alias("task"))
+
+
+def _patched(s, d) -> revisions.Outcome:
+    """A patch for every note: bodies, statements that make new notes, two that make the same one, unknown notes, right and wrong hashes."""
+    i = F.col("doc_id")
+    notes = bound.notes(s, d).withColumn("revision", (i % 4).cast("int"))
+    statement = F.when(i % 12 == 2, F.concat(F.lit("twin "), (i / 24).cast("int").cast("string"))).when(i % 4 == 1, F.concat(F.lit("changed "), i.cast("string")))
+    patches = notes.select(
+        i.alias("line"), F.when(i % 29 == 7, "n9999999999").otherwise(F.col("id")).alias("id"), F.lit(None).cast("string").alias("type"), statement.alias("statement"), F.when(i % 3 == 0, "new body").alias("body"),
+        F.when(i % 5 == 0, "wrong").when(i % 5 == 1, body_hash(F.col("statement"), F.col("body"))).alias("expected_hash"),
+    )
+    return revisions.updated(notes, bound.edges(s, d), patches, bound.NOW_MS)
+
+
+@query
+def update_outcomes(s, d):
+    return _patched(s, d).outcomes
+
+
+@query
+def update_effects(s, d):
+    """Notes by status, links by kind and events by kind after the patches."""
+    o = _patched(s, d)
+    count = lambda df, what, key: df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "key", "n")
+    return count(o.notes, "status", "status").union(count(o.edges, "kind", "kind")).union(count(o.events, "op", "op"))

@@ -83,4 +83,18 @@ SELECT body_hash, model, created_ms, used AS used_ms, round(vector[1], 6) AS fir
       "SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE (e.src = n.src AND e.dst = n.dst) OR (e.src = n.dst AND e.dst = n.src))"),
     "confirmed_around": sql([NOTES, EDGES, TASKS, "near(id, h) AS (SELECT 'n0000000010', 0 UNION SELECT e.dst, h + 1 FROM near JOIN edges e ON e.src = near.id WHERE h < 3)"],
       "SELECT id, status, round(coalesce(task, 0e0), 6) AS task FROM notes LEFT JOIN task USING (id) WHERE id IN (SELECT id FROM near) AND list_has_any(tags, ['en', 'de']) AND status IN ('active', 'in_progress', 'blocked', 'closed')", recursive=True),
+} | {
+    name: sql([NOTES, EDGES, f"""pt AS (SELECT doc_id AS line, CASE WHEN doc_id % 29 = 7 THEN 'n9999999999' ELSE id END AS id, CASE WHEN doc_id % 12 = 2 THEN 'twin ' || doc_id // 24 WHEN doc_id % 4 = 1 THEN 'changed ' || doc_id END AS s,
+        CASE WHEN doc_id % 5 = 0 THEN 'wrong' WHEN doc_id % 5 = 1 THEN left(sha256({NORM('statement')} || chr(10) || {NORM('body')}), 8) END AS expected FROM notes)""",
+      f"rw AS (SELECT p.line, p.id, n.id IS NOT NULL AS known, n.type, n.doc_id % 4 AS revision, p.s IS NULL OR p.s = n.statement AS same, coalesce(p.s, n.statement) AS st, p.expected, left(sha256({NORM('n.statement')} || chr(10) || {NORM('n.body')}), 8) AS h FROM pt p LEFT JOIN notes n ON n.id = p.id)",
+      f"nw AS (SELECT *, type || '_' || lower(to_base(CAST('0x' || left(sha256(type || chr(31) || {NORM('st')}), 8) AS BIGINT), 36, 8)) AS new_id_ FROM rw)",
+      """pr AS (SELECT *, same OR new_id_ IS NULL AS stays, row_number() OVER (PARTITION BY id ORDER BY line) > 1 AS again, row_number() OVER (PARTITION BY new_id_ ORDER BY line) > 1 AS twin FROM nw)""",
+      "oc AS (SELECT *, CASE WHEN NOT known THEN 'unknown id' WHEN expected IS NOT NULL AND expected <> h THEN 'another hash' WHEN again THEN 'patched twice' WHEN NOT stays AND twin THEN 'id is taken' END AS problem FROM pr)",
+      "sup AS (SELECT id, new_id_ FROM oc WHERE problem IS NULL AND NOT stays)"], select)
+    for name, select in (
+        ("update_outcomes", "SELECT line, id, CASE WHEN problem IS NULL AND NOT stays THEN new_id_ END AS new_id, CASE WHEN problem IS NULL THEN CASE WHEN stays THEN 'revised' ELSE 'superseded' END END AS action, CAST(CASE WHEN problem IS NULL THEN revision + 1 END AS INT) AS revision, problem FROM oc"),
+        ("update_effects", """SELECT 'status' AS what, key, count(*) AS n FROM (SELECT CASE WHEN id IN (SELECT id FROM sup) THEN 'superseded' ELSE status END AS key FROM notes UNION ALL SELECT 'active' FROM sup) GROUP BY ALL
+          UNION ALL SELECT 'kind', kind, count(*) FROM (SELECT kind FROM edges UNION ALL SELECT kind FROM edges JOIN sup ON sup.id = src WHERE kind <> 'replaces' UNION ALL SELECT 'replaces' FROM sup) GROUP BY ALL
+          UNION ALL SELECT 'op', CASE WHEN stays THEN 'update' ELSE 'supersede' END, count(*) FROM oc WHERE problem IS NULL GROUP BY ALL"""),
+    )
 }

@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from lorewell.corpus import Corpus
 from lorewell.functions.runtime import numbered, written
 
-#: Rounds of a level; the share of movers that go in a round (1 in SHARE), and the least share that is tried.
-ROUNDS, SHARE, LEAST_SHARE = 10, 2, 32
+#: The share of movers that go in a round (1 in SHARE), and the least share that is tried.
+SHARE, LEAST_SHARE = 2, 32
 LEVELS = 8
-#: A level ends when a round adds less modularity than this.
-LITTLE = 2e-3
+#: Rounds of a level at most, and the modularity that a round adds at least for the next one to follow; of the levels, and of the last moves of single nodes.
+COARSE, FINE = (10, 2e-3), (24, 1e-4)
 MARGIN = 1e-9
 
 
@@ -58,15 +58,15 @@ def _weighed(links: DataFrame, labels: DataFrame, mass: float) -> DataFrame:
     return best.select("u", "s.label", "s.degree", "s.loop", F.col("s.w").alias("inner"), "s.total", F.when(gains & ~swaps, -F.col("m.to")).alias("target"))
 
 
-def _settled(links: DataFrame, labels: DataFrame, mass: float) -> tuple[DataFrame, float]:
+def _settled(links: DataFrame, labels: DataFrame, mass: float, rounds: int, least: float) -> tuple[DataFrame, float]:
     """(u, label, ...) after rounds of moves, and its modularity."""
     best, top, share = None, float("-inf"), SHARE
-    for k in range(ROUNDS):
+    for k in range(rounds):
         state = written(_weighed(links, labels, mass))
         inside = (F.col("inner") + F.col("loop")) / mass - F.col("degree") / mass * (F.col("total") / mass)
         q, movers = state.agg(F.sum(inside), F.count("target")).first()
         if best is None or q > top + MARGIN:
-            little = best is not None and q - top < LITTLE
+            little = best is not None and q - top < least
             best, top, share = state, q, SHARE
             if not movers or little:
                 break
@@ -98,13 +98,13 @@ def partition(graph: DataFrame) -> DataFrame:
     found = None
     for _ in range(LEVELS):
         nodes = _nodes(links)
-        state, _ = _settled(links, nodes.select("u", F.col("u").alias("label"), "degree", "loop"), mass)
+        state, _ = _settled(links, nodes.select("u", F.col("u").alias("label"), "degree", "loop"), mass, *COARSE)
         step = state.select("u", "label")
         found = step if found is None else written(found.join(step.toDF("label", "_next"), "label").select("u", F.col("_next").alias("label")))
         if step.where("u <> label").isEmpty():
             break
         links = written(links.join(step, "u").join(step.toDF("v", "_v"), "v").groupBy(F.col("label").alias("u"), F.col("_v").alias("v")).agg(F.sum("w").alias("w")))
-    state, _ = _settled(first, found.join(_nodes(first), "u").select("u", "label", "degree", "loop"), mass)
+    state, _ = _settled(first, found.join(_nodes(first), "u").select("u", "label", "degree", "loop"), mass, *FINE)
     return state.select("u", "label")
 
 

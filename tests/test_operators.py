@@ -348,3 +348,16 @@ def test_as_of_recall_brings_back_what_was_active_then(spark):
     assert ids(as_of=10) == {"then", "replaced", "now"}
     assert ids(as_of=45) == {"gone", "now"}
     assert ids(filters.Filter(statuses=("forgotten",)), as_of=10) == {"then"}
+
+
+def test_whole_sets_are_fetched_only_for_pairs_that_may_be_similar(spark, monkeypatch):
+    rnd = random.Random(3)
+    rare = [f"rare{k}" for k in range(6)]  # all meet at these, none is similar
+    sets = {f"s{i:03}": sorted({f"w{rnd.randrange(2000)}" for _ in range(60)} | set(rare)) for i in range(80)}
+    sets |= {f"t{i:03}": sorted((set(sets[f"s{i:03}"]) - {rare[0]}) | {"added"}) for i in range(0, 80, 8)}
+    tested = []
+    scored = dedup._scored
+    monkeypatch.setattr(dedup, "_scored", lambda pairs, first, least: tested.append(pairs.distinct().count()) or scored(pairs, first, least))
+    _, pairs = dedup.similar_sets(spark.createDataFrame(list(sets.items()), "id string, terms array<string>"), 0.92)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(f"s{i:03}", f"t{i:03}") for i in range(0, 80, 8)}
+    assert tested == [10]

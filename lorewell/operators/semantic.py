@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -16,6 +15,8 @@ from lorewell.functions.runtime import ship, written
 
 #: Vectors, and queries, of which one task compares all pairs.
 BLOCK = 4096
+#: Members of a cluster whose similarities to all earlier ones are held at once.
+PART_ROWS = 256
 COMMUNITY_EDGES = ["references", "depends_on", "contradicts", "supports", "extends", "replaces", "results_in", "same_as", "broader", "narrower", "related"]
 CLIQUE = 64
 
@@ -153,29 +154,29 @@ def suggestions(corpus: Corpus, queries: DataFrame, k: int, s: Settings = Settin
 def complete_link(members: DataFrame, vectors: DataFrame, least: float, volume: int) -> DataFrame:
     """(cluster, id, part): greedy complete-link parts of the clusters (cluster, id) of ``volume`` members or more, in id order.
 
-    The greedy order is the operator's meaning, so one cluster is one task; its members' vectors must fit there.
+    The greedy order is the operator's meaning, so one cluster is one task; its members' vectors must fit there. Similarities are
+    computed for PART_ROWS members at a time, and each member looks only at those that are similar to it: it joins the first part of which all are.
     """
     ship(members.sparkSession)
     big = members.groupBy("cluster").agg(F.count("*").alias("_n")).where(F.col("_n") >= volume)
     rows = members.join(big, "cluster", "left_semi").join(vectors.select("id", "vector"), "id")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id")
-        m = _unit(np.array(g["vector"].tolist(), np.float64))
-        parts: list[list[int]] = []
-        of = []
-        for i in range(len(g)):
-            for p, own in enumerate(parts):
-                if np.all(np.round(m[own] @ m[i], 6) >= least):
-                    own.append(i)
-                    of.append(p)
-                    break
-            else:
-                parts.append([i])
-                of.append(len(parts) - 1)
-        return pd.DataFrame({"cluster": g["cluster"], "id": g["id"], "part": of})
-
-    return rows.select("cluster", "id", "vector").groupBy("cluster").applyInPandas(run, "cluster string, id string, part int")
+    def run(g: pa.Table) -> pa.Table:
+        g = g.sort_by("id")
+        m = _unit(g.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(g.num_rows, -1))
+        of, size, n = np.zeros(len(m), np.int32), np.zeros(len(m), np.int64), 0
+        for a in range(0, len(m), PART_ROWS):
+            b = min(a + PART_ROWS, len(m))
+            near = np.round(m[a:b] @ m[:b].T, 6) >= least
+            for i in range(a, b):
+                parts, similar = np.unique(of[np.flatnonzero(near[i - a, :i])], return_counts=True)
+                whole = parts[similar == size[parts]]
+                of[i] = p = whole[0] if len(whole) else n
+                n += p == n
+                size[p] += 1
+        return pa.table({"cluster": g.column("cluster"), "id": g.column("id"), "part": pa.array(of, pa.int32())})
+
+    return rows.select("cluster", "id", "vector").groupBy("cluster").applyInArrow(run, "cluster string, id string, part int")
 
 
 def weighted_graph(corpus: Corpus) -> DataFrame:

@@ -361,3 +361,26 @@ def test_whole_sets_are_fetched_only_for_pairs_that_may_be_similar(spark, monkey
     _, pairs = dedup.similar_sets(spark.createDataFrame(list(sets.items()), "id string, terms array<string>"), 0.92)
     assert {(r.a, r.b) for r in pairs.collect()} == {(f"s{i:03}", f"t{i:03}") for i in range(0, 80, 8)}
     assert tested == [10]
+
+
+def test_parts_of_a_cluster_of_thousands_follow_the_greedy_order(spark):
+    import time
+
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    m = np.vstack([rnd.normal(size=(5000, 16)), np.zeros((1, 16))])
+    m[1000:2000] = m[:1000] + rnd.normal(size=(1000, 16)) * 0.3
+    v = spark.createDataFrame([(f"v{i:05}", [float(x) for x in row]) for i, row in enumerate(m)], "id string, vector array<double>")
+    began = time.time()
+    got = [r.part for r in semantic.complete_link(v.select(F.lit("k").alias("cluster"), "id"), v, 0.6, 2).orderBy("id").collect()]
+    assert time.time() - began < 30
+    u = semantic._unit(m)
+    near = np.round(u @ u.T, 6) >= 0.6
+    parts: list[list[int]] = []
+    want = []
+    for i in range(len(u)):
+        p = next((p for p, own in enumerate(parts) if near[i, own].all()), len(parts))
+        parts[p : p + 1] = [[*parts[p], i] if p < len(parts) else [i]]
+        want.append(p)
+    assert got == want and len(parts) < len(u)

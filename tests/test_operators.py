@@ -384,3 +384,18 @@ def test_parts_of_a_cluster_of_thousands_follow_the_greedy_order(spark):
         parts[p : p + 1] = [[*parts[p], i] if p < len(parts) else [i]]
         want.append(p)
     assert got == want and len(parts) < len(u)
+
+
+def test_no_step_of_a_rank_broadcasts_its_nodes(spark, monkeypatch):
+    plans = []
+    written = graph.written
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(graph, "written", noted)
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(20)], "id string")
+    graph.pagerank(nodes, spark.createDataFrame([(f"n{i}", f"n{i // 2}") for i in range(1, 20)], "src string, dst string"), steps=3)
+    steps = plans[2:]  # after the links and what each node gets anyway
+    assert len(steps) == 3 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in steps)

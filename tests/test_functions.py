@@ -111,3 +111,16 @@ def test_vectors(spark):
 @given(st.text(max_size=40))
 def test_fold_is_idempotent(t):
     assert text.fold_python(text.fold_python(t)) == text.fold_python(t)
+
+
+def test_tokens_are_cut_once_for_all_slots(spark):
+    from pyspark.sql import functions as F
+
+    from lorewell.functions import text
+
+    df = spark.createDataFrame([("decision", "why not; options: two"), ("error", "the root cause"), ("fact", "x"), ("question", ""), (None, None)], "kind string, body string")
+    slots = text.missing_slots(F.col("kind"), F.col("body"), F.lit(0), F.lit(0))
+    out = df.select("kind", slots.alias("s"))
+    assert {r.kind: r.s for r in out.collect()} == {"decision": ["consequência"], "error": ["correção"], "fact": [], "question": ["o que falta (âncora ou depends_on)"], None: []}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert "array_contains" not in df.select(text.content_terms("body"))._jdf.queryExecution().optimizedPlan().toString()

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from lorewell.functions.runtime import written
 from lorewell.functions.text import query_terms
-from lorewell.operators.retrieval import FIELD_WEIGHT, field_tokens, scored
+from lorewell.operators.retrieval import FIELD_WEIGHT, apart, cut_words, field_tokens, scored
+from lorewell.operators.words import counted
 from lorewell.sources.versions import Versions
 
 POSTINGS = "term string, field string, id string, tf long, len long, segment int, bucket int"
@@ -63,12 +64,16 @@ class TermIndex:
         if changes.isEmpty() and not rebuilt:
             return "fresh"
         segment = manifest["last"] + 1
-        tokens = field_tokens(notes.join(changes.where("change <> 'removed'").select("id"), "id", "left_semi"))
-        counts = written(tokens.groupBy("id", "field", "term").agg(F.count("*").alias("tf")))
-        lens = counts.groupBy("id", "field").agg(F.sum("tf").alias("len"))
-        per = lens.groupBy("id").agg(*[F.sum(F.when(F.col("field") == f, F.col("len"))).alias(f"len_{f}") for f in FIELD_WEIGHT])
+        one, more = apart(notes.join(changes.where("change <> 'removed'").select("id"), "id", "left_semi"))
+        words = written(cut_words(one))
+        some = written(field_tokens(more).groupBy("id", "field", "term").agg(F.count("*").alias("tf")))
+        lens = some.groupBy("id", "field").agg(F.sum("tf").alias("len"))
+        fields = tuple(FIELD_WEIGHT)
+        rows = counted(words, fields).union(some.join(lens, ["id", "field"]).select("id", "field", "term", "tf", "len"))
+        size = lambda f: F.when(F.col(f) == "", 0).otherwise(F.size(F.split(f, " "))).cast("long").alias(f"len_{f}")
+        per = words.select("id", *[size(f) for f in fields]).union(lens.groupBy("id").agg(*[F.sum(F.when(F.col("field") == f, F.col("len"))).alias(f"len_{f}") for f in fields]))
         docs = changes.join(per, "id", "left").select("id", F.col("_now").alias("digest"), F.lit(segment).alias("segment"), *[F.coalesce(f"len_{f}", F.lit(0)).alias(f"len_{f}") for f in FIELD_WEIGHT])
-        rows = counts.join(lens, ["id", "field"]).select("term", "field", "id", "tf", "len", F.lit(segment).alias("segment"), self._bucket("term").alias("bucket"))
+        rows = rows.select("term", "field", "id", "tf", "len", F.lit(segment).alias("segment"), self._bucket("term").alias("bucket"))
         tables = {"postings": [*manifest["tables"].get("postings", []), self._segment(rows)], "docs": [*manifest["tables"].get("docs", []), self.versions.part(docs, "docs")]}
         self._commit(number, manifest | {"tables": tables, "last": segment})
         if len(tables["docs"]) > self.most:

@@ -1,10 +1,11 @@
 """Communities of high modularity, by rounds of moves that are joins and sums over the whole graph.
 
-A round weighs every node against every community that it touches, in one join and two sums. Of the nodes that would gain
-by moving, a share chosen by a hash of node and round moves at once; a round whose outcome is no better than the best one so far is
-taken back and tried with a smaller share, so modularity never falls. When rounds gain little, communities become the nodes of
-the next level, and at the end single nodes move once more between the communities found. No component, community or
-node is one group: all sums are combined before they are shuffled.
+A round weighs every node against every community that it touches, in three joins and three sums. The joins sort: a broadcast
+would send all nodes through the driver in every round. Of the nodes that would gain by moving, a share chosen by a hash of node
+and round moves at once; a round whose outcome is no better than the best one so far is taken back and tried with a smaller share,
+so modularity never falls. When rounds gain little, communities become the nodes of the next level, and at the end single nodes
+move once more between the communities found. No component, community or node is one group: all sums are combined before they
+are shuffled.
 
 The result depends on the graph alone: weights are whole numbers, ties go to the smallest node, shares to a hash.
 """
@@ -36,17 +37,20 @@ def _nodes(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.sum("w").alias("degree"), F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(0.0)).alias("loop"))
 
 
-def _weighed(links: DataFrame, labels: DataFrame, mass: float) -> DataFrame:
+def _ties(links: DataFrame) -> DataFrame:
+    """(u, v, w) of links to other nodes, and of each node to itself with no weight."""
+    return links.where("u <> v").union(links.select("u", F.col("u").alias("v"), F.lit(0.0).alias("w")).distinct())
+
+
+def _weighed(ties: DataFrame, labels: DataFrame, mass: float) -> DataFrame:
     """(u, label, degree, loop, inner, total, target) of each node of labels (u, label, degree, loop).
 
     inner: weight of its links inside its community; total: its community's degrees; target: the community, if any, where it gains most.
     """
-    ends = labels.select(F.col("u").alias("v"), F.col("label").alias("at"))
-    touched = links.where("u <> v").join(ends, "v").select("u", "at", "w")
-    own = labels.select("u", F.col("label").alias("at"), F.lit(0.0).alias("w"))
-    pull = touched.union(own).groupBy("u", "at").agg(F.sum("w").alias("w"))
     size = labels.groupBy(F.col("label").alias("at")).agg(F.sum("degree").alias("total"), F.count("*").alias("n"))
-    rows = pull.join(size, "at").join(labels, "u")
+    ends = labels.select(F.col("u").alias("v"), F.col("label").alias("at")).join(size.hint("merge"), "at")
+    pull = ties.join(ends.hint("merge"), "v").groupBy("u", "at").agg(F.sum("w").alias("w"), F.max("total").alias("total"), F.max("n").alias("n"))
+    rows = pull.join(labels.hint("merge"), "u")
     stays = F.col("at") == F.col("label")
     rest = F.when(stays, F.col("total") - F.col("degree")).otherwise(F.col("total"))
     rows = rows.withColumn("gain", F.col("w") - F.col("degree") * rest / F.lit(mass))
@@ -61,8 +65,9 @@ def _weighed(links: DataFrame, labels: DataFrame, mass: float) -> DataFrame:
 def _settled(links: DataFrame, labels: DataFrame, mass: float, rounds: int, least: float) -> tuple[DataFrame, float]:
     """(u, label, ...) after rounds of moves, and its modularity."""
     best, top, share = None, float("-inf"), SHARE
+    ties = written(_ties(links))
     for k in range(rounds):
-        state = written(_weighed(links, labels, mass))
+        state = written(_weighed(ties, labels, mass))
         inside = (F.col("inner") + F.col("loop")) / mass - F.col("degree") / mass * (F.col("total") / mass)
         q, movers = state.agg(F.sum(inside), F.count("target")).first()
         if best is None or q > top + MARGIN:
@@ -81,11 +86,11 @@ def _settled(links: DataFrame, labels: DataFrame, mass: float, rounds: int, leas
 
 def modularity(links: DataFrame, labels: DataFrame) -> float:
     """Modularity of labels (u, label) on links (u, v, w) in both directions."""
-    ends = links.join(labels, "u").join(labels.toDF("v", "other"), "v")
+    ends = links.join(labels.hint("merge"), "u").join(labels.toDF("v", "other").hint("merge"), "v")
     inner, mass = ends.agg(F.sum(F.when(F.col("label") == F.col("other"), F.col("w")).otherwise(0.0)), F.sum("w")).first()
     if not mass:
         return 0.0
-    square = links.join(labels, "u").groupBy("label").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") / mass * (F.col("t") / mass))).first()[0]
+    square = links.join(labels.hint("merge"), "u").groupBy("label").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") / mass * (F.col("t") / mass))).first()[0]
     return inner / mass - square
 
 
@@ -100,22 +105,22 @@ def partition(graph: DataFrame) -> DataFrame:
         nodes = _nodes(links)
         state, _ = _settled(links, nodes.select("u", F.col("u").alias("label"), "degree", "loop"), mass, *COARSE)
         step = state.select("u", "label")
-        found = step if found is None else written(found.join(step.toDF("label", "_next"), "label").select("u", F.col("_next").alias("label")))
+        found = step if found is None else written(found.join(step.toDF("label", "_next").hint("merge"), "label").select("u", F.col("_next").alias("label")))
         if step.where("u <> label").isEmpty():
             break
-        links = written(links.join(step, "u").join(step.toDF("v", "_v"), "v").groupBy(F.col("label").alias("u"), F.col("_v").alias("v")).agg(F.sum("w").alias("w")))
-    state, _ = _settled(first, found.join(_nodes(first), "u").select("u", "label", "degree", "loop"), mass, *FINE)
+        links = written(links.join(step.hint("merge"), "u").join(step.toDF("v", "_v").hint("merge"), "v").groupBy(F.col("label").alias("u"), F.col("_v").alias("v")).agg(F.sum("w").alias("w")))
+    state, _ = _settled(first, found.join(_nodes(first).hint("merge"), "u").select("u", "label", "degree", "loop"), mass, *FINE)
     return state.select("u", "label")
 
 
 def communities(notes: DataFrame, graph: DataFrame) -> DataFrame:
     """(community, id): communities of a graph (a, b, w) of notes, named by their smallest id; notes without links are alone."""
-    names = numbered(notes.select("id").distinct(), "id")
-    at = lambda c: names.select(F.col("id").alias(c), F.col("position").alias(f"_{c}"))
+    names = written(numbered(notes.select("id").distinct(), "id"))
+    at = lambda c: names.select(F.col("id").alias(c), F.col("position").alias(f"_{c}")).hint("merge")
     pairs = graph.join(at("a"), "a").join(at("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.col("w").cast("double").alias("w"))
-    of = written(names.join(partition(pairs).withColumnRenamed("u", "position"), "position", "left").withColumn("label", F.coalesce("label", "position")))
+    of = written(names.join(partition(pairs).withColumnRenamed("u", "position").hint("merge"), "position", "left").withColumn("label", F.coalesce("label", "position")))
     least = of.groupBy("label").agg(F.min("id").alias("community"))
-    return of.join(least, "label").select("community", "id")
+    return of.join(least.hint("merge"), "label").select("community", "id")
 
 
 def found(corpus: Corpus) -> DataFrame:

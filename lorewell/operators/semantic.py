@@ -218,15 +218,18 @@ def complete_link(members: DataFrame, vectors: DataFrame, least: float, volume:
 
 
 def weighted_graph(corpus: Corpus) -> DataFrame:
-    """(a, b, w) of unordered pairs: 1 for each edge, and 1 for each shared anchor (all pairs up to CLIQUE members, else a star)."""
-    ids = corpus.notes.select("id")
+    """(a, b, w) of unordered pairs: 1 for each edge, and 1 for each shared anchor (all pairs up to CLIQUE members, else a star).
+
+    Notes and anchors are joined by sorting, so that none go through the driver.
+    """
+    at = lambda c: corpus.notes.select(F.col("id").alias(c)).hint("merge")
     links = corpus.edges.where(F.col("kind").isin(*COMMUNITY_EDGES)).distinct()
-    links = links.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").where("src <> dst")
+    links = links.join(at("src"), "src", "left_semi").join(at("dst"), "dst", "left_semi").where("src <> dst")
     own = corpus.notes.select("id", F.explode("anchors").alias("anchor")).distinct()
     size = own.groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
-    own = own.join(size, "anchor")
+    own = own.join(size.hint("merge"), "anchor")
     few = own.where(F.col("n") <= CLIQUE).select("anchor", "id")
-    clique = few.toDF("anchor", "src").join(few.toDF("anchor", "dst"), "anchor").where("src < dst").select("src", "dst")
+    clique = few.toDF("anchor", "src").join(few.toDF("anchor", "dst").hint("merge"), "anchor").where("src < dst").select("src", "dst")
     star = own.where((F.col("n") > CLIQUE) & (F.col("id") != F.col("hub"))).select(F.col("hub").alias("src"), F.col("id").alias("dst"))
     rows = links.select("src", "dst").union(clique).union(star)
     return rows.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").cast("double").alias("w"))

@@ -399,3 +399,14 @@ def test_no_step_of_a_rank_broadcasts_its_nodes(spark, monkeypatch):
     graph.pagerank(nodes, spark.createDataFrame([(f"n{i}", f"n{i // 2}") for i in range(1, 20)], "src string, dst string"), steps=3)
     steps = plans[2:]  # after the links and what each node gets anyway
     assert len(steps) == 3 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in steps)
+
+
+def test_merge_strategy_finds_a_pair_that_shares_no_band_in_a_large_corpus(spark, tmp_path):
+    from lorewell.plans.everything import QUERIES
+
+    # dice 24 / 26, and another minimum of hashes in each of the 16 bands; 400 notes that share a term once made the query look at bands alone
+    pair = ["\n" + " ".join(f"w324291x{k}" for k in range(start, start + 13)) for start in (0, 1)]
+    texts = pair + [f"\nshared own{i}a own{i}b own{i}c" for i in range(400)]
+    spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert [tuple(r) for r in QUERIES["merge_strategy"](spark, str(tmp_path)).collect()] == [("n0000000000", "n0000000001", 0.923077)]
